@@ -36,6 +36,11 @@ def slot_labels(slot_minutes: int = 15) -> list[str]:
     ]
 
 
+def slot_label_array(slot_minutes: int = 15) -> Column:
+    """All slots of a day as one constant array column."""
+    return F.split(F.lit(",".join(slot_labels(slot_minutes))), ",")
+
+
 def slot_labels_from_noon(slot_minutes: int = 15) -> list[str]:
     """All slots of a day in broadcast order, from noon to noon."""
     labels = slot_labels(slot_minutes)

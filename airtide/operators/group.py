@@ -23,6 +23,12 @@ def group_streamers(streamers: DataFrame, group: str) -> DataFrame:
     return streamers.where(~is_true(F.col("grp") != group))
 
 
+def member_baselines(baseline: DataFrame, streamers: DataFrame, group: str) -> DataFrame:
+    """Baselines of the channels of ``group``."""
+    members = streamers.where(F.col("grp") == group).select("channel_id")
+    return baseline.join(members, "channel_id", "left_semi")
+
+
 def present_baselines(baseline: DataFrame, facts: DataFrame) -> DataFrame:
     """Baselines of the channels that have facts."""
     present = facts.select(F.col("channel").alias("channel_id")).distinct()

@@ -23,11 +23,14 @@ def below(limit: float) -> Test:
     return lambda z: z < limit
 
 
-def _judged(facts: DataFrame, baseline: DataFrame, test: Test) -> DataFrame:
+def _judged(
+    facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool
+) -> DataFrame:
     """Facts with a verdict ``cut_{p}`` per platform.
 
-    A channel without baseline, without viewers or with deviation 0 is never cut. The
-    stream number is not looked at: any viewers count.
+    A row without baseline, without viewers or with deviation 0 is never cut. The stream
+    number is not looked at: any viewers count. ``only_known`` restricts the facts to the
+    channels that ``baseline`` holds.
     """
     bounds = baseline.select(
         F.col("channel_id"),
@@ -42,26 +45,34 @@ def _judged(facts: DataFrame, baseline: DataFrame, test: Test) -> DataFrame:
         )
         return is_true(usable & test(z))
 
-    looked_up = attach(facts, bounds, {"channel_id": F.col("channel")})
+    looked_up = attach(
+        facts, bounds, {"channel_id": F.col("channel")}, matched="_known"
+    )
+    if only_known:
+        looked_up = looked_up.where("_known")
     return looked_up.select(
         *[F.col(c) for c in facts.columns],
         *[verdict(p).alias(f"cut_{p.prefix}") for p in PLATFORMS],
     )
 
 
-def outlier_cut(facts: DataFrame, baseline: DataFrame, test: Test) -> DataFrame:
+def outlier_cut(
+    facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool = False
+) -> DataFrame:
     """Keep the rows that are an outlier on neither platform."""
     return (
-        _judged(facts, baseline, test)
+        _judged(facts, baseline, test, only_known)
         .where(~F.col("cut_yt") & ~F.col("cut_tw"))
         .drop("cut_yt", "cut_tw")
     )
 
 
-def outlier_audit(facts: DataFrame, baseline: DataFrame, test: Test) -> DataFrame:
+def outlier_audit(
+    facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool = False
+) -> DataFrame:
     """Rows the YouTube cut removes, then those the Twitch cut removes of the rest."""
     cut_yt, cut_tw = F.col("cut_yt"), F.col("cut_tw")
-    return _judged(facts, baseline, test).agg(
+    return _judged(facts, baseline, test, only_known).agg(
         F.count("*").alias("n_before"),
         F.count_if(cut_yt).alias("n_cut_yt"),
         F.count_if(~cut_yt & cut_tw).alias("n_cut_tw"),

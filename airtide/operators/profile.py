@@ -10,7 +10,7 @@ from airtide.functions.numeric import growth_percent, percent_difference
 from airtide.functions.slots import (
     hour_from_noon_order,
     minutes_from_noon_order,
-    slot_labels,
+    slot_label_array,
     slot_labels_from_noon,
 )
 from airtide.settings import Platform
@@ -46,7 +46,6 @@ def _grid(
         ).alias("slots")
     )
     log_base = f"{p}_log_geo_avg"
-    labels = F.array(*[F.lit(t) for t in slot_labels(slot_minutes)])
     return (
         baseline.where(F.col(f"{p}_avg") != 0)
         .select(
@@ -56,7 +55,7 @@ def _grid(
             F.col(log_base).alias("ln_base"),
         )
         .join(by_channel, "channel_id", "left")
-        .withColumn("time", F.explode(labels))
+        .withColumn("time", F.explode(slot_label_array(slot_minutes)))
         .withColumn("slot", F.col("slots")[F.col("time")])
         .select(
             "channel_id", "channel_name", "time", "base", "ln_base",

@@ -7,8 +7,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from airtide.operators import effect, quality
+from airtide.operators import effect
 from airtide.operators.concurrency import avg_concurrency_series
+from airtide.operators.quality import upsert_by_key
 from airtide.plans.study import Study
 from airtide.settings import Settings
 
@@ -81,7 +82,7 @@ RESULTS: dict[str, Callable[[Study], DataFrame]] = {
     "avg_concurrency_series": lambda s: avg_concurrency_series(
         s.concurrency_distribution
     ),
-    "upsert_by_key": lambda s: quality.upsert_by_key(
+    "upsert_by_key": lambda s: upsert_by_key(
         s.yt_profile, s.geo_yt_profile, ["channel_id", "time"]
     ),
     "constraint_report": lambda s: s.constraint_report,

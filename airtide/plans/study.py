@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -15,18 +15,20 @@ from airtide.operators import (
     group,
     outliers,
     profile,
-    quality,
     sessions,
 )
+from airtide.operators.quality import TableRule, constraint_report
 from airtide.plans.staging import stage
-from airtide.settings import Settings, TWITCH, YOUTUBE
+from airtide.settings import Platform, Settings, TWITCH, YOUTUBE
 
 
 class Study:
     """Results of one pair of input tables.
 
-    Plain properties are lazy plans. The ``*_table`` properties are results that several
-    others read: the first use writes them as a stage table, later uses read that.
+    Every property is a lazy plan. ``table(name)`` writes a result as a stage table the
+    first time it is asked for; it serves inputs that are read more than once.
+    ``plan(name)`` takes the stage table if there is one and the lazy plan otherwise; it
+    serves inputs that are read once.
 
     Two branches start from ``facts``: the slot effect, after the two-sided cut of all
     channels; and the group branch with its concurrency analysis, where one group's
@@ -34,267 +36,267 @@ class Study:
     """
 
     def __init__(
-        self, snapshots: DataFrame, streamers: DataFrame, settings: Settings = Settings()
+        self,
+        snapshots: DataFrame,
+        streamers: DataFrame,
+        settings: Settings = Settings(),
+        stage: Callable[[DataFrame, str], DataFrame] = stage,
     ):
         self.snapshots = snapshots
         self.streamers = streamers
         self.settings = settings
+        self._stage = stage
+        self._tables: dict[str, DataFrame] = {}
         self._two_sided = outliers.beyond(settings.z_two_sided)
         self._low = outliers.below(settings.z_low)
 
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._stage(getattr(self, name), name)
+        return self._tables[name]
+
+    def plan(self, name: str) -> DataFrame:
+        return self._tables[name] if name in self._tables else getattr(self, name)
+
     # Cleaning
 
-    @cached_property
+    @property
     def clean(self) -> DataFrame:
         return cleaning.quality_filter(self.snapshots, self.settings.min_viewers)
 
-    @cached_property
+    @property
     def clean_audit(self) -> DataFrame:
         return cleaning.quality_filter_audit(self.snapshots, self.settings.min_viewers)
 
-    @cached_property
+    @property
     def slotted(self) -> DataFrame:
         return cleaning.to_slots(self.clean, self.settings.slot_minutes)
 
-    @cached_property
+    @property
     def slot_mean(self) -> DataFrame:
         return cleaning.slot_mean(self.slotted)
 
-    @cached_property
+    @property
     def facts(self) -> DataFrame:
         return cleaning.slot_dedup(self.slotted)
 
-    @cached_property
-    def facts_table(self) -> DataFrame:
-        return stage(self.facts, "facts")
-
-    @cached_property
+    @property
     def facts_audit(self) -> DataFrame:
-        return cleaning.slot_dedup_audit(self.slotted, self.facts)
+        return cleaning.slot_dedup_audit(self.slotted, self.plan("facts"))
 
-    @cached_property
+    @property
     def sessions(self) -> DataFrame:
-        return sessions.stream_sessions(self.facts, self.settings.slot_minutes)
+        return sessions.stream_sessions(self.plan("facts"), self.settings.slot_minutes)
 
-    @cached_property
+    @property
     def baseline(self) -> DataFrame:
-        return bl.channel_baseline(self.facts, self.streamers, self.settings.z_two_sided)
-
-    @cached_property
-    def baseline_table(self) -> DataFrame:
-        return stage(
-            bl.channel_baseline(
-                self.facts_table, self.streamers, self.settings.z_two_sided
-            ),
-            "baseline",
+        return bl.channel_baseline(
+            self.plan("facts"), self.streamers, self.settings.z_two_sided
         )
 
     # Slot effect over all channels
 
-    @cached_property
+    @property
     def cut(self) -> DataFrame:
-        return outliers.outlier_cut(self.facts_table, self.baseline_table, self._two_sided)
+        return outliers.outlier_cut(
+            self.table("facts"), self.table("baseline"), self._two_sided
+        )
 
-    @cached_property
+    @property
     def cut_audit(self) -> DataFrame:
         return outliers.outlier_audit(
-            self.facts_table, self.baseline_table, self._two_sided
+            self.table("facts"), self.table("baseline"), self._two_sided
         )
 
-    @cached_property
-    def cut_table(self) -> DataFrame:
-        return stage(self.cut, "cut")
-
-    @cached_property
+    @property
     def clean_baseline(self) -> DataFrame:
-        return bl.channel_baseline_clean(self.cut_table, self.streamers)
+        return bl.channel_baseline_clean(self.plan("cut"), self.streamers)
 
-    @cached_property
+    @property
     def time_slots(self) -> DataFrame:
         return time_slots(self.snapshots.sparkSession, self.settings.slot_minutes)
 
-    @cached_property
-    def yt_profile(self) -> DataFrame:
+    def _linear(self, platform: Platform) -> DataFrame:
+        facts = self.table("cut")
         return profile.slot_profile(
-            self.cut_table, self.clean_baseline, YOUTUBE, self.settings.slot_minutes
+            facts, self.plan("clean_baseline"), platform, self.settings.slot_minutes
         )
 
-    @cached_property
+    @property
+    def yt_profile(self) -> DataFrame:
+        return self._linear(YOUTUBE)
+
+    @property
     def tw_profile(self) -> DataFrame:
-        return profile.slot_profile(
-            self.cut_table, self.clean_baseline, TWITCH, self.settings.slot_minutes
-        )
+        return self._linear(TWITCH)
 
-    @cached_property
+    @property
     def slot_effect(self) -> DataFrame:
         return effect.slot_effect_weighted(
-            self.yt_profile, self.tw_profile, self.settings.slot_minutes
+            self.plan("yt_profile"), self.plan("tw_profile"), self.settings.slot_minutes
         )
 
     # One group of channels, starting from the uncut facts
 
-    @cached_property
+    @property
     def group_facts(self) -> DataFrame:
-        return group.group_facts(self.facts_table, self.streamers, self.settings.group)
-
-    @cached_property
-    def group_facts_table(self) -> DataFrame:
-        return stage(self.group_facts, "group-facts")
+        return group.group_facts(
+            self.table("facts"), self.streamers, self.settings.group
+        )
 
-    @cached_property
+    @property
     def group_streamers(self) -> DataFrame:
         return group.group_streamers(self.streamers, self.settings.group)
 
-    @cached_property
+    @property
     def group_baseline(self) -> DataFrame:
-        return group.present_baselines(self.baseline_table, self.group_facts_table)
+        """Baselines of the group's channels that have facts."""
+        return group.present_baselines(self._member_baseline, self.table("facts"))
+
+    @property
+    def _member_baseline(self) -> DataFrame:
+        self.table("facts")  # staged before the baseline reads it
+        return group.member_baselines(
+            self.table("baseline"), self.streamers, self.settings.group
+        )
 
-    @cached_property
+    @property
     def group_cut(self) -> DataFrame:
-        return outliers.outlier_cut(self.group_facts_table, self.group_baseline, self._low)
+        """Group restriction and cut in one join: only members have a baseline here."""
+        return outliers.outlier_cut(
+            self.table("facts"), self._member_baseline, self._low, only_known=True
+        )
 
-    @cached_property
+    @property
     def group_cut_audit(self) -> DataFrame:
         return outliers.outlier_audit(
-            self.group_facts_table, self.group_baseline, self._low
+            self.table("facts"), self._member_baseline, self._low, only_known=True
         )
 
-    @cached_property
-    def group_cut_table(self) -> DataFrame:
-        return stage(self.group_cut, "group-cut")
-
-    @cached_property
+    @property
     def geo_baseline(self) -> DataFrame:
-        return bl.channel_baseline_geo(self.group_cut_table, self.group_streamers)
-
-    @cached_property
-    def geo_baseline_table(self) -> DataFrame:
-        return stage(self.geo_baseline, "geo-baseline")
+        return bl.channel_baseline_geo(self.plan("group_cut"), self.group_streamers)
 
-    @cached_property
-    def geo_yt_profile(self) -> DataFrame:
+    def _geometric(self, platform: Platform) -> DataFrame:
+        facts = self.table("group_cut")
         return profile.slot_profile_geo(
-            self.group_cut_table, self.geo_baseline, YOUTUBE, self.settings.slot_minutes
+            facts, self.plan("geo_baseline"), platform, self.settings.slot_minutes
         )
 
-    @cached_property
+    @property
+    def geo_yt_profile(self) -> DataFrame:
+        return self._geometric(YOUTUBE)
+
+    @property
     def geo_tw_profile(self) -> DataFrame:
-        return profile.slot_profile_geo(
-            self.group_cut_table, self.geo_baseline, TWITCH, self.settings.slot_minutes
-        )
+        return self._geometric(TWITCH)
 
-    @cached_property
+    def _geo_profiles(self) -> tuple[DataFrame, DataFrame]:
+        return self.plan("geo_yt_profile"), self.plan("geo_tw_profile")
+
+    @property
     def global_profile(self) -> DataFrame:
-        return effect.slot_global_profile(self.geo_yt_profile, self.geo_tw_profile)
+        return effect.slot_global_profile(*self._geo_profiles())
 
-    @cached_property
+    @property
     def channel_directory(self) -> DataFrame:
-        return profile.channel_directory(self.geo_yt_profile, self.geo_tw_profile)
+        return profile.channel_directory(*self._geo_profiles())
 
-    @cached_property
+    @property
     def channel_overlay(self) -> DataFrame:
-        return profile.channel_slot_overlay(self.geo_yt_profile, self.geo_tw_profile)
+        return profile.channel_slot_overlay(*self._geo_profiles())
 
-    @cached_property
-    def yt_heatmap(self) -> DataFrame:
+    def _heatmap(self, profile_name: str) -> DataFrame:
         return profile.diff_heatmap(
-            self.geo_yt_profile, self.group_streamers, self.settings.slot_minutes
+            self.plan(profile_name), self.group_streamers, self.settings.slot_minutes
         )
 
-    @cached_property
+    @property
+    def yt_heatmap(self) -> DataFrame:
+        return self._heatmap("geo_yt_profile")
+
+    @property
     def tw_heatmap(self) -> DataFrame:
-        return profile.diff_heatmap(
-            self.geo_tw_profile, self.group_streamers, self.settings.slot_minutes
-        )
+        return self._heatmap("geo_tw_profile")
 
-    @cached_property
+    @property
     def diff_bound(self) -> DataFrame:
-        return profile.diff_bound(self.geo_yt_profile, self.geo_tw_profile)
+        return profile.diff_bound(*self._geo_profiles())
 
     # Concurrency within the group
 
-    @cached_property
+    @property
     def concurrent_slots(self) -> DataFrame:
-        return concurrency.concurrent_slots(self.group_cut_table, self.geo_baseline_table)
-
-    @cached_property
-    def concurrent_slots_table(self) -> DataFrame:
-        return stage(self.concurrent_slots, "concurrent-slots")
+        facts = self.table("group_cut")
+        return concurrency.concurrent_slots(facts, self.table("geo_baseline"))
 
-    @cached_property
+    @property
     def concurrent_slots_with_ids(self) -> DataFrame:
-        return concurrency.concurrent_slots_with_ids(
-            self.group_cut_table, self.geo_baseline_table
-        )
+        facts = self.table("group_cut")
+        return concurrency.concurrent_slots_with_ids(facts, self.table("geo_baseline"))
 
-    @cached_property
+    @property
     def concurrency_effect(self) -> DataFrame:
-        return concurrency.concurrency_effect(self.concurrent_slots)
+        return concurrency.concurrency_effect(self.plan("concurrent_slots"))
 
-    @cached_property
+    @property
     def concurrency_distribution(self) -> DataFrame:
-        return self._distribution(self.concurrent_slots)
-
-    def _distribution(self, slots: DataFrame) -> DataFrame:
         s = self.settings
         return concurrency.concurrency_distribution(
-            slots, s.start, s.end, s.n_days, s.max_level
+            self.plan("concurrent_slots"), s.start, s.end, s.n_days, s.max_level
         )
 
-    @cached_property
+    @property
     def concurrency_long(self) -> DataFrame:
-        return concurrency.concurrency_long(self.concurrency_distribution).orderBy(
-            "time", "live_count"
-        )
+        return concurrency.concurrency_long(
+            self.plan("concurrency_distribution")
+        ).orderBy("time", "live_count")
 
-    @cached_property
+    @property
     def concurrency_heatmap(self) -> DataFrame:
         return concurrency.concurrency_heatmap(
-            concurrency.concurrency_long(self.concurrency_distribution),
+            concurrency.concurrency_long(self.plan("concurrency_distribution")),
             self.settings.max_level,
         )
 
-    @cached_property
+    @property
     def slot_pressure(self) -> DataFrame:
+        self.table("concurrent_slots")  # read by both inputs
         return concurrency.slot_pressure(
-            self._distribution(self.concurrent_slots_table),
-            concurrency.concurrency_effect(self.concurrent_slots_table),
+            self.plan("concurrency_distribution"),
+            self.plan("concurrency_effect"),
             self.settings.n_days,
             self.settings.max_level,
         )
 
     # Checks
 
-    @cached_property
+    @property
     def constraint_report(self) -> DataFrame:
-        rule = quality.TableRule
-        slots = self.concurrent_slots_table
-        return quality.constraint_report(
-            [
-                (
-                    self.snapshots,
-                    rule(
-                        "main",
-                        ("id",),
-                        ("id", "date", "time", "channel", "youtube", "twitch"),
-                    ),
-                ),
-                (
-                    self.streamers,
-                    rule("streamer", ("channel_id",), ("channel_id", "channel_name")),
-                ),
-                (self.yt_profile, rule("yt_time_profile", ("channel_id", "time"))),
-                (self.tw_profile, rule("tw_time_profile", ("channel_id", "time"))),
-                (self.slot_effect, rule("yt_tw_time_avg", ("time",))),
-                (slots, rule("live_concurrent", ("date", "time"))),
-                (
-                    concurrency.concurrency_effect(slots),
-                    rule(
-                        "concurrent_effect",
-                        ("live_count",),
-                        ("avg_geo_perf_percent", "sample_cnt"),
-                    ),
-                ),
-                (self._distribution(slots), rule("live_count_by_time", ("time",))),
-            ]
-        )
+        self.table("concurrent_slots")
+        channel_slot = ("channel_id", "time")
+        rules = [
+            TableRule(
+                "main", ("id",), ("id", "date", "time", "channel", "youtube", "twitch")
+            ),
+            TableRule("streamer", ("channel_id",), ("channel_id", "channel_name")),
+            TableRule("yt_time_profile", channel_slot),
+            TableRule("tw_time_profile", channel_slot),
+            TableRule("yt_tw_time_avg", ("time",)),
+            TableRule("live_concurrent", ("date", "time")),
+            TableRule(
+                "concurrent_effect", ("live_count",), ("avg_geo_perf_percent", "sample_cnt")
+            ),
+            TableRule("live_count_by_time", ("time",)),
+        ]
+        tables = [
+            self.snapshots,
+            self.streamers,
+            self.table("yt_profile"),
+            self.table("tw_profile"),
+            self.plan("slot_effect"),
+            self.plan("concurrent_slots"),
+            self.plan("concurrency_effect"),
+            self.plan("concurrency_distribution"),
+        ]
+        return constraint_report(list(zip(tables, rules)))
