@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airtide.functions.numeric import growth_percent, log_growth
 from airtide.operators.lookup import attach
+from airtide.plans.staging import stage
 
 MAX_IDS_PER_LIST = 10_000
 
@@ -54,8 +55,8 @@ def concurrent_slots_with_ids(
     A slot with more than ``max_ids`` rows has its list in several rows, numbered by
     ``part``: no task gathers a whole hot slot. ``id_list`` is ordered within a part.
     """
-    live_rows = _live_rows(facts, baseline)
-    totals = _slot_totals(live_rows)
+    live_rows = stage(_live_rows(facts, baseline), "live-rows")
+    totals = stage(_slot_totals(live_rows), "live-totals")
     parts = F.ceil(F.col("live_count") / max_ids)
     lists = (
         attach(

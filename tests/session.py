@@ -17,6 +17,7 @@ def spark_session(cores: str = "8") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("AIRTIDE_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
