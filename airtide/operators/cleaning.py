@@ -78,9 +78,10 @@ def _with_stream_mean(rows: DataFrame, means: DataFrame, platform: Platform) ->
         },
         weight="n_rows",
     )
-    return looked_up.withColumn(
-        platform.viewers, F.coalesce("_mean", platform.viewers)
-    ).drop("_mean", "n_rows")
+    return looked_up.select(
+        *[c for c in SNAPSHOT_COLUMNS if c != platform.viewers],
+        F.coalesce("_mean", platform.viewers).alias(platform.viewers),
+    )
 
 
 def slot_mean(slotted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 HEAVY_KEYS = 1024
+HEAVY_ROWS = 100_000
 
 
 def attach(
@@ -22,12 +23,13 @@ def attach(
     ``facts``; a NULL expression means the row looks nothing up. All other columns of
     ``table`` are added, and ``matched`` names an optional flag column.
 
-    The rows of the ``HEAVY_KEYS`` most frequent keys are served by a broadcast, whose
-    size that number bounds. Any other key holds less than 1/HEAVY_KEYS of the rows, so
-    the rest joins with an ordinary shuffle (or a broadcast, where the optimizer sees
-    that ``table`` is small). Rows that are served already, or look nothing up, are
-    spread by a hash of ``row_id`` and not by their key. ``weight`` names a column of
-    ``table`` that holds the row count of the key; without it the keys are counted.
+    The rows of the ``HEAVY_KEYS`` most frequent keys, where those hold ``HEAVY_ROWS``
+    rows or more, are served by a broadcast, whose size is bounded by that number of
+    keys. Any other key holds few rows or less than 1/HEAVY_KEYS of all, so the rest
+    joins with an ordinary shuffle (or a broadcast, where the optimizer sees that
+    ``table`` is small). Rows that are served already, or look nothing up, are spread by
+    a hash of ``row_id`` and not by their key. ``weight`` names a column of ``table``
+    that holds the row count of the key; without it the keys are counted.
     """
     keys = list(on)
     values = [c for c in table.columns if c not in on]
@@ -36,35 +38,28 @@ def attach(
 
     heavy = _heavy_rows(probe, probe_keys, table, keys, weight)
     heavy = F.broadcast(_prefixed(heavy, keys, values, "_heavy_"))
-    probe = probe.join(
-        heavy,
-        [F.col(p) == F.col(f"_heavy_{k}") for p, k in zip(probe_keys, keys)],
-        "left",
-    )
-
-    served = F.col("_heavy_hit").isNotNull()
-    for p in probe_keys:
-        served = served | F.col(p).isNull()
-    probe = probe.withColumn("_served", served).withColumns(
-        {p: F.when(~F.col("_served"), F.col(p)) for p in probe_keys}
-    ).withColumn(
-        "_spread",
-        F.when(F.col("_served"), F.xxhash64(row_id)).otherwise(F.xxhash64(*probe_keys)),
-    )
+    probe = probe.join(heavy, _same(probe_keys, keys, "_heavy_"), "left")
 
-    rest = _prefixed(table, keys, values, "_rest_").withColumn(
-        "_rest_spread", F.xxhash64(*[f"_rest_{k}" for k in keys])
-    )
-    joined = probe.join(
-        rest,
-        [F.col("_spread") == F.col("_rest_spread")]
-        + [F.col(p) == F.col(f"_rest_{k}") for p, k in zip(probe_keys, keys)],
-        "left",
+    served = " OR ".join(["_heavy_hit IS NOT NULL"] + [f"{p} IS NULL" for p in probe_keys])
+    probe = probe.selectExpr(
+        *[f"`{c}`" for c in facts.columns],
+        *[f"`_heavy_{v}`" for v in values],
+        "_heavy_hit",
+        *[f"IF({served}, NULL, {p}) AS {p}" for p in probe_keys],
+        f"IF({served}, xxhash64({row_id}), xxhash64({', '.join(probe_keys)})) AS _spread",
     )
-    added = [F.coalesce(f"_heavy_{v}", f"_rest_{v}").alias(v) for v in values]
+    rest = _prefixed(table, keys, values, "_rest_", f"xxhash64({', '.join(keys)}) AS _rest_spread")
+    on_rest = _same(probe_keys, keys, "_rest_") & F.expr("_spread = _rest_spread")
+    added = [f"coalesce(`_heavy_{v}`, `_rest_{v}`) AS `{v}`" for v in values]
     if matched:
-        added.append(F.coalesce("_heavy_hit", "_rest_hit", F.lit(False)).alias(matched))
-    return joined.select(*[F.col(c) for c in facts.columns], *added)
+        added.append(f"coalesce(_heavy_hit, _rest_hit, false) AS {matched}")
+    return probe.join(rest, on_rest, "left").selectExpr(
+        *[f"`{c}`" for c in facts.columns], *added
+    )
+
+
+def _same(probe_keys: list[str], keys: list[str], prefix: str) -> Column:
+    return F.expr(" AND ".join(f"{p} = {prefix}{k}" for p, k in zip(probe_keys, keys)))
 
 
 def _heavy_rows(
@@ -76,25 +71,23 @@ def _heavy_rows(
 ) -> DataFrame:
     """The rows of ``table`` for the most frequent keys, at most HEAVY_KEYS of them."""
     if weight:
-        return table.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
-    present = F.lit(True)
-    for p in probe_keys:
-        present = present & F.col(p).isNotNull()
+        candidates = table.where(F.col(weight) >= HEAVY_ROWS)
+        return candidates.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
     frequent = (
-        probe.where(present)
+        probe.na.drop(subset=probe_keys)
         .groupBy([F.col(p).alias(k) for p, k in zip(probe_keys, keys)])
         .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") >= HEAVY_ROWS)
         .orderBy(F.desc("_n"), *keys)
         .limit(HEAVY_KEYS)
-        .drop("_n")
+        .select(*keys)
     )
     return table.join(F.broadcast(frequent), keys, "left_semi")
 
 
 def _prefixed(
-    table: DataFrame, keys: list[str], values: list[str], prefix: str
+    table: DataFrame, keys: list[str], values: list[str], prefix: str, *extra: str
 ) -> DataFrame:
-    return table.select(
-        *[F.col(c).alias(prefix + c) for c in keys + values],
-        F.lit(True).alias(prefix + "hit"),
+    return table.selectExpr(
+        *[f"`{c}` AS `{prefix}{c}`" for c in keys + values], f"true AS {prefix}hit", *extra
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,14 +18,8 @@ def rounded(table: DataFrame, digits: int, *columns: str) -> DataFrame:
     return table.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _with_max_level(study: Study, level: int) -> Study:
-    return Study(
-        study.snapshots, study.streamers, replace(study.settings, max_level=level)
-    )
-
-
-def _pressure(study: Study) -> DataFrame:
-    return rounded(study.slot_pressure, 6, "expected_perf", "expected_perf_known")
+def _pressure(study: Study, max_level: int) -> DataFrame:
+    return rounded(study.pressure(max_level), 6, "expected_perf", "expected_perf_known")
 
 
 RESULTS: dict[str, Callable[[Study], DataFrame]] = {
@@ -77,8 +70,8 @@ RESULTS: dict[str, Callable[[Study], DataFrame]] = {
     "concurrency_distribution": lambda s: s.concurrency_distribution,
     "concurrency_long": lambda s: s.concurrency_long,
     "concurrency_heatmap": lambda s: s.concurrency_heatmap,
-    "slot_pressure": _pressure,
-    "slot_pressure_max_level_4": lambda s: _pressure(_with_max_level(s, 4)),
+    "slot_pressure": lambda s: _pressure(s, s.settings.max_level),
+    "slot_pressure_max_level_4": lambda s: _pressure(s, 4),
     "avg_concurrency_series": lambda s: avg_concurrency_series(
         s.concurrency_distribution
     ),

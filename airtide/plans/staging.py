@@ -3,7 +3,7 @@
 A stage is a parquet table in the shared folder that the cluster names in
 ``spark.checkpoint.dir``. It cuts the lineage, outlives lost executors, keeps column
 pruning and filter pushdown for its readers, and gives the optimizer a real table size
-to decide broadcasts with.
+to decide broadcasts with. It lives as long as the application.
 """
 
 from __future__ import annotations
@@ -33,4 +33,11 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     spark = table.sparkSession
     path = f"{stage_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
+    _delete_at_exit(spark, path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop the folder when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

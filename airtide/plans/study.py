@@ -239,13 +239,16 @@ class Study:
     def concurrency_effect(self) -> DataFrame:
         return concurrency.concurrency_effect(self.plan("concurrent_slots"))
 
-    @property
-    def concurrency_distribution(self) -> DataFrame:
+    def distribution(self, max_level: int) -> DataFrame:
         s = self.settings
         return concurrency.concurrency_distribution(
-            self.plan("concurrent_slots"), s.start, s.end, s.n_days, s.max_level
+            self.plan("concurrent_slots"), s.start, s.end, s.n_days, max_level
         )
 
+    @property
+    def concurrency_distribution(self) -> DataFrame:
+        return self.distribution(self.settings.max_level)
+
     @property
     def concurrency_long(self) -> DataFrame:
         return concurrency.concurrency_long(
@@ -259,16 +262,19 @@ class Study:
             self.settings.max_level,
         )
 
-    @property
-    def slot_pressure(self) -> DataFrame:
+    def pressure(self, max_level: int) -> DataFrame:
         self.table("concurrent_slots")  # read by both inputs
         return concurrency.slot_pressure(
-            self.plan("concurrency_distribution"),
+            self.distribution(max_level),
             self.plan("concurrency_effect"),
             self.settings.n_days,
-            self.settings.max_level,
+            max_level,
         )
 
+    @property
+    def slot_pressure(self) -> DataFrame:
+        return self.pressure(self.settings.max_level)
+
     # Checks
 
     @property

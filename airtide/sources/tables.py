@@ -20,6 +20,23 @@ def read_streamers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STREAMER_SCHEMA).parquet(path)
 
 
+def as_snapshots(table: DataFrame) -> DataFrame:
+    """Canonical snapshots from a table of the same columns in another store or type."""
+    return table.selectExpr(*_casts(SNAPSHOT_SCHEMA))
+
+
+def as_streamers(table: DataFrame) -> DataFrame:
+    """Canonical streamers; the source calls the group column ``group``."""
+    if "grp" not in table.columns:
+        table = table.withColumnRenamed("group", "grp")
+    return table.selectExpr(*_casts(STREAMER_SCHEMA))
+
+
+def _casts(schema: str) -> list[str]:
+    columns = [field.split() for field in schema.split(", ")]
+    return [f"CAST({name} AS {kind}) AS {name}" for name, kind in columns]
+
+
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
     """Write the fact split by date, so that date ranges prune whole folders.
 

@@ -31,9 +31,9 @@ def as_rows(columns: list[str], rows) -> list[tuple]:
     )
 
 
-def compare(spark, con, name: str, sf_dir: str) -> str | None:
+def compare(spark, con, queries, name: str, sf_dir: str) -> str | None:
     """None if Spark and DuckDB give the same rows, else what differs."""
-    table = contract.queries()[name](spark, sf_dir)
+    table = queries[name](spark, sf_dir)
     got = as_rows(table.columns, table.collect())
     cursor = con.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
@@ -51,14 +51,15 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(contract.queries())
+    queries = contract.queries()
+    names = sys.argv[2:] or list(queries)
     spark = spark_session()
     con = connect(sf_dir)
     failed = 0
     for name in names:
         begin = time.time()
         try:
-            difference = compare(spark, con, name, sf_dir)
+            difference = compare(spark, con, queries, name, sf_dir)
         except Exception as error:  # report and go on with the next query
             difference = f"{type(error).__name__}: {str(error)[:600]}"
         failed += difference is not None

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from airtide.operators import lookup
 
 
-@pytest.mark.parametrize("heavy_keys", [0, 1, 3, 1024])
+@pytest.mark.parametrize("heavy_keys, heavy_rows", [(0, 1), (1, 1), (3, 1), (1024, 1), (1024, 50)])
 @pytest.mark.parametrize("weighted", [True, False])
-def test_attach_is_a_left_join(spark, monkeypatch, heavy_keys, weighted):
+def test_attach_is_a_left_join(spark, monkeypatch, heavy_keys, heavy_rows, weighted):
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", heavy_rows)
     monkeypatch.setattr(lookup, "HEAVY_KEYS", heavy_keys)
     random.seed(heavy_keys)
     facts = [(i, random.choice(["a"] * 20 + ["b", "c", "d", "e", "x", None])) for i in range(300)]
@@ -50,8 +51,9 @@ def test_attach_two_keys_and_skipped_rows(spark):
     assert {r.id: r.mean for r in got.collect()} == {1: 10, 2: None, 3: None, 4: None}
 
 
-def test_rows_of_a_heavy_key_are_spread(spark):
+def test_rows_of_a_heavy_key_are_spread(spark, monkeypatch):
     """The shuffle key of the second join differs from row to row of a heavy key."""
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 1000)
     facts = spark.range(2000).select("id", F.lit("hot").alias("key"))
     table = spark.createDataFrame([("hot", 1)], "name string, value int")
     off = {

@@ -24,6 +24,11 @@ def test_every_query_has_an_oracle():
     assert contract.queries().keys() == contract.oracle_sql().keys()
 
 
+@pytest.fixture(scope="module")
+def queries():
+    return contract.queries()
+
+
 @pytest.mark.parametrize("name", list(contract.queries()))
-def test_query_matches_oracle(spark, con, name):
-    assert compare(spark, con, name, SF_DIR) is None
+def test_query_matches_oracle(spark, con, queries, name):
+    assert compare(spark, con, queries, name, SF_DIR) is None

@@ -59,6 +59,31 @@ def test_snapshot_table_round_trip(spark, tmp_path):
         tables.read_snapshots(spark, str(tmp_path / "missing"))
 
 
+def test_tables_of_other_types_become_canonical(spark):
+    raw = spark.createDataFrame(
+        [("1", "c1", "One", "http://x", None, "g")],
+        "id string, channel_id string, channel_name string, yt_url string, tw_url string,"
+        " `group` string",
+    )
+    assert tables.as_streamers(raw).first().asDict() == {
+        "id": 1, "channel_id": "c1", "channel_name": "One", "grp": "g",
+    }
+    fact = spark.createDataFrame(
+        [(1, "2024-01-01", "10:00:00", "c1", 5, 6, None, 0)],
+        "id int, date string, time string, channel string, youtube int, twitch int,"
+        " yt_number int, tw_number int",
+    )
+    assert dict(tables.as_snapshots(fact).dtypes)["youtube"] == "bigint"
+    assert tables.as_snapshots(fact).first().yt_number is None
+
+
+def test_queries_of_one_dict_share_stage_tables(spark):
+    queries = contract.queries()
+    first = queries["outlier_cut_2s"](spark, SF).inputFiles()
+    assert set(queries["outlier_cut_2s"](spark, SF).inputFiles()) == set(first)
+    assert not set(contract.queries()["outlier_cut_2s"](spark, SF).inputFiles()) & set(first)
+
+
 def test_batch_run_matches_the_single_queries(spark, tmp_path):
     snapshots, streamers = read_events_as_study_tables(spark, SF)
     paths = batch.write_study(snapshots, streamers, EVENTS_SETTINGS, str(tmp_path))
@@ -82,7 +107,7 @@ def test_the_scan_reads_only_what_a_query_needs(spark):
 
 
 def test_no_plan_leaves_the_jvm_or_pairs_all_rows(spark):
-    for name, query in contract.queries().items():
+    for name, query in contract.queries().items():  # shares its stage tables
         text = plan_of(query(spark, SF))
         for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in text, (name, word)
