@@ -1,8 +1,7 @@
-"""SQL oracles for DuckDB, written in the plain shape of each definition.
+"""SQL oracles for DuckDB, written from each definition.
 
-They share no plan with the Spark operators: correlated averages, fan-out joins, one join
-per level and UNION ALL chains are kept here on purpose, so that the rewritten Spark
-plans are tested against the definition. ``ln`` is guarded (DuckDB gives -inf or NaN
+They share no plan with the Spark operators: means are windows, the slot effect is a
+fan-out join, levels are scalar subqueries. ``ln`` is guarded (DuckDB gives -inf or NaN
 where the result is NULL), integer casts truncate first, and weighted means of rounded
 values sum exact integers.
 """
@@ -51,36 +50,46 @@ def _band(p: str) -> str:
         round(exp({p}_ln_mean + 2.5 * {p}_ln_sigma), 1) AS {p}_max"""
 
 
-def _outliers(facts: str, p: str, v: str, test: str) -> str:
-    """Ids that the cut on one platform removes."""
-    z = f"(({_ln('m.' + v)}) - c.{p}_ln_avg) / nullif(c.{p}_ln_std, 0)"
+def _score(p: str, v: str) -> str:
+    """Deviations from the channel's mean; NULL where no verdict is possible."""
+    return (
+        f"CASE WHEN f.{v} > 0 AND b.{p}_ln_std > 0"
+        f" THEN (ln(f.{v}) - b.{p}_ln_avg) / b.{p}_ln_std END AS z_{p}"
+    )
+
+
+def _scores(facts: str) -> str:
+    return f"""
+    SELECT f.*, {_score("yt", "youtube")}, {_score("tw", "twitch")}
+    FROM {facts} f LEFT JOIN baseline b ON b.channel_id = f.channel"""
+
+
+_FACT = "id, date, time, channel, youtube, twitch, yt_number, tw_number"
+
+
+def _cells(v: str, num: str, facts: str) -> str:
     return f"""
-    SELECT m.id FROM {facts} m JOIN baseline c ON c.channel_id = m.channel
-    WHERE m.{v} > 0 AND c.{p}_ln_std > 0 AND {test.format(z=z)}"""
+    SELECT channel, time, count({v}) AS n, avg({v}) AS mean, avg({_ln(v)}) AS ln_mean
+    FROM {facts} WHERE {num} <> 0 GROUP BY channel, time"""
 
 
-def _profile(p: str, v: str, num: str, facts: str, base: str, diff: str) -> str:
+def _profile(p: str, cells: str, base: str, diff: str) -> str:
     return f"""
-    SELECT c.channel_id, c.channel_name, t.time, count(m.{v}) AS live_count,
-        coalesce(round(avg(m.{v}), 1), 0) AS avg_viewers, {diff} AS diff_percent
-    FROM {base} c CROSS JOIN time_slots t
-    LEFT JOIN {facts} m
-        ON m.channel = c.channel_id AND m.time = t.time AND m.{num} <> 0
-    WHERE c.{p}_avg <> 0
-    GROUP BY c.channel_id, c.channel_name, t.time, c.{p}_avg, c.{p}_log_geo_avg"""
+    SELECT g.channel_id, g.channel_name, g.time, coalesce(x.n, 0) AS live_count,
+        coalesce(round(x.mean, 1), 0) AS avg_viewers, {diff} AS diff_percent
+    FROM (SELECT * FROM {base}, time_slots WHERE {p}_avg <> 0) g
+    LEFT JOIN {cells} x ON (x.channel, x.time) = (g.channel_id, g.time)"""
 
 
-def _linear(p: str, v: str, num: str) -> str:
-    diff = f"round((coalesce(avg(m.{v}), 0) - c.{p}_avg) / c.{p}_avg * 100, 2)"
-    return _profile(p, v, num, "cut", "clean_stats", diff)
+def _linear(p: str) -> str:
+    diff = f"round((coalesce(x.mean, 0) - g.{p}_avg) / g.{p}_avg * 100, 2)"
+    return _profile(p, f"cells_{p}", "clean_stats", diff)
 
 
-def _geometric(p: str, v: str, num: str) -> str:
-    growth = f"round((exp(avg({_ln('m.' + v)}) - c.{p}_log_geo_avg) - 1) * 100, 2) + 0.0"
-    diff = (
-        f"CASE WHEN c.{p}_avg <= 0 OR avg(m.{v}) <= 0 THEN 0 ELSE {growth} END"
-    )
-    return _profile(p, v, num, "group_cut", "geo_stats", diff)
+def _geometric(p: str) -> str:
+    growth = f"round((exp(x.ln_mean - g.{p}_log_geo_avg) - 1) * 100, 2) + 0.0"
+    diff = f"CASE WHEN least(g.{p}_avg, x.mean) <= 0 THEN 0 ELSE {growth} END"
+    return _profile(p, f"geo_cells_{p}", "geo_stats", diff)
 
 
 def _global_side(p: str) -> str:
@@ -107,49 +116,40 @@ def _heatmap(p: str) -> str:
 
 
 def _distribution(levels: int) -> str:
+    cnt = [f"cnt_{k}" for k in range(1, levels + 1)]
     counts = ", ".join(
-        f"CAST(sum(CASE WHEN live_count = {k} THEN 1 ELSE 0 END) AS BIGINT) AS cnt_{k}"
+        f"count(*) FILTER (WHERE live_count = {k}) AS cnt_{k}"
         for k in range(1, levels + 1)
     )
-    days = " + ".join(f"cnt_{k}" for k in range(1, levels + 1))
-    weighted = " + ".join(f"{k}.0 * cnt_{k}" for k in range(1, levels + 1))
-    first, last = START[:10], END[:10]
+    weighted = " + ".join(f"{k} * cnt_{k}" for k in range(1, levels + 1))
     return f"""
-    SELECT time, round(CAST({weighted} AS DOUBLE) / {N_DAYS}.0, 2) AS avg_live_count,
-        {N_DAYS} - ({days}) AS cnt_0,
-        {", ".join(f"cnt_{k}" for k in range(1, levels + 1))}
+    SELECT time, round(CAST({weighted} AS DOUBLE) / {N_DAYS}, 2) AS avg_live_count,
+        {N_DAYS} - ({" + ".join(cnt)}) AS cnt_0, {", ".join(cnt)}
     FROM (
         SELECT time, {counts} FROM concurrent
-        WHERE (date = '{first}' AND time >= '{START[11:]}')
-            OR (date > '{first}' AND date < '{last}')
-            OR (date = '{last}' AND time < '{END[11:]}')
+        WHERE concat(date, ' ', time) >= '{START}' AND concat(date, ' ', time) < '{END}'
         GROUP BY time
     )"""
 
 
 def _pressure(levels: int, distribution: str) -> str:
-    strict = " + ".join(
-        f"d.cnt_{k} * e{k}.avg_geo_perf_percent" for k in range(1, levels + 1)
-    )
-    known = " + ".join(
-        f"d.cnt_{k} * coalesce(e{k}.avg_geo_perf_percent, 0)"
-        for k in range(1, levels + 1)
-    )
-    joins = "\n".join(
-        f"LEFT JOIN effect e{k} ON e{k}.live_count = {k}" for k in range(1, levels + 1)
-    )
+    effect = "(SELECT avg_geo_perf_percent FROM effect WHERE live_count = {k})"
+    days = range(1, levels + 1)
+    strict = " + ".join(f"cnt_{k} * {effect.format(k=k)}" for k in days)
+    known = " + ".join(f"cnt_{k} * coalesce({effect.format(k=k)}, 0)" for k in days)
     return f"""
-    SELECT d.time, round((d.cnt_0 * 0 + {strict}) / {N_DAYS}.0, 6) AS expected_perf,
-        round(({known}) / {N_DAYS}.0, 6) AS expected_perf_known
-    FROM {distribution} d {joins}"""
+    SELECT time, round(({strict}) / {N_DAYS}, 6) AS expected_perf,
+        round(({known}) / {N_DAYS}, 6) AS expected_perf_known
+    FROM {distribution}"""
 
 
 def _long() -> str:
-    return "\nUNION ALL\n".join(
-        f"SELECT time, CAST({k} AS BIGINT) AS live_count, CAST(cnt_{k} AS BIGINT) AS cnt"
-        " FROM distribution"
-        for k in range(11)
-    )
+    counts = ", ".join(f"cnt_{k}" for k in range(11))
+    return f"""
+    SELECT time, CAST(replace(level, 'cnt_', '') AS BIGINT) AS live_count,
+        CAST(cnt AS BIGINT) AS cnt
+    FROM (SELECT time, {counts} FROM distribution)
+    UNPIVOT (cnt FOR level IN ({counts}))"""
 
 
 def _sessions(platform: str, v: str, num: str) -> str:
@@ -179,10 +179,9 @@ def _sessions(platform: str, v: str, num: str) -> str:
     FROM facts WHERE {num} <> 0"""
 
 
-_YT, _TW = ("yt", "youtube", "yt_number"), ("tw", "twitch", "tw_number")
 _SESSIONS_YT, _POINTS_YT = _sessions("YT", "youtube", "yt_number")
 _SESSIONS_TW, _POINTS_TW = _sessions("TW", "twitch", "tw_number")
-_NOISE = "(yt_number = 0 AND tw_number = 0) OR (youtube < 10 AND twitch < 10)"
+_NOISE = "NOT (yt_number <> 0 OR tw_number <> 0) OR greatest(youtube, twitch) < 10"
 _KEY7 = "date, time, channel, yt_number, tw_number, youtube, twitch"
 
 
@@ -249,33 +248,26 @@ _PARTS: dict[str, str] = {
             AS time,
         channel, youtube, twitch, yt_number, tw_number
     FROM clean""",
-    "yt_means": """
-    SELECT date, time, yt_number, CAST(trunc(avg(youtube)) AS BIGINT) AS mean
-    FROM slotted WHERE yt_number <> 0 GROUP BY ALL""",
-    "tw_means": """
-    SELECT date, time, tw_number, CAST(trunc(avg(twitch)) AS BIGINT) AS mean
-    FROM slotted WHERE tw_number <> 0 GROUP BY ALL""",
     "meaned": """
-    SELECT m.id, m.date, m.time, m.channel,
-        CASE WHEN m.yt_number <> 0 THEN y.mean ELSE m.youtube END AS youtube,
-        CASE WHEN m.tw_number <> 0 THEN t.mean ELSE m.twitch END AS twitch,
-        m.yt_number, m.tw_number
-    FROM slotted m
-    LEFT JOIN yt_means y
-        ON y.date = m.date AND y.time = m.time AND y.yt_number = m.yt_number
-    LEFT JOIN tw_means t
-        ON t.date = m.date AND t.time = m.time AND t.tw_number = m.tw_number""",
+    SELECT id, date, time, channel,
+        CASE WHEN yt_number <> 0 THEN CAST(trunc(
+            avg(youtube) OVER (PARTITION BY date, time, yt_number)) AS BIGINT)
+            ELSE youtube END AS youtube,
+        CASE WHEN tw_number <> 0 THEN CAST(trunc(
+            avg(twitch) OVER (PARTITION BY date, time, tw_number)) AS BIGINT)
+            ELSE twitch END AS twitch,
+        yt_number, tw_number
+    FROM slotted""",
     "facts": f"""
-    SELECT * FROM meaned WHERE id IN (SELECT min(id) FROM meaned GROUP BY {_KEY7})""",
+    SELECT * FROM meaned
+    QUALIFY row_number() OVER (PARTITION BY {_KEY7} ORDER BY id) = 1""",
     "statistics": _statistics("facts", "streamers"),
     "baseline": f"""
     SELECT channel_id, channel_name, {_band("yt")}, {_band("tw")} FROM statistics""",
-    "yt_outliers": _outliers("facts", "yt", "youtube", "abs({z}) > 2.5"),
-    "tw_outliers": _outliers("facts", "tw", "twitch", "abs({z}) > 2.5"),
-    "cut": """
-    SELECT * FROM facts
-    WHERE id NOT IN (SELECT id FROM yt_outliers)
-        AND id NOT IN (SELECT id FROM tw_outliers)""",
+    "scores": _scores("facts"),
+    "cut": f"""
+    SELECT {_FACT} FROM scores
+    WHERE coalesce(abs(z_yt), 0) <= 2.5 AND coalesce(abs(z_tw), 0) <= 2.5""",
     "cut_statistics": _statistics("cut", "streamers"),
     "clean_stats": f"""
     SELECT channel_id, channel_name,
@@ -287,8 +279,10 @@ _PARTS: dict[str, str] = {
     "time_slots": """
     SELECT lpad(CAST(h.h AS VARCHAR), 2, '0') || ':' || q.q AS time
     FROM range(24) h(h) CROSS JOIN (VALUES ('00'), ('15'), ('30'), ('45')) q(q)""",
-    "profile_yt": _linear(*_YT),
-    "profile_tw": _linear(*_TW),
+    "cells_yt": _cells("youtube", "yt_number", "cut"),
+    "cells_tw": _cells("twitch", "tw_number", "cut"),
+    "profile_yt": _linear("yt"),
+    "profile_tw": _linear("tw"),
     "time_effect": f"""
     SELECT t.time,
         {_weighted(f"sum({_units('y')})", "sum(y.live_count)")} AS yt_avg,
@@ -311,29 +305,30 @@ _PARTS: dict[str, str] = {
     SELECT e.time, e.yt_avg, e.tw_avg, e.all_avg, p.all_avg_pooled
     FROM time_effect e JOIN pooled p ON p.time = e.time""",
     "group_facts": f"""
-    SELECT m.* FROM facts m JOIN streamers s ON m.channel = s.channel_id
-    WHERE s.grp = '{GROUP}'""",
+    SELECT * FROM facts
+    WHERE channel IN (SELECT channel_id FROM streamers WHERE grp = '{GROUP}')""",
     "group_streamers": f"""
     SELECT * FROM streamers WHERE NOT coalesce(grp <> '{GROUP}', false)""",
     "group_baseline": """
-    SELECT * FROM baseline
-    WHERE channel_id IN (SELECT DISTINCT channel FROM group_facts)""",
-    "yt_low": _outliers("group_facts", "yt", "youtube", "{z} < -3"),
-    "tw_low": _outliers("group_facts", "tw", "twitch", "{z} < -3"),
-    "group_cut": """
-    SELECT * FROM group_facts
-    WHERE id NOT IN (SELECT id FROM yt_low) AND id NOT IN (SELECT id FROM tw_low)""",
+    SELECT * FROM baseline b
+    WHERE EXISTS (SELECT 1 FROM group_facts f WHERE f.channel = b.channel_id)""",
+    "group_scores": _scores("group_facts"),
+    "group_cut": f"""
+    SELECT {_FACT} FROM group_scores
+    WHERE coalesce(z_yt, 0) >= -3 AND coalesce(z_tw, 0) >= -3""",
     "geo_statistics": _statistics("group_cut", "group_streamers"),
     "geo_stats": f"""
     SELECT channel_id, channel_name, {_mean_std("yt")}, yt_ln_mean AS yt_log_geo_avg,
         {_mean_std("tw")}, tw_ln_mean AS tw_log_geo_avg
     FROM geo_statistics""",
-    "geo_profile_yt": _geometric(*_YT),
-    "geo_profile_tw": _geometric(*_TW),
+    "geo_cells_yt": _cells("youtube", "yt_number", "group_cut"),
+    "geo_cells_tw": _cells("twitch", "tw_number", "group_cut"),
+    "geo_profile_yt": _geometric("yt"),
+    "geo_profile_tw": _geometric("tw"),
     "global_yt": _global_side("yt"),
     "global_tw": _global_side("tw"),
     "global_profile": """
-    SELECT a.time, y.total AS yt_sum,
+    SELECT coalesce(y.time, w.time) AS time, y.total AS yt_sum,
         round(CAST(y.viewers * 10 AS DOUBLE) / nullif(y.total, 0), 0) / 100
             AS yt_weighted_avg,
         round((exp(y.logs / nullif(y.total, 0)) - 1) * 100, 2) + 0.0 AS yt_weighted_diff,
@@ -341,22 +336,22 @@ _PARTS: dict[str, str] = {
         round(CAST(w.viewers * 10 AS DOUBLE) / nullif(w.total, 0), 0) / 100
             AS tw_weighted_avg,
         round((exp(w.logs / nullif(w.total, 0)) - 1) * 100, 2) + 0.0 AS tw_weighted_diff
-    FROM (SELECT time FROM global_yt UNION SELECT time FROM global_tw) a
-    LEFT JOIN global_yt y ON y.time = a.time
-    LEFT JOIN global_tw w ON w.time = a.time""",
-    "known_rows": """
-    SELECT m.id, m.date, m.time,
-        CASE
-            WHEN m.yt_number <> 0 AND m.youtube > 0 THEN ln(m.youtube) - c.yt_log_geo_avg
-            WHEN m.tw_number <> 0 AND m.twitch > 0 THEN ln(m.twitch) - c.tw_log_geo_avg
-        END AS performance
-    FROM group_cut m JOIN geo_stats c ON m.channel = c.channel_id
-    WHERE m.yt_number IS NOT NULL OR m.tw_number IS NOT NULL""",
+    FROM global_yt y FULL JOIN global_tw w ON w.time = y.time""",
+    "counted": """
+    SELECT *,
+        CASE WHEN yt_number <> 0 AND youtube > 0 THEN 'yt'
+            WHEN tw_number <> 0 AND twitch > 0 THEN 'tw' END AS platform
+    FROM group_cut WHERE coalesce(yt_number, tw_number) IS NOT NULL""",
+    "performances": f"""
+    SELECT r.id, r.date, r.time, CASE r.platform
+        WHEN 'yt' THEN {_ln("r.youtube")} - g.yt_log_geo_avg
+        WHEN 'tw' THEN {_ln("r.twitch")} - g.tw_log_geo_avg END AS performance
+    FROM counted r JOIN geo_stats g ON g.channel_id = r.channel""",
     "concurrent": """
     SELECT date, time, count(id) AS live_count,
         string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS id_list,
         (exp(avg(performance)) - 1) * 100 AS geo_perf_percent
-    FROM known_rows GROUP BY date, time""",
+    FROM performances GROUP BY date, time""",
     "effect": f"""
     SELECT live_count,
         (exp(avg({_ln("1 + geo_perf_percent / 100.0")})) - 1) * 100
@@ -372,14 +367,13 @@ _PARTS: dict[str, str] = {
 }
 
 
-def _audit(facts: str, yt: str, tw: str) -> str:
-    cut_yt = f"id IN (SELECT id FROM {yt})"
-    cut_tw = f"id IN (SELECT id FROM {tw})"
+def _audit(scores: str, yt_out: str, tw_out: str) -> str:
+    yt, tw = f"coalesce({yt_out}, false)", f"coalesce({tw_out}, false)"
     return f"""
-    SELECT count(*) AS n_before, count(*) FILTER (WHERE {cut_yt}) AS n_cut_yt,
-        count(*) FILTER (WHERE NOT {cut_yt} AND {cut_tw}) AS n_cut_tw,
-        count(*) FILTER (WHERE NOT {cut_yt} AND NOT {cut_tw}) AS n_after
-    FROM {facts}"""
+    SELECT count(*) AS n_before, count(*) FILTER (WHERE {yt}) AS n_cut_yt,
+        count(*) FILTER (WHERE NOT {yt} AND {tw}) AS n_cut_tw,
+        count(*) FILTER (WHERE NOT {yt} AND NOT {tw}) AS n_after
+    FROM {scores}"""
 
 
 def _log_or_zero(p: str) -> str:
@@ -402,15 +396,12 @@ _ORACLES: dict[str, str] = {
     "slot15": "SELECT * FROM slotted",
     "slot_mean": "SELECT * FROM meaned",
     "slot_dedup": "SELECT * FROM facts",
-    "slot_dedup_audit": f"""
-    SELECT count(*) FILTER (
-            WHERE id NOT IN (SELECT min(id) FROM meaned GROUP BY {_KEY7})
-        ) AS n_duplicates,
-        (SELECT count(*) FROM facts) AS n_after
-    FROM meaned""",
+    "slot_dedup_audit": """
+    SELECT (SELECT count(*) FROM meaned) - count(*) AS n_duplicates, count(*) AS n_after
+    FROM facts""",
     "channel_baseline": "SELECT * FROM baseline",
     "outlier_cut_2s": "SELECT * FROM cut",
-    "outlier_audit": _audit("facts", "yt_outliers", "tw_outliers"),
+    "outlier_audit": _audit("scores", "abs(z_yt) > 2.5", "abs(z_tw) > 2.5"),
     "channel_baseline_clean": "SELECT * FROM clean_stats",
     "time_slots": "SELECT * FROM time_slots",
     "slot_profile_yt": "SELECT * FROM profile_yt",
@@ -428,7 +419,7 @@ _ORACLES: dict[str, str] = {
     "group_only_streamer": "SELECT * FROM group_streamers",
     "group_only_channel_avg": "SELECT * FROM group_baseline",
     "outlier_cut_low3": "SELECT * FROM group_cut",
-    "outlier_audit_low3": _audit("group_facts", "yt_low", "tw_low"),
+    "outlier_audit_low3": _audit("group_scores", "z_yt < -3", "z_tw < -3"),
     "channel_baseline_geo": """
     SELECT channel_id, channel_name,
         yt_avg, yt_std, round(yt_log_geo_avg, 6) AS yt_log_geo_avg,
@@ -438,8 +429,8 @@ _ORACLES: dict[str, str] = {
     "slot_profile_geo_tw": "SELECT * FROM geo_profile_tw",
     "slot_global_profile": "SELECT * FROM global_profile",
     "channel_directory": """
-    SELECT DISTINCT channel_id, channel_name FROM geo_profile_yt
-    UNION SELECT DISTINCT channel_id, channel_name FROM geo_profile_tw
+    SELECT channel_id, channel_name FROM geo_profile_yt
+    UNION SELECT channel_id, channel_name FROM geo_profile_tw
     ORDER BY channel_name""",
     "channel_slot_overlay": f"""
     SELECT coalesce(y.channel_id, w.channel_id) AS channel_id,
