@@ -1,13 +1,11 @@
 """Run the whole study and keep every result as a parquet table.
 
-    spark-submit -m airtide.plans.batch SNAPSHOTS STREAMERS OUTPUT [GROUP]
+    python -m airtide.plans.batch SNAPSHOTS STREAMERS OUTPUT GROUP
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 
 from airtide.plans.study import Study
@@ -65,11 +63,13 @@ def write_study(
     return paths
 
 
-def main(snapshots: str, streamers: str, output: str, group: str | None = None) -> None:
+def main(snapshots: str, streamers: str, output: str, group: str) -> None:
     spark = SparkSession.builder.appName("airtide").getOrCreate()
-    settings = replace(Settings(), group=group) if group else Settings()
     write_study(
-        read_snapshots(spark, snapshots), read_streamers(spark, streamers), settings, output
+        read_snapshots(spark, snapshots),
+        read_streamers(spark, streamers),
+        Settings(group=group),
+        output,
     )
 
 

@@ -39,7 +39,7 @@ class Study:
         self,
         snapshots: DataFrame,
         streamers: DataFrame,
-        settings: Settings = Settings(),
+        settings: Settings,
         stage: Callable[[DataFrame, str], DataFrame] = stage,
     ):
         self.snapshots = snapshots

@@ -21,11 +21,13 @@ PLATFORMS = (YOUTUBE, TWITCH)
 
 @dataclass(frozen=True)
 class Settings:
+    """``group`` names the streamers of the group branch; the rest are fixed values."""
+
+    group: str
     min_viewers: int = 10
     slot_minutes: int = 15
     z_two_sided: float = 2.5
     z_low: float = -3.0
-    group: str = "子午"
     start: str = "2025-06-29 12:00"
     end: str = "2025-12-26 12:00"
     n_days: int = 180
