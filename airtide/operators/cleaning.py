@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airtide.functions.numeric import is_true
 from airtide.functions.slots import slot_start
-from airtide.operators.lookup import attach
+from airtide.operators.lookup import HEAVY_ROWS, attach
 from airtide.plans.staging import stage
 from airtide.settings import PLATFORMS, Platform
 
@@ -41,10 +41,14 @@ def to_slots(snapshots: DataFrame, slot_minutes: int = 15) -> DataFrame:
 
 
 def _stream_means(slotted: DataFrame) -> DataFrame:
-    """Whole mean viewers of every stream in every slot, over all channels that carry it.
+    """Whole mean viewers of the streams whose rows differ within a slot.
 
-    One pass for both platforms: (platform, date, time, number) -> mean, n_rows.
+    One pass for both platforms: (platform, date, time, number) -> mean, n_rows. A stream
+    with one row, or with equal rows, in a slot has its mean already and is left out; in
+    ordinary data that leaves little to join. Heavy streams stay in, as ``attach`` has to
+    know all of them.
     """
+    viewers = F.col("viewers")
     return (
         slotted.select(
             "date",
@@ -57,9 +61,13 @@ def _stream_means(slotted: DataFrame) -> DataFrame:
         .where("number != 0")
         .groupBy("platform", "date", "time", "number")
         .agg(
-            F.avg("viewers").cast("bigint").alias("mean"),
+            F.avg(viewers).cast("bigint").alias("mean"),
             F.count("*").alias("n_rows"),
+            F.min(viewers).alias("lowest"),
+            F.max(viewers).alias("highest"),
         )
+        .where((F.col("lowest") < F.col("highest")) | (F.col("n_rows") >= HEAVY_ROWS))
+        .drop("lowest", "highest")
     )
 
 
@@ -102,15 +110,18 @@ def slot_dedup(slotted: DataFrame) -> DataFrame:
 
     Where a channel is live, its mean is a function of (date, time, stream number), so
     the rows that will be equal are known before the means are: they collapse first,
-    and only one row of each set is joined to its mean.
+    and only one row of each set is joined to its mean. Its viewers matter only where
+    there is no mean to join, and there all rows of the set have the same.
     """
     means = stage(_stream_means(slotted), "stream-means")
-    key = ["date", "time", "channel", "yt_number", "tw_number"]
-    kept_viewers = [
-        F.when(~is_true(F.col(p.number) != 0), F.col(p.viewers)).alias(p.viewers)
+    key = [F.col(c) for c in ("date", "time", "channel", "yt_number", "tw_number")]
+    key += [
+        F.when(~is_true(F.col(p.number) != 0), F.col(p.viewers)).alias(f"own_{p.prefix}")
         for p in PLATFORMS
     ]
-    rows = slotted.groupBy(*key, *kept_viewers).agg(F.min("id").alias("id"))
+    rows = slotted.groupBy(*key).agg(
+        F.min("id").alias("id"), *[F.min(p.viewers).alias(p.viewers) for p in PLATFORMS]
+    )
     for platform in PLATFORMS:
         rows = _with_stream_mean(rows, means, platform)
     return rows.select(SNAPSHOT_COLUMNS)

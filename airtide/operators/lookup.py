@@ -25,34 +25,42 @@ def attach(
 
     The rows of the ``HEAVY_KEYS`` most frequent keys, where those hold ``HEAVY_ROWS``
     rows or more, are served by a broadcast, whose size is bounded by that number of
-    keys. Any other key holds few rows or less than 1/HEAVY_KEYS of all, so the rest
-    joins with an ordinary shuffle (or a broadcast, where the optimizer sees that
-    ``table`` is small). Rows that are served already, or look nothing up, are spread by
-    a hash of ``row_id`` and not by their key. ``weight`` names a column of ``table``
-    that holds the row count of the key; without it the keys are counted.
+    keys; it tells of a heavy key also that ``table`` lacks it. Any other key holds few
+    rows or less than 1/HEAVY_KEYS of all, so the rest joins with an ordinary shuffle
+    (or a broadcast, where the optimizer sees that ``table`` is small). Rows that are
+    served already, or look nothing up, are spread by a hash of ``row_id`` and not by
+    their key.
+
+    Without ``weight`` the keys are counted. It may name a column of ``table`` that holds
+    the row count of the key, if ``table`` has every heavy key.
     """
     keys = list(on)
     values = [c for c in table.columns if c not in on]
     probe_keys = [f"_probe_{k}" for k in keys]
     probe = facts.withColumns(dict(zip(probe_keys, on.values())))
 
-    heavy = _heavy_rows(probe, probe_keys, table, keys, weight)
-    heavy = F.broadcast(_prefixed(heavy, keys, values, "_heavy_"))
+    table = table.withColumn("_known", F.lit(True))
+    heavy = F.broadcast(
+        _heavy_rows(probe, probe_keys, table, keys, weight).selectExpr(
+            *_prefixed(keys, values, "_heavy_"), "true AS _heavy_hit"
+        )
+    )
     probe = probe.join(heavy, _same(probe_keys, keys, "_heavy_"), "left")
 
     served = " OR ".join(["_heavy_hit IS NOT NULL"] + [f"{p} IS NULL" for p in probe_keys])
     probe = probe.selectExpr(
         *[f"`{c}`" for c in facts.columns],
-        *[f"`_heavy_{v}`" for v in values],
-        "_heavy_hit",
+        *[f"`_heavy_{v}`" for v in [*values, "_known"]],
         *[f"IF({served}, NULL, {p}) AS {p}" for p in probe_keys],
         f"IF({served}, xxhash64({row_id}), xxhash64({', '.join(probe_keys)})) AS _spread",
     )
-    rest = _prefixed(table, keys, values, "_rest_", f"xxhash64({', '.join(keys)}) AS _rest_spread")
+    rest = table.selectExpr(
+        *_prefixed(keys, values, "_rest_"), f"xxhash64({', '.join(keys)}) AS _rest_spread"
+    )
     on_rest = _same(probe_keys, keys, "_rest_") & F.expr("_spread = _rest_spread")
     added = [f"coalesce(`_heavy_{v}`, `_rest_{v}`) AS `{v}`" for v in values]
     if matched:
-        added.append(f"coalesce(_heavy_hit, _rest_hit, false) AS {matched}")
+        added.append(f"coalesce(_heavy__known, _rest__known, false) AS {matched}")
     return probe.join(rest, on_rest, "left").selectExpr(
         *[f"`{c}`" for c in facts.columns], *added
     )
@@ -69,7 +77,7 @@ def _heavy_rows(
     keys: list[str],
     weight: str | None,
 ) -> DataFrame:
-    """The rows of ``table`` for the most frequent keys, at most HEAVY_KEYS of them."""
+    """The most frequent keys, at most HEAVY_KEYS, with their row of ``table`` if any."""
     if weight:
         candidates = table.where(F.col(weight) >= HEAVY_ROWS)
         return candidates.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
@@ -82,12 +90,9 @@ def _heavy_rows(
         .limit(HEAVY_KEYS)
         .select(*keys)
     )
-    return table.join(F.broadcast(frequent), keys, "left_semi")
+    known = table.join(F.broadcast(frequent), keys, "left_semi")
+    return frequent.join(F.broadcast(known), keys, "left")
 
 
-def _prefixed(
-    table: DataFrame, keys: list[str], values: list[str], prefix: str, *extra: str
-) -> DataFrame:
-    return table.selectExpr(
-        *[f"`{c}` AS `{prefix}{c}`" for c in keys + values], f"true AS {prefix}hit", *extra
-    )
+def _prefixed(keys: list[str], values: list[str], prefix: str) -> list[str]:
+    return [f"`{c}` AS `{prefix}{c}`" for c in [*keys, *values, "_known"]]

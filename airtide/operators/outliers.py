@@ -36,6 +36,8 @@ def _judged(
         F.col("channel_id"),
         *[f"{p.prefix}_ln_{stat}" for p in PLATFORMS for stat in ("avg", "std")],
     )
+    if not only_known:  # silent and constant channels cut nothing
+        bounds = bounds.where("yt_ln_std > 0 OR tw_ln_std > 0")
 
     def verdict(p: Platform) -> Column:
         viewers, std = F.col(p.viewers), F.col(f"{p.prefix}_ln_std")

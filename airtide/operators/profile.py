@@ -2,100 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airtide.functions.numeric import growth_percent, percent_difference
+from airtide.functions.numeric import growth_percent, percent_difference, positive_ln
 from airtide.functions.slots import (
     hour_from_noon_order,
     minutes_from_noon_order,
     slot_label_array,
     slot_labels_from_noon,
 )
-from airtide.settings import Platform
+from airtide.settings import PLATFORMS, Platform
+
+
+def slot_totals(facts: DataFrame) -> DataFrame:
+    """Sums per channel and slot for both platforms, over the rows live there.
+
+    Both the profile of a channel and its means over all slots follow from these few
+    rows, so one pass over the facts serves every profile.
+    """
+    sums: list[Column] = []
+    for p in PLATFORMS:
+        viewers = F.when(F.col(p.number) != 0, F.col(p.viewers))
+        sums += [
+            F.count(viewers).alias(f"{p.prefix}_n"),
+            F.sum(viewers).alias(f"{p.prefix}_total"),
+            F.count(positive_ln(viewers)).alias(f"{p.prefix}_ln_n"),
+            F.sum(positive_ln(viewers)).alias(f"{p.prefix}_ln_total"),
+        ]
+    return facts.groupBy(F.col("channel").alias("channel_id"), "time").agg(*sums)
 
 
 def _grid(
-    facts: DataFrame,
-    baseline: DataFrame,
+    totals: DataFrame,
+    streamers: DataFrame,
     platform: Platform,
-    difference: Callable[[], Column],
+    difference: Column,
     slot_minutes: int,
 ) -> DataFrame:
-    """Every slot of the day for every channel with a mean on the platform.
+    """Every slot of the day for every streamer with a mean on the platform.
 
-    The fact shrinks to one row per channel and slot, and then to one row per channel
-    that maps its slots (at most a day of them). Only those rows meet the baseline; the
-    dense grid appears after the join, so it is never shuffled.
+    The totals shrink to one row per channel, which holds its means and a map of its
+    slots (at most a day of them). Only those rows meet the streamers; the dense grid
+    appears after the join, so it is never shuffled.
     """
-    p = platform.prefix
-    viewers = F.col(platform.viewers)
-    by_slot = (
-        facts.where(F.col(platform.number) != 0)
-        .groupBy("channel", "time")
+    n, total, ln_n, ln_total = (
+        F.col(f"{platform.prefix}_{c}") for c in ("n", "total", "ln_n", "ln_total")
+    )
+    slot = F.struct(
+        n.alias("live_count"),
+        (total / n).alias("mean"),
+        F.try_divide(ln_total, ln_n).alias("ln_mean"),
+    )
+    by_channel = (
+        totals.where(n > 0)
+        .groupBy("channel_id")
         .agg(
-            F.count(viewers).alias("live_count"),
-            F.avg(viewers).alias("mean"),
-            F.avg(F.ln(viewers)).alias("ln_mean"),
+            F.round(F.sum(total) / F.sum(n), 1).alias("base"),
+            F.try_divide(F.sum(ln_total), F.sum(ln_n)).alias("ln_base"),
+            F.map_from_entries(F.collect_list(F.struct("time", slot))).alias("slots"),
         )
+        .where("base != 0")
     )
-    by_channel = by_slot.groupBy(F.col("channel").alias("channel_id")).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("time", F.struct("live_count", "mean", "ln_mean")))
-        ).alias("slots")
-    )
-    log_base = f"{p}_log_geo_avg"
     return (
-        baseline.where(F.col(f"{p}_avg") != 0)
-        .select(
-            "channel_id",
-            "channel_name",
-            F.col(f"{p}_avg").alias("base"),
-            F.col(log_base).alias("ln_base"),
-        )
-        .join(by_channel, "channel_id", "left")
+        streamers.select("channel_id", "channel_name")
+        .join(by_channel, "channel_id")
         .withColumn("time", F.explode(slot_label_array(slot_minutes)))
-        .withColumn("slot", F.col("slots")[F.col("time")])
-        .select(
-            "channel_id", "channel_name", "time", "base", "ln_base",
-            F.col("slot.live_count"), F.col("slot.mean"), F.col("slot.ln_mean"),
-        )
+        .selectExpr("* EXCEPT (slots)", "slots[time] AS slot")
+        .selectExpr("* EXCEPT (slot)", "slot.live_count", "slot.mean", "slot.ln_mean")
         .select(
             "channel_id",
             "channel_name",
             "time",
             F.coalesce("live_count", F.lit(0)).alias("live_count"),
             F.coalesce(F.round("mean", 1), F.lit(0.0)).alias("avg_viewers"),
-            difference().alias("diff_percent"),
+            difference.alias("diff_percent"),
         )
     )
 
 
 def slot_profile(
-    facts: DataFrame, baseline: DataFrame, platform: Platform, slot_minutes: int = 15
+    totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
 ) -> DataFrame:
     """Percent above the arithmetic mean; a slot without rows is at -100."""
-
-    def difference() -> Column:
-        mean = F.coalesce("mean", F.lit(0.0))
-        return F.round(percent_difference(mean, F.col("base")), 2)
-
-    return _grid(facts, baseline, platform, difference, slot_minutes)
+    mean = F.coalesce("mean", F.lit(0.0))
+    difference = F.round(percent_difference(mean, F.col("base")), 2)
+    return _grid(totals, streamers, platform, difference, slot_minutes)
 
 
 def slot_profile_geo(
-    facts: DataFrame, baseline: DataFrame, platform: Platform, slot_minutes: int = 15
+    totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
 ) -> DataFrame:
     """Percent above the geometric mean; NULL for a slot without rows."""
-
-    def difference() -> Column:
-        growth = growth_percent(F.col("ln_mean") - F.col("ln_base"))
-        return F.when((F.col("base") <= 0) | (F.col("mean") <= 0), F.lit(0.0)).otherwise(
-            F.round(growth, 2)
-        )
-
-    return _grid(facts, baseline, platform, difference, slot_minutes)
+    growth = growth_percent(F.col("ln_mean") - F.col("ln_base"))
+    no_viewers = (F.col("base") <= 0) | (F.col("mean") <= 0)
+    difference = F.when(no_viewers, F.lit(0.0)).otherwise(F.round(growth, 2))
+    return _grid(totals, streamers, platform, difference, slot_minutes)
 
 
 def channel_directory(*profiles: DataFrame) -> DataFrame:

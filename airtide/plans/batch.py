@@ -25,12 +25,14 @@ TABLES = [
     "cut",
     "clean_baseline",
     "time_slots",
+    "slot_totals",
     "yt_profile",
     "tw_profile",
     "slot_effect",
     "group_streamers",
     "group_cut",
     "geo_baseline",
+    "group_slot_totals",
     "geo_yt_profile",
     "geo_tw_profile",
     "global_profile",

@@ -116,10 +116,14 @@ class Study:
     def time_slots(self) -> DataFrame:
         return time_slots(self.snapshots.sparkSession, self.settings.slot_minutes)
 
+    @property
+    def slot_totals(self) -> DataFrame:
+        return profile.slot_totals(self.plan("cut"))
+
     def _linear(self, platform: Platform) -> DataFrame:
-        facts = self.table("cut")
+        totals = self.table("slot_totals")
         return profile.slot_profile(
-            facts, self.plan("clean_baseline"), platform, self.settings.slot_minutes
+            totals, self.streamers, platform, self.settings.slot_minutes
         )
 
     @property
@@ -177,10 +181,14 @@ class Study:
     def geo_baseline(self) -> DataFrame:
         return bl.channel_baseline_geo(self.plan("group_cut"), self.group_streamers)
 
+    @property
+    def group_slot_totals(self) -> DataFrame:
+        return profile.slot_totals(self.plan("group_cut"))
+
     def _geometric(self, platform: Platform) -> DataFrame:
-        facts = self.table("group_cut")
+        totals = self.table("group_slot_totals")
         return profile.slot_profile_geo(
-            facts, self.plan("geo_baseline"), platform, self.settings.slot_minutes
+            totals, self.group_streamers, platform, self.settings.slot_minutes
         )
 
     @property

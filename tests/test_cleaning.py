@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from airtide.operators import cleaning
+import pytest
+
+from airtide.operators import cleaning, lookup
 
 DAY = "2024-01-01"
 
@@ -86,7 +88,10 @@ def test_large_viewer_numbers(snapshots):
     assert {r.youtube for r in cleaning.slot_mean(table).collect()} == {big}
 
 
-def test_mean_and_dedup_against_brute_force(snapshots):
+@pytest.mark.parametrize("heavy_rows", [100_000, 10, 1])
+def test_mean_and_dedup_against_brute_force(snapshots, monkeypatch, heavy_rows):
+    monkeypatch.setattr(cleaning, "HEAVY_ROWS", heavy_rows)
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", heavy_rows)
     for seed in (1, 2):
         slotted = cleaning.to_slots(snapshots(*random_snapshots(seed)))
         slotted_rows = rows_of(slotted)

@@ -51,11 +51,17 @@ def test_attach_two_keys_and_skipped_rows(spark):
     assert {r.id: r.mean for r in got.collect()} == {1: 10, 2: None, 3: None, 4: None}
 
 
-def test_rows_of_a_heavy_key_are_spread(spark, monkeypatch):
-    """The shuffle key of the second join differs from row to row of a heavy key."""
+@pytest.mark.parametrize("known", [True, False])
+@pytest.mark.parametrize("weighted", [True, False])
+def test_rows_of_a_heavy_key_are_spread(spark, monkeypatch, known, weighted):
+    """The rows of a heavy key go to all tasks, also if the table lacks the key."""
+    if weighted and not known:
+        pytest.skip("a table with row counts has every heavy key")
     monkeypatch.setattr(lookup, "HEAVY_ROWS", 1000)
     facts = spark.range(2000).select("id", F.lit("hot").alias("key"))
-    table = spark.createDataFrame([("hot", 1)], "name string, value int")
+    table = spark.createDataFrame(
+        [("hot" if known else "cold", 1, 2000)], "name string, value int, n bigint"
+    )
     off = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.enabled": "false",
@@ -64,13 +70,17 @@ def test_rows_of_a_heavy_key_are_spread(spark, monkeypatch):
     try:
         for k, v in off.items():
             spark.conf.set(k, v)
-        joined = lookup.attach(facts, table, {"name": F.col("key")})
-        sizes = [
-            r["count"]
-            for r in joined.groupBy(F.spark_partition_id()).count().collect()
-        ]
+        joined = lookup.attach(
+            facts,
+            table,
+            {"name": F.col("key")},
+            weight="n" if weighted else None,
+            matched="hit",
+        )
+        sizes = joined.groupBy(F.spark_partition_id(), "hit").count().collect()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert sum(sizes) == 2000
-    assert max(sizes) < 2000 / 4
+    assert {r.hit for r in sizes} == {known}
+    assert sum(r["count"] for r in sizes) == 2000
+    assert max(r["count"] for r in sizes) < 2000 / 4

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from airtide.functions.slots import slot_labels
-from airtide.operators import baseline, effect, profile
+from airtide.operators import effect, profile
 from airtide.settings import TWITCH, YOUTUBE
 
 DAY = "2024-01-01"
@@ -44,8 +44,8 @@ def facts(snapshots):
 
 def test_linear_profile_grid(facts, streamers):
     names = streamers((1, "a", "A", None), (2, "t", "T", None), (3, "quiet", "Q", None))
-    base = baseline.channel_baseline_clean(facts, names)
-    grid = cells(profile.slot_profile(facts, base, YOUTUBE))
+    totals = profile.slot_totals(facts)
+    grid = cells(profile.slot_profile(totals, names, YOUTUBE))
     # 96 slots for every channel with a mean on the platform, and no other channel
     assert sorted(t for c, t in grid if c == "a") == slot_labels()
     assert {c for c, _ in grid} == {"a"}
@@ -53,20 +53,28 @@ def test_linear_profile_grid(facts, streamers):
     assert grid["a", "10:00"].diff_percent == 50.0
     assert grid["a", "10:15"].diff_percent == -100.0 and grid["a", "10:15"].live_count == 1
     assert grid["a", "10:30"].diff_percent == -100.0 and grid["a", "10:30"].live_count == 0
-    twitch = cells(profile.slot_profile(facts, base, TWITCH))
+    twitch = cells(profile.slot_profile(totals, names, TWITCH))
     assert twitch["t", "10:00"].diff_percent == 0.0
     live = sum(r.live_count for r in grid.values())
     assert live == 3
 
 
 def test_geometric_profile_empty_and_zero_slots(facts, streamers):
-    base = baseline.channel_baseline_geo(facts, streamers((1, "a", "A", "g")))
-    grid = cells(profile.slot_profile_geo(facts, base, YOUTUBE))
+    names = streamers((1, "a", "A", "g"))
+    grid = cells(profile.slot_profile_geo(profile.slot_totals(facts), names, YOUTUBE))
     assert grid["a", "10:30"].diff_percent is None  # no rows
     assert grid["a", "10:15"].diff_percent == 0.0  # rows, but no viewers
     assert grid["a", "10:00"].diff_percent == 0.0  # the whole geometric mean
 
 
+def test_a_channel_without_viewers_has_no_grid(snapshots, streamers):
+    zero = snapshots((1, DAY, "10:00", "z", 0, 9, 1, 1), (2, DAY, "10:15", "z", 0, 0, 1, 1))
+    totals = profile.slot_totals(zero)
+    names = streamers((1, "z", "Z", None))
+    assert profile.slot_profile(totals, names, YOUTUBE).isEmpty()
+    assert profile.slot_profile(totals, names, TWITCH).count() == 96
+
+
 def literal_effect(yt, tw, time):
     """Sums over the join of both profiles on the slot."""
     ys = [(n, d) for _, t, n, d in yt if t == time and d != -100] or [None]
