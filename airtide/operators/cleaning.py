@@ -15,24 +15,31 @@ SNAPSHOT_COLUMNS = [
 ]
 
 
-def _is_noise(min_viewers: int) -> Column:
-    """Live nowhere, or hardly watched; unknown where a stream number is NULL."""
-    return ((F.col("yt_number") == 0) & (F.col("tw_number") == 0)) | (
-        (F.col("youtube") < min_viewers) & (F.col("twitch") < min_viewers)
-    )
+def _is_kept(min_viewers: int) -> Column:
+    """Possibly live somewhere, and possibly watched; never NULL.
+
+    Only what is certainly noise goes: a NULL leaves the verdict open. Plain comparisons,
+    so that the filter reaches the scan.
+    """
+    maybe_live, maybe_watched = F.lit(False), F.lit(False)
+    for p in PLATFORMS:
+        number, viewers = F.col(p.number), F.col(p.viewers)
+        maybe_live = maybe_live | number.isNull() | (number != 0)
+        maybe_watched = maybe_watched | viewers.isNull() | (viewers >= min_viewers)
+    return maybe_live & maybe_watched
 
 
 def quality_filter(snapshots: DataFrame, min_viewers: int = 10) -> DataFrame:
     """Drop the rows that are certainly noise; rows with an unknown verdict stay."""
-    return snapshots.where(~is_true(_is_noise(min_viewers)))
+    return snapshots.where(_is_kept(min_viewers))
 
 
 def quality_filter_audit(snapshots: DataFrame, min_viewers: int = 10) -> DataFrame:
-    noise = is_true(_is_noise(min_viewers))
+    kept = _is_kept(min_viewers)
     return snapshots.agg(
         F.count("*").alias("n_before"),
-        F.count_if(noise).alias("n_deleted"),
-        F.count_if(~noise).alias("n_after"),
+        F.count_if(~kept).alias("n_deleted"),
+        F.count_if(kept).alias("n_after"),
     )
 
 

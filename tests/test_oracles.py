@@ -10,6 +10,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from airtide.operators import cleaning, lookup
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("AIRTIDE_SF_DIR", "/root/testdata/sf0.001")
@@ -32,3 +33,17 @@ def queries():
 @pytest.mark.parametrize("name", list(contract.queries()))
 def test_query_matches_oracle(spark, con, queries, name):
     assert compare(spark, con, queries, name, SF_DIR) is None
+
+
+JOINED = ["slot_mean", "slot_dedup", "outlier_cut_2s", "outlier_audit_low3",
+          "group_only_main", "concurrent_slots", "slot_pressure_max_level_4"]
+
+
+@pytest.mark.parametrize("heavy_keys", [5, 1024])
+def test_rows_served_as_heavy_match_too(spark, con, monkeypatch, heavy_keys):
+    monkeypatch.setattr(lookup, "HEAVY_KEYS", heavy_keys)
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 2)
+    monkeypatch.setattr(cleaning, "HEAVY_ROWS", 2)
+    queries = contract.queries()
+    for name in JOINED:
+        assert compare(spark, con, queries, name, SF_DIR) is None, name

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -52,7 +53,10 @@ def test_snapshot_table_round_trip(spark, tmp_path):
     tables.write_snapshots(snapshots, path)
     read = tables.read_snapshots(spark, path)
     assert dict(read.dtypes) == dict(snapshots.dtypes)
+    assert read.count() == snapshots.count()
     assert read.select(snapshots.columns).exceptAll(snapshots).isEmpty()
+    per_date = Counter(os.path.dirname(f) for f in read.inputFiles())
+    assert len(per_date) == 30 and max(per_date.values()) == 1
     day = read.where("date = '2024-01-05'")
     assert "PartitionFilters: [isnotnull(date" in plan_of(day)
     with pytest.raises(AnalysisException):
@@ -97,6 +101,13 @@ def test_batch_run_matches_the_single_queries(spark, tmp_path):
     assert set(paths) == set(os.listdir(tmp_path))
 
 
+def test_the_quality_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    tables.write_table(read_events_as_study_tables(spark, SF)[0], path)
+    text = plan_of(cleaning.quality_filter(tables.read_snapshots(spark, path)))
+    assert "PushedFilters: [Or(Or(Or(IsNull(yt_number),Not(EqualTo(yt_number,0)))" in text
+
+
 def test_the_scan_reads_only_what_a_query_needs(spark):
     study = contract.study(spark, SF)
     facts = staging.stage(cleaning.to_slots(study.clean), "plan-facts")
