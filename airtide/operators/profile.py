@@ -156,14 +156,14 @@ def channel_slot_overlay(
 def diff_heatmap(
     profile: DataFrame, streamers: DataFrame, slot_minutes: int = 15
 ) -> DataFrame:
-    """Channel x slot matrix of the difference, from noon to noon, in streamer order."""
+    """Channel x slot matrix of the difference, from noon to noon, in streamer order.
+
+    A cell has one row, so a plain maximum per column stands for the pivot: one
+    aggregation instead of two.
+    """
     labels = slot_labels_from_noon(slot_minutes)
-    cells = (
-        profile.groupBy("channel_id")
-        .pivot("time", labels)
-        .agg(F.first(F.round("diff_percent", 2)))
-        .na.fill(0.0, labels)
-    )
+    cell = "coalesce(max(round(diff_percent, 2)) FILTER (WHERE time = '{t}'), 0D) AS `{t}`"
+    cells = profile.groupBy("channel_id").agg(*[F.expr(cell.format(t=t)) for t in labels])
     order = streamers.select(F.col("id").alias("streamer_id"), "channel_id", "channel_name")
     return (
         order.join(cells, "channel_id")
