@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from airtide.llm.packing import packing_query
 from airtide.llm.quality_rules import QUALITY_SQL, quality_query
 from airtide.llm.warc_archive import ARCHIVE_SQL, archive_query
 
 QUERIES = {
     "op5_warc_archive": archive_query,
+    "op6_packing": packing_query,
     "op9_quality_rules": quality_query,
 }
 
