@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from airtide.llm.license_scan import licenses_query
 from airtide.llm.packing import packing_query
+from airtide.llm.pieces import pieces_query
 from airtide.llm.quality_rules import QUALITY_SQL, quality_query
+from airtide.llm.secret_scan import secrets_query
 from airtide.llm.warc_archive import ARCHIVE_SQL, archive_query
 
 QUERIES = {
+    "op3_license_scan": licenses_query,
+    "op4_secret_scan": secrets_query,
     "op5_warc_archive": archive_query,
     "op6_packing": packing_query,
+    "op8_pieces": pieces_query,
     "op9_quality_rules": quality_query,
 }
 
