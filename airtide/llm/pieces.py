@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MARK = "▁"
@@ -221,7 +222,6 @@ def encode(docs: DataFrame, *, model: str, id: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, *, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """Add the text that an array of piece ids stands for; null ids give null."""
-    import pandas as pd
 
     definition = encoded.sparkSession.sparkContext.broadcast(_read(model))  # one file
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from airtide.llm.language_id import language_query
 from airtide.llm.license_scan import licenses_query
 from airtide.llm.packing import packing_query
 from airtide.llm.pieces import pieces_query
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_packing": packing_query,
     "op8_pieces": pieces_query,
     "op9_quality_rules": quality_query,
+    "op10_language_id": language_query,
 }
 
 ORACLES = {

@@ -27,6 +27,7 @@ import binascii
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KINDS = ("assign", "access", "hex", "token", "pem", "key")
@@ -192,8 +193,6 @@ def redacted(text: str | None) -> str | None:
 
 
 def _spans_udf() -> Column:
-    import pandas as pd
-
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [dict(zip(("kind", "start", "end"), s)) for s in spans_of(t)])
@@ -210,7 +209,6 @@ def find_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents without their secrets, other columns as they were."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def redact_all(texts: pd.Series) -> pd.Series:
