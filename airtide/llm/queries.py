@@ -8,6 +8,7 @@ from airtide.llm.packing import packing_query
 from airtide.llm.pieces import pieces_query
 from airtide.llm.quality_rules import QUALITY_SQL, quality_query
 from airtide.llm.secret_scan import secrets_query
+from airtide.llm.simhash import simhash_query
 from airtide.llm.warc_archive import ARCHIVE_SQL, archive_query
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_secret_scan": secrets_query,
     "op5_warc_archive": archive_query,
     "op6_packing": packing_query,
+    "op7_simhash": simhash_query,
     "op8_pieces": pieces_query,
     "op9_quality_rules": quality_query,
     "op10_language_id": language_query,
