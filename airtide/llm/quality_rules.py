@@ -112,7 +112,12 @@ def judge(
         .otherwise(0.0)
         .alias("lost_share"),
     )
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost_share))
+    # The always-true part is not deterministic: a filter on ``kept`` stays above this
+    # projection. Moved below it, the rules would be copied into the filter and into each
+    # other's lambdas, and run anew for each element.
+    stays = F.monotonically_increasing_id() >= 0
+    kept = ~F.col("base_failed") & (F.col("lost_share") <= max_lost_share) & stays
+    return out.withColumn("kept", kept)
 
 
 def _per_window(value) -> Column:
