@@ -9,9 +9,11 @@ from airtide.llm.pieces import pieces_query
 from airtide.llm.quality_rules import QUALITY_SQL, quality_query
 from airtide.llm.secret_scan import secrets_query
 from airtide.llm.simhash import simhash_query
+from airtide.llm.topk import TOPK_SQL, topk_query
 from airtide.llm.warc_archive import ARCHIVE_SQL, archive_query
 
 QUERIES = {
+    "op2_topk": topk_query,
     "op3_license_scan": licenses_query,
     "op4_secret_scan": secrets_query,
     "op5_warc_archive": archive_query,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_topk": TOPK_SQL,
     "op5_warc_archive": ARCHIVE_SQL,
     "op9_quality_rules": QUALITY_SQL,
 }
