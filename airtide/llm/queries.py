@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from airtide.llm.language_id import language_query
 from airtide.llm.license_scan import licenses_query
+from airtide.llm.lm_scoring import scoring_query
 from airtide.llm.packing import packing_query
 from airtide.llm.pieces import pieces_query
 from airtide.llm.quality_rules import QUALITY_SQL, quality_query
@@ -13,6 +14,7 @@ from airtide.llm.topk import TOPK_SQL, topk_query
 from airtide.llm.warc_archive import ARCHIVE_SQL, archive_query
 
 QUERIES = {
+    "op1_lm_scoring": scoring_query,
     "op2_topk": topk_query,
     "op3_license_scan": licenses_query,
     "op4_secret_scan": secrets_query,
