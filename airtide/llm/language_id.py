@@ -117,7 +117,7 @@ class Machines:
             both = (labels == classes[a]) | (labels == classes[b])
             signs = np.where(labels[both] == classes[a], 1.0, -1.0)
             weights.append(fit_machine(rows[both], signs))
-        self._weights = np.array(weights, np.float32).reshape(len(weights), -1)
+        self._weights = np.array(weights, np.float32).reshape(len(weights), DIM + 1)
 
     def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen class's index, and its mean chance to win a pair."""
