@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airtide.functions.numeric import growth_percent, log_growth
 from airtide.operators.lookup import attach
-from airtide.plans.staging import stage
 
-MAX_IDS_PER_LIST = 10_000
+#: Levels with a column of their own in the wide tables; the days above go to one more.
+SHOWN_LEVELS = 10
 
 
 def _live_rows(facts: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -47,35 +47,9 @@ def concurrent_slots(facts: DataFrame, baseline: DataFrame) -> DataFrame:
     return _slot_totals(_live_rows(facts, baseline))
 
 
-def concurrent_slots_with_ids(
-    facts: DataFrame, baseline: DataFrame, max_ids: int = MAX_IDS_PER_LIST
-) -> DataFrame:
-    """``concurrent_slots`` with the ids of the live rows as comma text.
-
-    A slot with more than ``max_ids`` rows has its list in several rows, numbered by
-    ``part``: no task gathers a whole hot slot. ``id_list`` is ordered within a part.
-    """
-    live_rows = stage(_live_rows(facts, baseline), "live-rows")
-    totals = stage(_slot_totals(live_rows), "live-totals")
-    parts = F.ceil(F.col("live_count") / max_ids)
-    lists = (
-        attach(
-            live_rows.select("id", "date", "time"),
-            totals.select("date", "time", "live_count"),
-            {"date": F.col("date"), "time": F.col("time")},
-            weight="live_count",
-        )
-        .groupBy("date", "time", F.pmod(F.xxhash64("id"), parts).alias("part"))
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    )
-    return totals.join(lists, ["date", "time"]).select(
-        "date",
-        "time",
-        "part",
-        "live_count",
-        F.array_join("ids", ",").alias("id_list"),
-        "geo_perf_percent",
-    )
+def concurrent_slot_members(facts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The ids that ``concurrent_slots`` counts, one row each."""
+    return _live_rows(facts, baseline).select("date", "time", "id")
 
 
 def concurrency_effect(slots: DataFrame) -> DataFrame:
@@ -92,84 +66,77 @@ def concurrency_effect(slots: DataFrame) -> DataFrame:
     )
 
 
-def _levels(max_level: int) -> range:
-    return range(1, max_level + 1)
-
+def concurrency_long(slots: DataFrame, start: str, end: str, n_days: int) -> DataFrame:
+    """On how many of the days in [start, end) a slot has so many rows live.
 
-def concurrency_distribution(
-    slots: DataFrame, start: str, end: str, n_days: int, max_level: int = 10
-) -> DataFrame:
-    """On how many of the days in [start, end) each slot has 0, 1, .. rows live.
-
-    ``start`` and ``end`` are ``yyyy-MM-dd HH:MM``. A day above ``max_level`` adds to
-    no level and so counts as a day with 0.
+    One row per slot and level that occurs, whatever the level, and one for level 0: the
+    days without a live row. ``start`` and ``end`` are ``yyyy-MM-dd HH:MM``.
     """
     moment = F.concat_ws(" ", "date", "time")
     in_range = (
         F.col("date").between(start[:10], end[:10]) & (moment >= start) & (moment < end)
     )
-    counts = (
-        slots.where(in_range)
-        .groupBy("time")
-        .agg(
-            *[
-                F.count_if(F.col("live_count") == k).alias(f"cnt_{k}")
-                for k in _levels(max_level)
-            ]
-        )
-    )
-    days: Column = F.lit(0)
-    weighted: Column = F.lit(0)
-    for k in _levels(max_level):
-        days = days + F.col(f"cnt_{k}")
-        weighted = weighted + k * F.col(f"cnt_{k}")
-    return counts.select(
-        "time",
-        F.round(weighted / float(n_days), 2).alias("avg_live_count"),
-        (n_days - days).alias("cnt_0"),
-        *[f"cnt_{k}" for k in _levels(max_level)],
+    levels = slots.where(in_range).groupBy("time", "live_count").agg(F.count("*").alias("cnt"))
+    silent = levels.groupBy("time").agg(
+        F.lit(0).cast("bigint").alias("live_count"), (n_days - F.sum("cnt")).alias("cnt")
     )
+    return levels.unionByName(silent)
+
+
+def _shown(levels: int) -> list[Column]:
+    """Days at each shown level, and at all levels above."""
+    level, days = F.col("live_count"), F.col("cnt")
+    shown = [F.sum(F.when(level == k, days).otherwise(0)) for k in range(levels + 1)]
+    return [*shown, F.sum(F.when(level > levels, days).otherwise(0))]
 
 
-def concurrency_long(distribution: DataFrame) -> DataFrame:
-    """One row per slot and level."""
-    counts = [c for c in distribution.columns if c.startswith("cnt_")]
-    return distribution.unpivot(["time"], counts, "level", "cnt").select(
-        "time", F.substring_index("level", "_", -1).cast("bigint").alias("live_count"), "cnt"
+def concurrency_distribution(
+    long: DataFrame, n_days: int, levels: int = SHOWN_LEVELS
+) -> DataFrame:
+    """The mean level per slot, over all levels, and the days at the lowest levels.
+
+    ``cnt_over`` has the days above ``levels``, ``cnt_0`` those without a live row. (A
+    table that keeps the shown levels only takes cnt_0 + cnt_over for its cnt_0.)
+    """
+    names = [*[f"cnt_{k}" for k in range(levels + 1)], "cnt_over"]
+    weighted = F.sum(F.col("live_count") * F.col("cnt"))
+    return long.groupBy("time").agg(
+        F.round(weighted / float(n_days), 2).alias("avg_live_count"),
+        *[days.alias(name) for days, name in zip(_shown(levels), names)],
     )
 
 
-def concurrency_heatmap(long: DataFrame, max_level: int = 10) -> DataFrame:
-    """Slot x level matrix."""
-    levels = list(range(max_level + 1))
+def concurrency_heatmap(long: DataFrame, levels: int = SHOWN_LEVELS) -> DataFrame:
+    """Slot x level matrix, with the days above ``levels`` in one column."""
+    names = [*[str(k) for k in range(levels + 1)], "over"]
     return (
         long.groupBy("time")
-        .pivot("live_count", levels)
-        .agg(F.first("cnt"))
-        .na.fill(0)
+        .agg(*[days.alias(name) for days, name in zip(_shown(levels), names)])
         .orderBy("time")
     )
 
 
-def slot_pressure(
-    distribution: DataFrame, effect: DataFrame, n_days: int, max_level: int = 10
-) -> DataFrame:
+def slot_pressure(long: DataFrame, effect: DataFrame, n_days: int) -> DataFrame:
     """Performance to expect per slot: levels weighted by their days.
 
-    ``expected_perf`` is NULL as soon as any level lacks an effect, even one that never
-    occurs in the slot; ``expected_perf_known`` takes a missing effect as 0.
+    ``expected_perf`` is NULL as soon as any level up to the highest that occurs in a
+    slot lacks an effect, even one that never occurs; ``expected_perf_known`` takes a
+    missing effect as 0.
     """
     level, value = F.col("live_count"), F.col("avg_geo_perf_percent")
-    effects = effect.where(level.between(1, max_level)).select(level, value)
+    effects = effect.where(value.isNotNull()).select(level, value)
+    live = long.where(level > 0)
+    highest = live.agg(F.max(level)).scalar()
+    n_known = effects.where(level.between(1, highest)).agg(F.count("*")).scalar()
     share = F.sum(F.col("cnt") * value)
     return (
-        concurrency_long(distribution)
-        .where(level.between(1, max_level))
-        .join(F.broadcast(effects), "live_count", "left")
+        live.join(effects, "live_count", "left")
         .groupBy("time")
-        .agg(
-            F.when(F.count(value) == max_level, share / n_days).alias("expected_perf"),
-            (F.coalesce(share, F.lit(0.0)) / n_days).alias("expected_perf_known"),
+        .agg(share.alias("share"))
+        .select(
+            "time",
+            F.when(n_known == highest, F.col("share") / n_days).alias("expected_perf"),
+            (F.coalesce("share", F.lit(0.0)) / n_days).alias("expected_perf_known"),
         )
         .orderBy("time")
     )

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from airtide.functions.numeric import is_true
-from airtide.operators.lookup import attach
 
 
 def group_facts(facts: DataFrame, streamers: DataFrame, group: str) -> DataFrame:
     """Facts of the channels that belong to ``group``."""
     members = streamers.where(F.col("grp") == group).select("channel_id")
-    return (
-        attach(facts, members, {"channel_id": F.col("channel")}, matched="_member")
-        .where("_member")
-        .drop("_member")
-    )
+    return facts.join(members, F.col("channel") == F.col("channel_id"), "left_semi")
 
 
 def group_streamers(streamers: DataFrame, group: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HEAVY_KEYS = 1024
-HEAVY_ROWS = 100_000
+#: Rows of one key that a task may well take. Keys with as many or more are heavy: of N
+#: rows there are at most N / HEAVY_ROWS such keys, a million in a trillion rows.
+HEAVY_ROWS = 1_000_000
 
 
 def attach(
@@ -23,10 +24,9 @@ def attach(
     ``facts``; a NULL expression means the row looks nothing up. All other columns of
     ``table`` are added, and ``matched`` names an optional flag column.
 
-    The rows of the ``HEAVY_KEYS`` most frequent keys, where those hold ``HEAVY_ROWS``
-    rows or more, are served by a broadcast, whose size is bounded by that number of
-    keys; it tells of a heavy key also that ``table`` lacks it. Any other key holds few
-    rows or less than 1/HEAVY_KEYS of all, so the rest joins with an ordinary shuffle
+    The rows of every heavy key, one with ``HEAVY_ROWS`` rows or more, are served by a
+    broadcast of a row per heavy key; it tells of a heavy key also that ``table`` lacks
+    it. Any other key holds fewer rows, so the rest joins with an ordinary shuffle
     (or a broadcast, where the optimizer sees that ``table`` is small). Rows that are
     served already, or look nothing up, are spread by a hash of ``row_id`` and not by
     their key.
@@ -77,17 +77,14 @@ def _heavy_rows(
     keys: list[str],
     weight: str | None,
 ) -> DataFrame:
-    """The most frequent keys, at most HEAVY_KEYS, with their row of ``table`` if any."""
+    """The heavy keys, with their row of ``table`` if any."""
     if weight:
-        candidates = table.where(F.col(weight) >= HEAVY_ROWS)
-        return candidates.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
+        return table.where(F.col(weight) >= HEAVY_ROWS)
     frequent = (
         probe.na.drop(subset=probe_keys)
         .groupBy([F.col(p).alias(k) for p, k in zip(probe_keys, keys)])
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") >= HEAVY_ROWS)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HEAVY_KEYS)
         .select(*keys)
     )
     known = table.join(F.broadcast(frequent), keys, "left_semi")

@@ -47,11 +47,10 @@ def _judged(
         )
         return is_true(usable & test(z))
 
-    looked_up = attach(
-        facts, bounds, {"channel_id": F.col("channel")}, matched="_known"
-    )
-    if only_known:
-        looked_up = looked_up.where("_known")
+    if only_known:  # before rows are counted and shuffled by key
+        known = bounds.select(F.col("channel_id").alias("_known"))
+        facts = facts.join(known, F.col("channel") == F.col("_known"), "left_semi")
+    looked_up = attach(facts, bounds, {"channel_id": F.col("channel")})
     return looked_up.select(
         *[F.col(c) for c in facts.columns],
         *[verdict(p).alias(f"cut_{p.prefix}") for p in PLATFORMS],

@@ -108,7 +108,7 @@ def channel_directory(*profiles: DataFrame) -> DataFrame:
     return listed.distinct().orderBy("channel_name", "channel_id")
 
 
-def channel_id_of(directory: DataFrame, channel_name: str) -> DataFrame:
+def channel_id_of(directory: DataFrame, channel_name: str | Column) -> DataFrame:
     """The first channel of that name, as a table of at most one row."""
     return (
         directory.where(F.col("channel_name") == channel_name)
@@ -119,7 +119,7 @@ def channel_id_of(directory: DataFrame, channel_name: str) -> DataFrame:
 
 
 def channel_slot_overlay(
-    yt_profile: DataFrame, tw_profile: DataFrame, channel_id: str | None = None
+    yt_profile: DataFrame, tw_profile: DataFrame, channel_id: str | Column | None = None
 ) -> DataFrame:
     """Both platforms of a channel side by side per slot; all channels if none is named."""
 

@@ -42,10 +42,17 @@ def _check(table: DataFrame, rule: TableRule) -> DataFrame:
     )
 
 
-def upsert_by_key(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+def upsert_by_key(
+    current: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None
+) -> DataFrame:
     """``current`` with the rows of ``changes`` put in place of those of the same key.
 
-    ``changes`` holds a key once. Columns go by name.
+    Where ``changes`` holds a key more than once, the row with the largest ``order``
+    stays; without ``order`` one that holds the key once is expected. Columns go by name.
     """
+    if order:
+        last = F.max_by(F.struct("*"), F.col(order)).alias("last")
+        changes = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last)
+        changes = changes.select("last.*").select(*current.columns)
     kept = current.join(changes.select(*keys), keys, "left_anti")
     return kept.unionByName(changes)

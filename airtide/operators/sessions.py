@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airtide.functions.numeric import round_binary_half_even
 from airtide.functions.slots import minute_number, minute_text
 
-# Minutes since 1970 fit in 26 bits until the year 2097, so viewers up to 2**37 and a
-# minute share one long: the extreme and its first time come from one plain max or min.
+# Viewers and a minute share one decimal: the extreme and its first time come from one
+# plain max or min. Minutes since 1970 fit in 26 bits until the year 2097.
 _MINUTE_RANGE = 2**26
+_CODE = "decimal(29, 0)"
+
+
+def _code(viewers: Column, minute: Column) -> Column:
+    whole = viewers.cast("decimal(19, 0)") * F.lit(_MINUTE_RANGE).cast("decimal(9, 0)")
+    return (whole + minute.cast("decimal(9, 0)")).cast(_CODE)
+
+
+def _minute_in(code: Column, viewers: Column) -> Column:
+    return (code - _code(viewers, F.lit(0))).cast("bigint")
 
 
 def stream_sessions(facts: DataFrame, slot_minutes: int = 15) -> DataFrame:
@@ -29,8 +39,8 @@ def stream_sessions(facts: DataFrame, slot_minutes: int = 15) -> DataFrame:
             ),
         )
         .where("stream_id != 0")
-        .withColumn("latest_first", viewers * _MINUTE_RANGE + (_MINUTE_RANGE - 1 - minute))
-        .withColumn("earliest_first", viewers * _MINUTE_RANGE + minute)
+        .withColumn("latest_first", _code(viewers, _MINUTE_RANGE - 1 - minute))
+        .withColumn("earliest_first", _code(viewers, minute))
     )
     sessions = points.groupBy("platform", "channel", "stream_id").agg(
         F.min(minute).alias("first"),
@@ -43,10 +53,8 @@ def stream_sessions(facts: DataFrame, slot_minutes: int = 15) -> DataFrame:
         F.count("*").alias("actual_points"),
     )
     expected = F.floor((F.col("last") - F.col("first")) / slot_minutes) + 1
-    max_minute = _MINUTE_RANGE - 1 - (
-        F.col("max_code") - F.col("max_viewers") * _MINUTE_RANGE
-    )
-    min_minute = F.col("min_code") - F.col("min_viewers") * _MINUTE_RANGE
+    max_minute = _MINUTE_RANGE - 1 - _minute_in(F.col("max_code"), F.col("max_viewers"))
+    min_minute = _minute_in(F.col("min_code"), F.col("min_viewers"))
     return sessions.select(
         "platform",
         "stream_id",

@@ -1,19 +1,22 @@
 """Run the whole study and keep every result as a parquet table.
 
-    python -m airtide.plans.batch SNAPSHOTS STREAMERS OUTPUT GROUP
+    python -m airtide.plans.batch SNAPSHOTS STREAMERS OUTPUT GROUP [--start T] [--end T]
 """
 
 from __future__ import annotations
 
-import sys
+import argparse
+
 from pyspark.sql import DataFrame, SparkSession
 
+from airtide.plans.catalog import RESULTS
 from airtide.plans.study import Study
 from airtide.settings import Settings
 from airtide.sources.tables import (
     read_snapshots,
     read_streamers,
     with_created_at,
+    write_snapshots,
     write_table,
 )
 
@@ -24,7 +27,6 @@ TABLES = [
     "baseline",
     "cut",
     "clean_baseline",
-    "time_slots",
     "slot_totals",
     "yt_profile",
     "tw_profile",
@@ -37,7 +39,9 @@ TABLES = [
     "geo_tw_profile",
     "global_profile",
     "concurrent_slots",
+    "concurrent_slot_members",
     "concurrency_effect",
+    "concurrency_long",
     "concurrency_distribution",
     "slot_pressure",
 ]
@@ -46,34 +50,48 @@ TABLES = [
 def write_study(
     snapshots: DataFrame, streamers: DataFrame, settings: Settings, output: str
 ) -> dict[str, str]:
-    """Write every table of :data:`TABLES` below ``output``; name -> path.
+    """Write every table of :data:`TABLES` below ``output`` and every named result below
+    ``output``/results; name -> path.
 
-    The output tables serve as stage tables: each result is computed once.
+    The tables serve as stage tables: each is computed once, and the results read them.
+    The facts are split by date.
     """
     spark = snapshots.sparkSession
-    paths = {name: f"{output.rstrip('/')}/{name}" for name in TABLES}
+    paths: dict[str, str] = {}
 
     def write(table: DataFrame, name: str) -> DataFrame:
+        paths[name] = f"{output.rstrip('/')}/{name}"
         if name == "concurrency_effect":
             table = with_created_at(table)
-        write_table(table, paths[name])
-        return spark.read.schema(table.schema).parquet(paths[name])
+        if name in ("facts", "group_cut"):
+            write_snapshots(table, paths[name])
+        else:
+            write_table(table, paths[name])
+        return spark.read.schema(table.schema).parquet(paths[name]).select(*table.columns)
 
     study = Study(snapshots, streamers, settings, stage=write)
     for name in TABLES:
         study.table(name)
+    for name, result in RESULTS.items():
+        write(result(study), f"results/{name}")
     return paths
 
 
-def main(snapshots: str, streamers: str, output: str, group: str) -> None:
+def main() -> None:
+    parser = argparse.ArgumentParser(description="Run the whole study.")
+    for name in ("snapshots", "streamers", "output", "group"):
+        parser.add_argument(name)
+    for name, default in (("start", Settings.start), ("end", Settings.end)):
+        parser.add_argument(f"--{name}", default=default, help="yyyy-MM-dd HH:MM")
+    args = parser.parse_args()
     spark = SparkSession.builder.appName("airtide").getOrCreate()
     write_study(
-        read_snapshots(spark, snapshots),
-        read_streamers(spark, streamers),
-        Settings(group=group),
-        output,
+        read_snapshots(spark, args.snapshots),
+        read_streamers(spark, args.streamers),
+        Settings(group=args.group, start=args.start, end=args.end),
+        args.output,
     )
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:])
+    main()

@@ -1,4 +1,4 @@
-"""Named results of a study."""
+"""Named results of a study; each reads what the study has written already."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airtide.operators import effect
 from airtide.operators.concurrency import avg_concurrency_series
+from airtide.operators.profile import channel_id_of, channel_slot_overlay
 from airtide.operators.quality import upsert_by_key
 from airtide.plans.study import Study
 from airtide.settings import Settings
@@ -18,69 +19,76 @@ def rounded(table: DataFrame, digits: int, *columns: str) -> DataFrame:
     return table.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _pressure(study: Study, max_level: int) -> DataFrame:
-    return rounded(study.pressure(max_level), 6, "expected_perf", "expected_perf_known")
+def one_channel_overlay(study: Study) -> DataFrame:
+    """The overlay of one channel, looked up by its name: the first name of all."""
+    directory = study.channel_directory
+    name = directory.agg(F.min("channel_name")).scalar()
+    return channel_slot_overlay(
+        *study.geo_profiles(), channel_id_of(directory, name).scalar()
+    )
 
 
 RESULTS: dict[str, Callable[[Study], DataFrame]] = {
     "snapshot_scan": lambda s: s.snapshots,
-    "quality_filter": lambda s: s.clean,
-    "quality_filter_audit": lambda s: s.clean_audit,
-    "slot15": lambda s: s.slotted,
-    "slot_mean": lambda s: s.slot_mean,
-    "slot_dedup": lambda s: s.facts,
-    "slot_dedup_audit": lambda s: s.facts_audit,
-    "channel_baseline": lambda s: s.baseline,
-    "outlier_cut_2s": lambda s: s.cut,
-    "outlier_audit": lambda s: s.cut_audit,
-    "channel_baseline_clean": lambda s: s.clean_baseline,
-    "time_slots": lambda s: s.time_slots,
-    "slot_profile_yt": lambda s: s.yt_profile,
-    "slot_profile_tw": lambda s: s.tw_profile,
-    "slot_effect_weighted": lambda s: s.slot_effect,
-    "slot_series_percent": lambda s: effect.slot_series_percent(s.slot_effect),
+    "quality_filter": lambda s: s.plan("clean"),
+    "quality_filter_audit": lambda s: s.plan("clean_audit"),
+    "slot15": lambda s: s.plan("slotted"),
+    "slot_mean": lambda s: s.plan("slot_mean"),
+    "slot_dedup": lambda s: s.plan("facts"),
+    "slot_dedup_audit": lambda s: s.plan("facts_audit"),
+    "channel_baseline": lambda s: s.plan("baseline"),
+    "outlier_cut_2s": lambda s: s.plan("cut"),
+    "outlier_audit": lambda s: s.plan("cut_audit"),
+    "channel_baseline_clean": lambda s: s.plan("clean_baseline"),
+    "slot_profile_yt": lambda s: s.plan("yt_profile"),
+    "slot_profile_tw": lambda s: s.plan("tw_profile"),
+    "slot_effect_weighted": lambda s: s.plan("slot_effect"),
+    "slot_series_percent": lambda s: effect.slot_series_percent(s.plan("slot_effect")),
     "slot_series_log": lambda s: rounded(
-        effect.slot_series_log(s.slot_effect), 6, "yt_log", "tw_log", "all_log"
+        effect.slot_series_log(s.plan("slot_effect")), 6, "yt_log", "tw_log", "all_log"
     ),
-    "slot_series_one_platform": lambda s: effect.slot_series_one_platform(s.slot_effect),
-    "group_only_main": lambda s: s.group_facts,
-    "group_only_streamer": lambda s: s.group_streamers,
-    "group_only_channel_avg": lambda s: s.group_baseline,
-    "outlier_cut_low3": lambda s: s.group_cut,
-    "outlier_audit_low3": lambda s: s.group_cut_audit,
+    "slot_series_one_platform": lambda s: effect.slot_series_one_platform(s.plan("slot_effect")),
+    "group_only_main": lambda s: s.plan("group_facts"),
+    "group_only_streamer": lambda s: s.plan("group_streamers"),
+    "group_only_channel_avg": lambda s: s.plan("group_baseline"),
+    "outlier_cut_low3": lambda s: s.plan("group_cut"),
+    "outlier_audit_low3": lambda s: s.plan("group_cut_audit"),
     "channel_baseline_geo": lambda s: rounded(
-        s.geo_baseline, 6, "yt_log_geo_avg", "tw_log_geo_avg"
+        s.plan("geo_baseline"), 6, "yt_log_geo_avg", "tw_log_geo_avg"
     ),
-    "slot_profile_geo_yt": lambda s: s.geo_yt_profile,
-    "slot_profile_geo_tw": lambda s: s.geo_tw_profile,
-    "slot_global_profile": lambda s: s.global_profile,
-    "channel_directory": lambda s: s.channel_directory,
-    "channel_slot_overlay": lambda s: s.channel_overlay,
-    "evening_profile": lambda s: effect.evening_profile(s.global_profile),
-    "diff_heatmap_yt": lambda s: s.yt_heatmap,
-    "diff_heatmap_tw": lambda s: s.tw_heatmap,
-    "diff_heatmap_bound": lambda s: s.diff_bound,
+    "slot_profile_geo_yt": lambda s: s.plan("geo_yt_profile"),
+    "slot_profile_geo_tw": lambda s: s.plan("geo_tw_profile"),
+    "slot_global_profile": lambda s: s.plan("global_profile"),
+    "channel_directory": lambda s: s.plan("channel_directory"),
+    "channel_slot_overlay": lambda s: s.plan("channel_overlay"),
+    "one_channel_overlay": one_channel_overlay,
+    "evening_profile": lambda s: effect.evening_profile(s.plan("global_profile")),
+    "diff_heatmap_yt": lambda s: s.plan("yt_heatmap"),
+    "diff_heatmap_tw": lambda s: s.plan("tw_heatmap"),
+    "diff_heatmap_bound": lambda s: s.plan("diff_bound"),
     "concurrent_slots": lambda s: rounded(
-        s.concurrent_slots_with_ids, 6, "geo_perf_percent"
+        s.plan("concurrent_slots"), 6, "geo_perf_percent"
     ),
+    "concurrent_slot_members": lambda s: s.plan("concurrent_slot_members"),
     "concurrency_effect": lambda s: rounded(
-        s.concurrency_effect, 6, "avg_geo_perf_percent"
+        s.plan("concurrency_effect"), 6, "avg_geo_perf_percent"
+    ),
+    "stream_sessions": lambda s: s.plan("sessions"),
+    "concurrency_distribution": lambda s: s.plan("concurrency_distribution"),
+    "concurrency_long": lambda s: s.plan("concurrency_long").orderBy("time", "live_count"),
+    "concurrency_heatmap": lambda s: s.plan("concurrency_heatmap"),
+    "slot_pressure": lambda s: rounded(
+        s.plan("slot_pressure"), 6, "expected_perf", "expected_perf_known"
     ),
-    "stream_sessions": lambda s: s.sessions,
-    "concurrency_distribution": lambda s: s.concurrency_distribution,
-    "concurrency_long": lambda s: s.concurrency_long,
-    "concurrency_heatmap": lambda s: s.concurrency_heatmap,
-    "slot_pressure": lambda s: _pressure(s, s.settings.max_level),
-    "slot_pressure_max_level_4": lambda s: _pressure(s, 4),
     "avg_concurrency_series": lambda s: avg_concurrency_series(
-        s.concurrency_distribution
+        s.plan("concurrency_distribution")
     ),
     "upsert_by_key": lambda s: upsert_by_key(
-        s.yt_profile, s.geo_yt_profile, ["channel_id", "time"]
+        s.plan("yt_profile"), s.plan("geo_yt_profile"), ["channel_id", "time"]
     ),
-    "constraint_report": lambda s: s.constraint_report,
+    "constraint_report": lambda s: s.plan("constraint_report"),
 }
 
 EVENTS_SETTINGS = Settings(
-    group="BUILDING", start="2024-01-01 12:00", end="2024-01-30 12:00", n_days=29
+    group="BUILDING", start="2024-01-01 12:00", end="2024-01-30 12:00"
 )

@@ -8,24 +8,36 @@ to decide broadcasts with. It lives as long as the application.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_folders: dict[int, str] = {}
+
 
 def stage_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of its own in local mode only."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    local = re.match(r"local(\[|$)", spark.sparkContext.master)
     if folder:
+        if not local and re.match(r"file:|/", folder):
+            warnings.warn(
+                f"{CHECKPOINT_DIR} is {folder}: stage tables need a folder that all machines"
+                " mount there", stacklevel=2,
+            )
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError(
             f"set {CHECKPOINT_DIR} to a folder that all executors share"
         )
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airtide-stages-"))
-    return spark.sparkContext.getCheckpointDir()
+    if id(spark.sparkContext) not in _local_folders:
+        _local_folders[id(spark.sparkContext)] = tempfile.mkdtemp(prefix="airtide-stages-")
+    return _local_folders[id(spark.sparkContext)]
 
 
 def stage(table: DataFrame, name: str) -> DataFrame:

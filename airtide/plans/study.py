@@ -25,10 +25,11 @@ from airtide.settings import Platform, Settings, TWITCH, YOUTUBE
 class Study:
     """Results of one pair of input tables.
 
-    Every property is a lazy plan. ``table(name)`` writes a result as a stage table the
-    first time it is asked for; it serves inputs that are read more than once.
-    ``plan(name)`` takes the stage table if there is one and the lazy plan otherwise; it
-    serves inputs that are read once.
+    ``table(name)`` writes a result as a stage table the first time it is asked for; it
+    serves inputs that are read more than once. ``plan(name)`` takes the stage table if
+    there is one and the unwritten plan otherwise; it serves inputs that are read once.
+    So reading a property returns a lazy plan of the last steps, but first runs the jobs
+    that write the stage tables below it, unless they are there already.
 
     Two branches start from ``facts``: the slot effect, after the two-sided cut of all
     channels; and the group branch with its concurrency analysis, where one group's
@@ -199,20 +200,20 @@ class Study:
     def geo_tw_profile(self) -> DataFrame:
         return self._geometric(TWITCH)
 
-    def _geo_profiles(self) -> tuple[DataFrame, DataFrame]:
+    def geo_profiles(self) -> tuple[DataFrame, DataFrame]:
         return self.plan("geo_yt_profile"), self.plan("geo_tw_profile")
 
     @property
     def global_profile(self) -> DataFrame:
-        return effect.slot_global_profile(*self._geo_profiles())
+        return effect.slot_global_profile(*self.geo_profiles())
 
     @property
     def channel_directory(self) -> DataFrame:
-        return profile.channel_directory(*self._geo_profiles())
+        return profile.channel_directory(*self.geo_profiles())
 
     @property
     def channel_overlay(self) -> DataFrame:
-        return profile.channel_slot_overlay(*self._geo_profiles())
+        return profile.channel_slot_overlay(*self.geo_profiles())
 
     def _heatmap(self, profile_name: str) -> DataFrame:
         return profile.diff_heatmap(
@@ -229,7 +230,7 @@ class Study:
 
     @property
     def diff_bound(self) -> DataFrame:
-        return profile.diff_bound(*self._geo_profiles())
+        return profile.diff_bound(*self.geo_profiles())
 
     # Concurrency within the group
 
@@ -239,50 +240,40 @@ class Study:
         return concurrency.concurrent_slots(facts, self.table("geo_baseline"))
 
     @property
-    def concurrent_slots_with_ids(self) -> DataFrame:
+    def concurrent_slot_members(self) -> DataFrame:
         facts = self.table("group_cut")
-        return concurrency.concurrent_slots_with_ids(facts, self.table("geo_baseline"))
+        return concurrency.concurrent_slot_members(facts, self.table("geo_baseline"))
 
     @property
     def concurrency_effect(self) -> DataFrame:
         return concurrency.concurrency_effect(self.plan("concurrent_slots"))
 
-    def distribution(self, max_level: int) -> DataFrame:
+    @property
+    def concurrency_long(self) -> DataFrame:
         s = self.settings
-        return concurrency.concurrency_distribution(
-            self.plan("concurrent_slots"), s.start, s.end, s.n_days, max_level
+        return concurrency.concurrency_long(
+            self.plan("concurrent_slots"), s.start, s.end, s.n_days
         )
 
     @property
     def concurrency_distribution(self) -> DataFrame:
-        return self.distribution(self.settings.max_level)
-
-    @property
-    def concurrency_long(self) -> DataFrame:
-        return concurrency.concurrency_long(
-            self.plan("concurrency_distribution")
-        ).orderBy("time", "live_count")
+        return concurrency.concurrency_distribution(
+            self.plan("concurrency_long"), self.settings.n_days
+        )
 
     @property
     def concurrency_heatmap(self) -> DataFrame:
-        return concurrency.concurrency_heatmap(
-            concurrency.concurrency_long(self.plan("concurrency_distribution")),
-            self.settings.max_level,
-        )
+        return concurrency.concurrency_heatmap(self.plan("concurrency_long"))
 
-    def pressure(self, max_level: int) -> DataFrame:
+    @property
+    def slot_pressure(self) -> DataFrame:
         self.table("concurrent_slots")  # read by both inputs
         return concurrency.slot_pressure(
-            self.distribution(max_level),
+            self.table("concurrency_long"),
             self.plan("concurrency_effect"),
             self.settings.n_days,
-            max_level,
         )
 
-    @property
-    def slot_pressure(self) -> DataFrame:
-        return self.pressure(self.settings.max_level)
-
     # Checks
 
     @property
@@ -294,23 +285,35 @@ class Study:
                 "main", ("id",), ("id", "date", "time", "channel", "youtube", "twitch")
             ),
             TableRule("streamer", ("channel_id",), ("channel_id", "channel_name")),
+            TableRule("channel_avg", ("channel_id",), ("channel_id", "channel_name")),
             TableRule("yt_time_profile", channel_slot),
             TableRule("tw_time_profile", channel_slot),
             TableRule("yt_tw_time_avg", ("time",)),
-            TableRule("live_concurrent", ("date", "time")),
+            TableRule("time_global_profile", ("time",)),
+            TableRule("live_concurrent", ("date", "time"), ("date", "time", "live_count")),
+            TableRule("live_concurrent_members", ("id",), ("date", "time", "id")),
             TableRule(
                 "concurrent_effect", ("live_count",), ("avg_geo_perf_percent", "sample_cnt")
             ),
             TableRule("live_count_by_time", ("time",)),
+            TableRule(
+                "stream_analysis",
+                ("platform", "stream_id", "channel"),
+                ("platform", "stream_id", "channel", "start_time", "end_time"),
+            ),
         ]
         tables = [
             self.snapshots,
             self.streamers,
+            self.table("baseline"),
             self.table("yt_profile"),
             self.table("tw_profile"),
             self.plan("slot_effect"),
+            self.plan("global_profile"),
             self.plan("concurrent_slots"),
+            self.plan("concurrent_slot_members"),
             self.plan("concurrency_effect"),
             self.plan("concurrency_distribution"),
+            self.plan("sessions"),
         ]
         return constraint_report(list(zip(tables, rules)))

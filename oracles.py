@@ -88,7 +88,7 @@ def _linear(p: str) -> str:
 
 def _geometric(p: str) -> str:
     growth = f"round((exp(x.ln_mean - g.{p}_log_geo_avg) - 1) * 100, 2) + 0.0"
-    diff = f"CASE WHEN least(g.{p}_avg, x.mean) <= 0 THEN 0 ELSE {growth} END"
+    diff = f"CASE WHEN g.{p}_avg <= 0 OR x.mean <= 0 THEN 0 ELSE {growth} END"
     return _profile(p, f"geo_cells_{p}", "geo_stats", diff)
 
 
@@ -115,41 +115,16 @@ def _heatmap(p: str) -> str:
     GROUP BY s.id, s.channel_id, s.channel_name"""
 
 
-def _distribution(levels: int) -> str:
-    cnt = [f"cnt_{k}" for k in range(1, levels + 1)]
-    counts = ", ".join(
-        f"count(*) FILTER (WHERE live_count = {k}) AS cnt_{k}"
+def _level_counts(prefix: str, levels: int = 10) -> str:
+    """Days of slot ``o`` at each level, one scalar subquery each."""
+    at = "(SELECT count(*) FROM days d WHERE d.time = o.time{more}) AS \"{name}\""
+    shown = [
+        at.format(more=f" AND d.live_count = {k}", name=f"{prefix}{k}")
         for k in range(1, levels + 1)
-    )
-    weighted = " + ".join(f"{k} * cnt_{k}" for k in range(1, levels + 1))
-    return f"""
-    SELECT time, round(CAST({weighted} AS DOUBLE) / {N_DAYS}, 2) AS avg_live_count,
-        {N_DAYS} - ({" + ".join(cnt)}) AS cnt_0, {", ".join(cnt)}
-    FROM (
-        SELECT time, {counts} FROM concurrent
-        WHERE concat(date, ' ', time) >= '{START}' AND concat(date, ' ', time) < '{END}'
-        GROUP BY time
-    )"""
-
-
-def _pressure(levels: int, distribution: str) -> str:
-    effect = "(SELECT avg_geo_perf_percent FROM effect WHERE live_count = {k})"
-    days = range(1, levels + 1)
-    strict = " + ".join(f"cnt_{k} * {effect.format(k=k)}" for k in days)
-    known = " + ".join(f"cnt_{k} * coalesce({effect.format(k=k)}, 0)" for k in days)
-    return f"""
-    SELECT time, round(({strict}) / {N_DAYS}, 6) AS expected_perf,
-        round(({known}) / {N_DAYS}, 6) AS expected_perf_known
-    FROM {distribution}"""
-
-
-def _long() -> str:
-    counts = ", ".join(f"cnt_{k}" for k in range(11))
-    return f"""
-    SELECT time, CAST(replace(level, 'cnt_', '') AS BIGINT) AS live_count,
-        CAST(cnt AS BIGINT) AS cnt
-    FROM (SELECT time, {counts} FROM distribution)
-    UNPIVOT (cnt FOR level IN ({counts}))"""
+    ]
+    none = f"{N_DAYS} - {at.format(more='', name=f'{prefix}0')}"
+    over = at.format(more=f" AND d.live_count > {levels}", name=f"{prefix}over")
+    return ", ".join([none, *shown, over])
 
 
 def _sessions(platform: str, v: str, num: str) -> str:
@@ -181,7 +156,7 @@ def _sessions(platform: str, v: str, num: str) -> str:
 
 _SESSIONS_YT, _POINTS_YT = _sessions("YT", "youtube", "yt_number")
 _SESSIONS_TW, _POINTS_TW = _sessions("TW", "twitch", "tw_number")
-_NOISE = "NOT (yt_number <> 0 OR tw_number <> 0) OR greatest(youtube, twitch) < 10"
+_NOISE = "(yt_number = 0 AND tw_number = 0) OR (youtube < 10 AND twitch < 10)"
 _KEY7 = "date, time, channel, yt_number, tw_number, youtube, twitch"
 
 
@@ -349,7 +324,6 @@ _PARTS: dict[str, str] = {
     FROM counted r JOIN geo_stats g ON g.channel_id = r.channel""",
     "concurrent": """
     SELECT date, time, count(id) AS live_count,
-        string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS id_list,
         (exp(avg(performance)) - 1) * 100 AS geo_perf_percent
     FROM performances GROUP BY date, time""",
     "effect": f"""
@@ -358,9 +332,26 @@ _PARTS: dict[str, str] = {
             AS avg_geo_perf_percent,
         count(*) AS sample_cnt
     FROM concurrent WHERE geo_perf_percent IS NOT NULL GROUP BY live_count""",
-    "distribution": _distribution(10),
-    "distribution_4": _distribution(4),
-    "levels_long": _long(),
+    "days": f"""
+    SELECT time, live_count FROM concurrent
+    WHERE concat(date, ' ', time) >= '{START}' AND concat(date, ' ', time) < '{END}'""",
+    "observed": "SELECT DISTINCT time FROM days",
+    "levels_long": f"""
+    SELECT o.time, l.live_count,
+        CASE l.live_count
+            WHEN 0 THEN {N_DAYS} - (SELECT count(*) FROM days d WHERE d.time = o.time)
+            ELSE (SELECT count(*) FROM days d
+                WHERE d.time = o.time AND d.live_count = l.live_count) END AS cnt
+    FROM observed o JOIN (
+        SELECT DISTINCT time, live_count FROM days
+        UNION ALL SELECT time, 0 FROM observed
+    ) l ON l.time = o.time""",
+    "distribution": f"""
+    SELECT o.time,
+        (SELECT round(CAST(sum(d.live_count) AS DOUBLE) / {N_DAYS}, 2) FROM days d
+         WHERE d.time = o.time) AS avg_live_count,
+        {_level_counts("cnt_")}
+    FROM observed o""",
     "points_YT": _POINTS_YT,
     "points_TW": _POINTS_TW,
     "sessions": f"{_SESSIONS_YT}\nUNION ALL\n{_SESSIONS_TW}",
@@ -403,7 +394,6 @@ _ORACLES: dict[str, str] = {
     "outlier_cut_2s": "SELECT * FROM cut",
     "outlier_audit": _audit("scores", "abs(z_yt) > 2.5", "abs(z_tw) > 2.5"),
     "channel_baseline_clean": "SELECT * FROM clean_stats",
-    "time_slots": "SELECT * FROM time_slots",
     "slot_profile_yt": "SELECT * FROM profile_yt",
     "slot_profile_tw": "SELECT * FROM profile_tw",
     "slot_effect_weighted": "SELECT * FROM slot_effect",
@@ -443,6 +433,23 @@ _ORACLES: dict[str, str] = {
         w.live_count AS tw_live, w.avg_viewers AS tw_avg
     FROM geo_profile_yt y FULL JOIN geo_profile_tw w
         ON w.channel_id = y.channel_id AND w.time = y.time""",
+    "one_channel_overlay": f"""
+    SELECT channel_id, channel_name, time, {_HOUR.format(t="time")}
+            + CASE WHEN {_HOUR.format(t="time")} < 12 THEN 24 ELSE 0 END AS sort_key,
+        max(live_count) FILTER (WHERE side = 'yt') AS yt_live,
+        max(avg_viewers) FILTER (WHERE side = 'yt') AS yt_avg,
+        max(live_count) FILTER (WHERE side = 'tw') AS tw_live,
+        max(avg_viewers) FILTER (WHERE side = 'tw') AS tw_avg
+    FROM (
+        SELECT *, 'yt' AS side FROM geo_profile_yt UNION ALL
+        SELECT *, 'tw' AS side FROM geo_profile_tw
+    )
+    WHERE channel_id = (
+        SELECT channel_id FROM (
+            SELECT channel_id, channel_name FROM geo_profile_yt
+            UNION SELECT channel_id, channel_name FROM geo_profile_tw
+        ) ORDER BY channel_name, channel_id LIMIT 1)
+    GROUP BY channel_id, channel_name, time""",
     "evening_profile": f"""
     SELECT time, coalesce(yt_sum, 0) AS yt_sum,
         coalesce(yt_weighted_avg, 0) AS yt_weighted_avg,
@@ -461,23 +468,24 @@ _ORACLES: dict[str, str] = {
     SELECT max(abs(coalesce(round(diff_percent, 2), 0))) AS max_abs
     FROM (SELECT * FROM geo_profile_yt UNION ALL SELECT * FROM geo_profile_tw)""",
     "concurrent_slots": """
-    SELECT date, time, CAST(0 AS BIGINT) AS part, live_count, id_list,
-        round(geo_perf_percent, 6) + 0.0 AS geo_perf_percent
+    SELECT date, time, live_count, round(geo_perf_percent, 6) + 0.0 AS geo_perf_percent
     FROM concurrent""",
+    "concurrent_slot_members": "SELECT date, time, id FROM performances",
     "concurrency_effect": """
     SELECT live_count, round(avg_geo_perf_percent, 6) AS avg_geo_perf_percent, sample_cnt
     FROM effect""",
     "stream_sessions": "SELECT * FROM sessions",
     "concurrency_distribution": "SELECT * FROM distribution",
     "concurrency_long": "SELECT * FROM levels_long ORDER BY time, live_count",
-    "concurrency_heatmap": "SELECT time, "
-    + ", ".join(
-        f'coalesce(max(cnt) FILTER (WHERE live_count = {k}), 0) AS "{k}"'
-        for k in range(11)
-    )
-    + " FROM levels_long GROUP BY time",
-    "slot_pressure": _pressure(10, "distribution"),
-    "slot_pressure_max_level_4": _pressure(4, "distribution_4"),
+    "concurrency_heatmap": f"SELECT time, {_level_counts('')} FROM observed o",
+    "slot_pressure": f"""
+    SELECT time,
+        CASE WHEN (SELECT bool_and(e.avg_geo_perf_percent IS NOT NULL)
+            FROM range(1, (SELECT max(live_count) + 1 FROM days)) k(k)
+            LEFT JOIN effect e ON e.live_count = k.k)
+            THEN round(sum(avg_geo_perf_percent) / {N_DAYS}, 6) END AS expected_perf,
+        round(sum(coalesce(avg_geo_perf_percent, 0)) / {N_DAYS}, 6) AS expected_perf_known
+    FROM days LEFT JOIN effect USING (live_count) GROUP BY time""",
     "avg_concurrency_series": "SELECT time, avg_live_count FROM distribution ORDER BY time",
     "upsert_by_key": """
     SELECT channel_id, channel_name, time, live_count, avg_viewers, diff_percent
@@ -493,15 +501,22 @@ _ORACLES: dict[str, str] = {
         [
             _check("main", "snapshots", "id", "id,date,time,channel,youtube,twitch"),
             _check("streamer", "streamers", "channel_id", "channel_id,channel_name"),
+            _check("channel_avg", "baseline", "channel_id", "channel_id,channel_name"),
             _check("yt_time_profile", "profile_yt", "channel_id,time", "channel_id,time"),
             _check("tw_time_profile", "profile_tw", "channel_id,time", "channel_id,time"),
             _check("yt_tw_time_avg", "slot_effect", "time", "time"),
-            _check("live_concurrent", "concurrent", "date,time", "date,time"),
+            _check("time_global_profile", "global_profile", "time", "time"),
+            _check("live_concurrent", "concurrent", "date,time", "date,time,live_count"),
+            _check("live_concurrent_members", "performances", "id", "date,time,id"),
             _check(
                 "concurrent_effect", "effect", "live_count",
                 "avg_geo_perf_percent,sample_cnt",
             ),
             _check("live_count_by_time", "distribution", "time", "time"),
+            _check(
+                "stream_analysis", "sessions", "platform,stream_id,channel",
+                "platform,stream_id,channel,start_time,end_time",
+            ),
         ]
     ),
 }

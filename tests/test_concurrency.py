@@ -49,20 +49,17 @@ def test_concurrent_slots(snapshots, bases):
     assert rows["10:30"].geo_perf_percent == pytest.approx(100.0)
 
 
-def test_id_lists_are_whole_and_split_above_the_limit(snapshots, bases):
+def test_members_are_the_rows_that_are_counted(snapshots, bases):
     facts = snapshots(
         *[(i, DAY, "10:00", "a", 100, 0, i + 1, 0) for i in range(250)],
         (900, DAY, "10:15", "a", 100, 0, 7, 0),
+        (901, DAY, "10:15", "stranger", 100, 0, 7, 0),
     )
-    one = concurrency.concurrent_slots_with_ids(facts, bases).collect()
-    assert {(r.time, r.part): r.id_list for r in one} == {
-        ("10:00", 0): ",".join(map(str, range(250))), ("10:15", 0): "900",
-    }
-    parts = concurrency.concurrent_slots_with_ids(facts, bases, max_ids=100).collect()
-    ten = [r for r in parts if r.time == "10:00"]
-    assert len(ten) == 3 and {r.live_count for r in ten} == {250}
-    ids = [int(i) for r in ten for i in r.id_list.split(",")]
-    assert sorted(ids) == list(range(250))
+    members = concurrency.concurrent_slot_members(facts, bases).collect()
+    assert sorted(r.id for r in members if r.time == "10:00") == list(range(250))
+    assert [r.id for r in members if r.time == "10:15"] == [900]
+    counts = {r.time: r.live_count for r in concurrency.concurrent_slots(facts, bases).collect()}
+    assert counts == {"10:00": 250, "10:15": 1}
 
 
 def test_effect_is_a_geometric_mean(slots):
@@ -76,44 +73,49 @@ def test_effect_is_a_geometric_mean(slots):
     assert rows[4].avg_geo_perf_percent is None and rows[4].sample_cnt == 1
 
 
-def test_distribution_range_and_levels(slots):
-    table = slots(
+@pytest.fixture
+def long(slots):
+    return lambda *rows: concurrency.concurrency_long(slots(*rows), **RANGE)
+
+
+def test_range_and_levels(long):
+    table = long(
         ("2024-01-01", "11:45", 1, 0.0),  # before the first noon
         ("2024-01-01", "12:00", 2, 0.0),
-        ("2024-01-02", "12:00", 11, 0.0),  # above the levels: counts as no level
+        ("2024-01-02", "12:00", 25, 0.0),  # above the shown levels: not a day with none
         ("2024-01-03", "11:45", 3, 0.0),
         ("2024-01-03", "12:00", 3, 0.0),  # after the last noon
     )
-    rows = {r.time: r for r in concurrency.concurrency_distribution(table, **RANGE).collect()}
-    assert set(rows) == {"12:00", "11:45"}
-    assert (rows["12:00"].cnt_0, rows["12:00"].cnt_2, rows["12:00"].avg_live_count) == (1, 1, 1.0)
-    assert (rows["11:45"].cnt_0, rows["11:45"].cnt_3, rows["11:45"].avg_live_count) == (1, 1, 1.5)
-    for r in rows.values():
-        assert sum(r[f"cnt_{k}"] for k in range(11)) == 2
-
-
-def test_long_and_heatmap(slots):
-    table = slots(("2024-01-01", "12:00", 2, 0.0))
-    long = concurrency.concurrency_long(concurrency.concurrency_distribution(table, **RANGE))
-    assert {r.live_count: r.cnt for r in long.collect()} == {
-        k: {0: 1, 2: 1}.get(k, 0) for k in range(11)
+    assert {tuple(r) for r in table.collect()} == {
+        ("12:00", 0, 0), ("12:00", 2, 1), ("12:00", 25, 1), ("11:45", 0, 1), ("11:45", 3, 1),
     }
-    row = concurrency.concurrency_heatmap(long).first()
-    assert [row[str(k)] for k in range(11)] == [1, 0, 1] + [0] * 8
+    wide = concurrency.concurrency_distribution(table, RANGE["n_days"])
+    rows = {r.time: r for r in wide.collect()}
+    noon, before = rows["12:00"], rows["11:45"]
+    assert (noon.cnt_0, noon.cnt_2, noon.cnt_over, noon.avg_live_count) == (0, 1, 1, 13.5)
+    assert (before.cnt_0, before.cnt_3, before.cnt_over, before.avg_live_count) == (1, 1, 0, 1.5)
+    for r in rows.values():
+        assert sum(r[f"cnt_{k}"] for k in range(11)) + r.cnt_over == 2
+    matrix = {r.time: r for r in concurrency.concurrency_heatmap(table).collect()}
+    assert [matrix["12:00"][str(k)] for k in range(11)] == [0, 0, 1] + [0] * 8
+    assert (matrix["12:00"]["over"], matrix["11:45"]["0"]) == (1, 1)
 
 
-def test_pressure_strict_and_known(slots, effects):
-    table = slots(
+def test_pressure_strict_and_known(long, effects):
+    table = long(
         ("2024-01-01", "12:00", 1, 0.0), ("2024-01-02", "12:00", 2, 0.0),
+        ("2024-01-02", "12:15", 13, 0.0),
     )
-    distribution = concurrency.concurrency_distribution(table, **RANGE, max_level=3)
-    full = effects((1, 10.0), (2, -4.0), (3, 99.0), (4, 1.0))
-    row = concurrency.slot_pressure(distribution, full, 2, max_level=3).first()
-    assert (row.expected_perf, row.expected_perf_known) == (3.0, 3.0)
-    # level 3 never occurs in the slot, and still its missing effect hides the sum
-    gap = effects((1, 10.0), (2, -4.0))
-    row = concurrency.slot_pressure(distribution, gap, 2, max_level=3).first()
-    assert (row.expected_perf, row.expected_perf_known) == (None, 3.0)
-    none = effects((1, 10.0), (2, -4.0), (3, None))
-    row = concurrency.slot_pressure(distribution, none, 2, max_level=3).first()
-    assert row.expected_perf is None
+    every = [(k, 2.0 * k) for k in range(1, 14)]
+    rows = {r.time: r for r in concurrency.slot_pressure(table, effects(*every), 2).collect()}
+    assert (rows["12:00"].expected_perf, rows["12:00"].expected_perf_known) == (3.0, 3.0)
+    assert rows["12:15"].expected_perf == 13.0  # no level is left out
+    # Level 7 never occurs, and still its missing effect hides the sums.
+    for gap in (every[:6] + every[7:], every[:6] + [(7, None)] + every[7:]):
+        rows = concurrency.slot_pressure(table, effects(*gap), 2).collect()
+        assert {(r.time, r.expected_perf, r.expected_perf_known) for r in rows} == {
+            ("12:00", None, 3.0), ("12:15", None, 13.0),
+        }
+    # Levels above the highest that occurs do not matter.
+    low = concurrency.slot_pressure(table.where("live_count < 13"), effects(*every[:2]), 2)
+    assert low.first().expected_perf == 3.0

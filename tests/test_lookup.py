@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from airtide.operators import lookup
 
 
-@pytest.mark.parametrize("heavy_keys, heavy_rows", [(0, 1), (1, 1), (3, 1), (1024, 1), (1024, 50)])
+@pytest.mark.parametrize("heavy_rows", [1, 10, 50, 1000])
 @pytest.mark.parametrize("weighted", [True, False])
-def test_attach_is_a_left_join(spark, monkeypatch, heavy_keys, heavy_rows, weighted):
+def test_attach_is_a_left_join(spark, monkeypatch, heavy_rows, weighted):
     monkeypatch.setattr(lookup, "HEAVY_ROWS", heavy_rows)
-    monkeypatch.setattr(lookup, "HEAVY_KEYS", heavy_keys)
-    random.seed(heavy_keys)
+    random.seed(heavy_rows)
     facts = [(i, random.choice(["a"] * 20 + ["b", "c", "d", "e", "x", None])) for i in range(300)]
     table = [("a", 1.0), ("b", 2.0), ("c", None), ("d", 4.0), ("e", 5.0), ("unused", 6.0)]
     counts = {k: sum(f[1] == k for f in facts) for k, _ in table}
@@ -84,3 +83,23 @@ def test_rows_of_a_heavy_key_are_spread(spark, monkeypatch, known, weighted):
     assert {r.hit for r in sizes} == {known}
     assert sum(r["count"] for r in sizes) == 2000
     assert max(r["count"] for r in sizes) < 2000 / 4
+
+
+def test_no_number_of_heavy_keys_is_too_large(spark, monkeypatch):
+    """5,000 equal keys, all heavy: no task gets over twice the median."""
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 4)
+    facts = spark.range(20_000).select("id", (F.col("id") % 5000).alias("key"))
+    table = spark.range(5000).select(F.col("id").alias("name"), F.lit(1).alias("value"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        joined = lookup.attach(facts, table, {"name": F.col("key")})
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        found = joined.where("value = 1").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == sum(sizes) == 20_000
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from airtide.operators import cleaning
 from airtide.plans import batch, staging
-from airtide.plans.catalog import EVENTS_SETTINGS
+from airtide.plans.catalog import EVENTS_SETTINGS, RESULTS
 from airtide.plans.study import Study
+from airtide.settings import Settings
 from airtide.sources import tables
 from airtide.sources.events import read_events_as_study_tables
 
@@ -40,6 +42,9 @@ def test_stage_folder_comes_from_the_session(spark, tmp_path):
     assert staging.stage_folder(_Cluster("hdfs:///shared")) == "hdfs:///shared"
     with pytest.raises(ValueError):
         staging.stage_folder(_Cluster(None))
+    for folder in ("file:/mnt/shared", "/mnt/shared"):  # may be mounted everywhere, or not
+        with pytest.warns(UserWarning, match="mount"):
+            assert staging.stage_folder(_Cluster(folder)) == folder
     table = spark.range(5)
     staged = staging.stage(table, "five")
     assert sorted(r.id for r in staged.collect()) == list(range(5))
@@ -98,7 +103,36 @@ def test_batch_run_matches_the_single_queries(spark, tmp_path):
         assert written.exceptAll(single).isEmpty() and single.exceptAll(written).isEmpty()
     effect = spark.read.parquet(paths["concurrency_effect"])
     assert effect.where(F.col("created_at").isNull()).isEmpty()
-    assert set(paths) == set(os.listdir(tmp_path))
+    assert {os.path.relpath(p, tmp_path) for p in paths.values()} == {
+        *batch.TABLES, *[f"results/{name}" for name in RESULTS],
+    }
+    assert all(os.path.exists(f"{p}/_SUCCESS") for p in paths.values())
+    assert any(name.startswith("date=") for name in os.listdir(paths["facts"]))
+    distribution = spark.read.parquet(paths["results/concurrency_distribution"])
+    assert distribution.count() > 0 and distribution.agg(F.max("cnt_1")).first()[0] > 0
+
+
+@pytest.mark.parametrize("minutes", [0, 7, 25, 90])
+def test_slots_divide_the_hour(minutes):
+    with pytest.raises(ValueError):
+        Settings(group="g", slot_minutes=minutes)
+
+
+def test_days_follow_from_the_period():
+    assert Settings(group="g").n_days == 180
+    assert Settings(group="g", start="2024-01-01 12:00", end="2024-01-31 12:00").n_days == 30
+    for end in ("2024-01-01 12:00", "2024-01-02 11:45"):
+        with pytest.raises(ValueError):
+            Settings(group="g", start="2024-01-01 12:00", end=end)
+
+
+def test_members_are_found_before_the_facts_are_shuffled(spark):
+    """No exchange of the facts lies below the semi join that restricts them."""
+    study = contract.study(spark, SF)
+    for name in ("group_facts", "group_cut"):
+        lines = getattr(study, name)._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+        assert not any(re.search(r"Exchange hashpartitioning\((channel|_spread)#", line) for line in lines[depth:])
 
 
 def test_the_quality_filter_reaches_the_scan(spark, tmp_path):
@@ -118,8 +152,9 @@ def test_the_scan_reads_only_what_a_query_needs(spark):
 
 
 def test_no_plan_leaves_the_jvm_or_pairs_all_rows(spark):
-    for name, query in contract.queries().items():  # shares its stage tables
-        text = plan_of(query(spark, SF))
+    queries = contract.queries()  # share their stage tables
+    for name in RESULTS:
+        text = plan_of(queries[name](spark, SF))
         for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in text, (name, word)
 

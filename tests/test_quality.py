@@ -28,3 +28,11 @@ def test_upsert(spark):
     assert sorted((r.k or "", r.t, r.v) for r in got.collect()) == [
         ("", "1", 3), ("a", "1", 1), ("a", "2", 20), ("b", "1", 30),
     ]
+
+
+def test_the_last_of_several_changes_wins(spark):
+    schema = "k string, v bigint, version int"
+    current = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], schema)
+    changes = spark.createDataFrame([("a", 10, 1), ("a", 12, 3), ("a", 11, 2), (None, 5, 1)], schema)
+    got = upsert_by_key(current, changes, ["k"], order="version")
+    assert sorted((r.k or "", r.v) for r in got.collect()) == [("", 5), ("a", 12), ("b", 2)]
