@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airtide.functions.numeric import growth_percent, percent_difference, positive_ln
@@ -32,18 +34,17 @@ def slot_totals(facts: DataFrame) -> DataFrame:
     return facts.groupBy(F.col("channel").alias("channel_id"), "time").agg(*sums)
 
 
-def _grid(
+def _by_channel(
     totals: DataFrame,
     streamers: DataFrame,
     platform: Platform,
-    difference: Column,
+    difference: Callable[[Column, Column], Column],
     slot_minutes: int,
 ) -> DataFrame:
-    """Every slot of the day for every streamer with a mean on the platform.
+    """One row per streamer with a mean on the platform, with a cell for every slot.
 
     The totals shrink to one row per channel, which holds its means and a map of its
-    slots (at most a day of them). Only those rows meet the streamers; the dense grid
-    appears after the join, so it is never shuffled.
+    slots (at most a day of them). Only those rows meet the streamers.
     """
     n, total, ln_n, ln_total = (
         F.col(f"{platform.prefix}_{c}") for c in ("n", "total", "ln_n", "ln_total")
@@ -63,45 +64,76 @@ def _grid(
         )
         .where("base != 0")
     )
+    slots = F.transform(
+        slot_label_array(slot_minutes),
+        lambda time: F.struct(time.alias("time"), F.col("slots")[time].alias("slot")),
+    )
+    cells = F.transform(
+        slots,
+        lambda s: F.struct(
+            s["time"].alias("time"),
+            F.coalesce(s["slot"]["live_count"], F.lit(0)).alias("live_count"),
+            F.coalesce(F.round(s["slot"]["mean"], 1), F.lit(0.0)).alias("avg_viewers"),
+            difference(s["slot"]["mean"], s["slot"]["ln_mean"]).alias("diff_percent"),
+        ),
+    )
     return (
         streamers.select("channel_id", "channel_name")
         .join(by_channel, "channel_id")
-        .withColumn("time", F.explode(slot_label_array(slot_minutes)))
-        .selectExpr("* EXCEPT (slots)", "slots[time] AS slot")
-        .selectExpr("* EXCEPT (slot)", "slot.live_count", "slot.mean", "slot.ln_mean")
-        .select(
-            "channel_id",
-            "channel_name",
-            "time",
-            F.coalesce("live_count", F.lit(0)).alias("live_count"),
-            F.coalesce(F.round("mean", 1), F.lit(0.0)).alias("avg_viewers"),
-            difference.alias("diff_percent"),
-        )
+        .select("channel_id", "channel_name", cells.alias("cells"))
     )
 
 
-def slot_profile(
+def as_profile(by_channel: DataFrame) -> DataFrame:
+    """One row per channel and cell. The grid is dense and appears last: no shuffle sees it."""
+    return by_channel.select("channel_id", "channel_name", F.inline("cells"))
+
+
+def as_channels(profile: DataFrame) -> DataFrame:
+    """Inverse of :func:`as_profile`, for profiles that were written as rows."""
+    cell = F.struct("time", "live_count", "avg_viewers", "diff_percent")
+    return profile.groupBy("channel_id", "channel_name").agg(F.collect_list(cell).alias("cells"))
+
+
+def slot_profile_by_channel(
     totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
 ) -> DataFrame:
     """Percent above the arithmetic mean; a slot without rows is at -100."""
-    mean = F.coalesce("mean", F.lit(0.0))
-    difference = F.round(percent_difference(mean, F.col("base")), 2)
-    return _grid(totals, streamers, platform, difference, slot_minutes)
 
+    def difference(mean: Column, _: Column) -> Column:
+        return F.round(percent_difference(F.coalesce(mean, F.lit(0.0)), F.col("base")), 2)
 
-def slot_profile_geo(
+    return _by_channel(totals, streamers, platform, difference, slot_minutes)
+
+
+def slot_profile_geo_by_channel(
     totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
 ) -> DataFrame:
     """Percent above the geometric mean; NULL for a slot without rows."""
-    growth = growth_percent(F.col("ln_mean") - F.col("ln_base"))
-    no_viewers = (F.col("base") <= 0) | (F.col("mean") <= 0)
-    difference = F.when(no_viewers, F.lit(0.0)).otherwise(F.round(growth, 2))
-    return _grid(totals, streamers, platform, difference, slot_minutes)
+
+    def difference(mean: Column, ln_mean: Column) -> Column:
+        growth = growth_percent(ln_mean - F.col("ln_base"))
+        no_viewers = (F.col("base") <= 0) | (mean <= 0)
+        return F.when(no_viewers, F.lit(0.0)).otherwise(F.round(growth, 2))
+
+    return _by_channel(totals, streamers, platform, difference, slot_minutes)
+
+
+def slot_profile(
+    totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
+) -> DataFrame:
+    return as_profile(slot_profile_by_channel(totals, streamers, platform, slot_minutes))
+
+
+def slot_profile_geo(
+    totals: DataFrame, streamers: DataFrame, platform: Platform, slot_minutes: int = 15
+) -> DataFrame:
+    return as_profile(slot_profile_geo_by_channel(totals, streamers, platform, slot_minutes))
 
 
-def channel_directory(*profiles: DataFrame) -> DataFrame:
-    """The channels that occur in any of the profiles, by name."""
-    names = [p.select("channel_id", "channel_name") for p in profiles]
+def channel_directory(*channels: DataFrame) -> DataFrame:
+    """The channels that occur in any of the tables, by name."""
+    names = [c.select("channel_id", "channel_name") for c in channels]
     listed = names[0]
     for other in names[1:]:
         listed = listed.unionByName(other)
@@ -118,34 +150,45 @@ def channel_id_of(directory: DataFrame, channel_name: str | Column) -> DataFrame
     )
 
 
+def _cells_by_time() -> Column:
+    return F.map_from_entries(F.transform("cells", lambda c: F.struct(c["time"], c)))
+
+
 def channel_slot_overlay(
-    yt_profile: DataFrame, tw_profile: DataFrame, channel_id: str | Column | None = None
+    yt_channels: DataFrame, tw_channels: DataFrame, channel_id: str | Column | None = None
 ) -> DataFrame:
-    """Both platforms of a channel side by side per slot; all channels if none is named."""
+    """Both platforms of a channel side by side per slot; all channels if none is named.
 
-    def side(profile: DataFrame, prefix: str) -> DataFrame:
+    Channels are joined, one row each, and then unfolded into their slots.
+    """
+
+    def side(channels: DataFrame, prefix: str) -> DataFrame:
         if channel_id is not None:
-            profile = profile.where(F.col("channel_id") == channel_id)
-        return profile.select(
+            channels = channels.where(F.col("channel_id") == channel_id)
+        return channels.select(
             "channel_id",
-            "time",
             F.col("channel_name").alias(f"{prefix}_name"),
-            F.col("live_count").alias(f"{prefix}_live"),
-            F.col("avg_viewers").alias(f"{prefix}_avg"),
+            _cells_by_time().alias(prefix),
         )
 
+    none = F.array().cast("array<string>")
+    times = F.array_union(
+        F.coalesce(F.map_keys("yt"), none), F.coalesce(F.map_keys("tw"), none)
+    )
     merged = (
-        side(yt_profile, "yt")
-        .join(side(tw_profile, "tw"), ["channel_id", "time"], "full")
+        side(yt_channels, "yt")
+        .join(side(tw_channels, "tw"), "channel_id", "full")
+        .select("*", F.explode(times).alias("time"))
         .select(
             "channel_id",
             F.coalesce("yt_name", "tw_name").alias("channel_name"),
             "time",
             hour_from_noon_order(F.col("time")).alias("sort_key"),
-            "yt_live",
-            "yt_avg",
-            "tw_live",
-            "tw_avg",
+            *[
+                F.col(p)[F.col("time")][field].alias(f"{p}_{name}")
+                for p in ("yt", "tw")
+                for field, name in (("live_count", "live"), ("avg_viewers", "avg"))
+            ],
         )
     )
     if channel_id is None:
@@ -154,29 +197,29 @@ def channel_slot_overlay(
 
 
 def diff_heatmap(
-    profile: DataFrame, streamers: DataFrame, slot_minutes: int = 15
+    channels: DataFrame, streamers: DataFrame, slot_minutes: int = 15
 ) -> DataFrame:
-    """Channel x slot matrix of the difference, from noon to noon, in streamer order.
-
-    A cell has one row, so a plain maximum per column stands for the pivot: one
-    aggregation instead of two.
-    """
+    """Channel x slot matrix of the difference, from noon to noon, in streamer order."""
     labels = slot_labels_from_noon(slot_minutes)
-    cell = "coalesce(max(round(diff_percent, 2)) FILTER (WHERE time = '{t}'), 0D) AS `{t}`"
-    cells = profile.groupBy("channel_id").agg(*[F.expr(cell.format(t=t)) for t in labels])
+    at = channels.select("channel_id", _cells_by_time().alias("at"))
+    cell = "coalesce(round(at['{t}'].diff_percent, 2), 0D) AS `{t}`"
     order = streamers.select(F.col("id").alias("streamer_id"), "channel_id", "channel_name")
     return (
-        order.join(cells, "channel_id")
-        .select("streamer_id", "channel_id", "channel_name", *labels)
+        order.join(at, "channel_id")
+        .selectExpr(
+            "streamer_id", "channel_id", "channel_name", *[cell.format(t=t) for t in labels]
+        )
         .orderBy("streamer_id")
     )
 
 
-def diff_bound(*profiles: DataFrame) -> DataFrame:
-    """Largest absolute difference over all profiles."""
-    cells = profiles[0].select("diff_percent")
-    for other in profiles[1:]:
-        cells = cells.unionByName(other.select("diff_percent"))
-    return cells.agg(
-        F.max(F.abs(F.round(F.coalesce("diff_percent", F.lit(0.0)), 2))).alias("max_abs")
+def diff_bound(*channels: DataFrame) -> DataFrame:
+    """Largest absolute difference over all cells."""
+    size = F.transform(
+        "cells", lambda c: F.abs(F.round(F.coalesce(c["diff_percent"], F.lit(0.0)), 2))
     )
+    largest = [c.select(F.array_max(size).alias("largest")) for c in channels]
+    cells = largest[0]
+    for other in largest[1:]:
+        cells = cells.unionByName(other)
+    return cells.agg(F.max("largest").alias("max_abs"))

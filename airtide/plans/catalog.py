@@ -24,7 +24,7 @@ def one_channel_overlay(study: Study) -> DataFrame:
     directory = study.channel_directory
     name = directory.agg(F.min("channel_name")).scalar()
     return channel_slot_overlay(
-        *study.geo_profiles(), channel_id_of(directory, name).scalar()
+        *study.geo_channels(), channel_id_of(directory, name).scalar()
     )
 
 

@@ -188,49 +188,52 @@ class Study:
 
     def _geometric(self, platform: Platform) -> DataFrame:
         totals = self.table("group_slot_totals")
-        return profile.slot_profile_geo(
+        return profile.slot_profile_geo_by_channel(
             totals, self.group_streamers, platform, self.settings.slot_minutes
         )
 
+    def geo_channels(self) -> tuple[DataFrame, DataFrame]:
+        """Both geometric profiles with one row per channel."""
+        return self._geometric(YOUTUBE), self._geometric(TWITCH)
+
     @property
     def geo_yt_profile(self) -> DataFrame:
-        return self._geometric(YOUTUBE)
+        return profile.as_profile(self._geometric(YOUTUBE))
 
     @property
     def geo_tw_profile(self) -> DataFrame:
-        return self._geometric(TWITCH)
-
-    def geo_profiles(self) -> tuple[DataFrame, DataFrame]:
-        return self.plan("geo_yt_profile"), self.plan("geo_tw_profile")
+        return profile.as_profile(self._geometric(TWITCH))
 
     @property
     def global_profile(self) -> DataFrame:
-        return effect.slot_global_profile(*self.geo_profiles())
+        return effect.slot_global_profile(
+            self.plan("geo_yt_profile"), self.plan("geo_tw_profile")
+        )
 
     @property
     def channel_directory(self) -> DataFrame:
-        return profile.channel_directory(*self.geo_profiles())
+        return profile.channel_directory(*self.geo_channels())
 
     @property
     def channel_overlay(self) -> DataFrame:
-        return profile.channel_slot_overlay(*self.geo_profiles())
+        return profile.channel_slot_overlay(*self.geo_channels())
 
-    def _heatmap(self, profile_name: str) -> DataFrame:
+    def _heatmap(self, platform: Platform) -> DataFrame:
         return profile.diff_heatmap(
-            self.plan(profile_name), self.group_streamers, self.settings.slot_minutes
+            self._geometric(platform), self.group_streamers, self.settings.slot_minutes
         )
 
     @property
     def yt_heatmap(self) -> DataFrame:
-        return self._heatmap("geo_yt_profile")
+        return self._heatmap(YOUTUBE)
 
     @property
     def tw_heatmap(self) -> DataFrame:
-        return self._heatmap("geo_tw_profile")
+        return self._heatmap(TWITCH)
 
     @property
     def diff_bound(self) -> DataFrame:
-        return profile.diff_bound(*self.geo_profiles())
+        return profile.diff_bound(*self.geo_channels())
 
     # Concurrency within the group
 

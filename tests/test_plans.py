@@ -161,3 +161,12 @@ def test_no_plan_leaves_the_jvm_or_pairs_all_rows(spark):
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 96
+
+
+def test_no_grid_of_channels_and_slots_is_shuffled(spark):
+    """No exchange of rows by key stands above the step that makes the grid."""
+    study = contract.study(spark, SF)
+    for name in ("channel_overlay", "yt_heatmap", "channel_directory"):
+        lines = getattr(study, name)._jdf.queryExecution().executedPlan().toString().split("\n")
+        made = [i for i, line in enumerate(lines) if "Generate explode" in line or "Generate inline" in line]
+        assert not any("Exchange hash" in line for i in made for line in lines[:i]), name

@@ -144,6 +144,7 @@ def test_global_profile(profiles):
 def test_directory_and_overlay(profiles):
     yt = profiles(("b", "13:00", 1, 1.0), ("b", "02:00", 2, 1.0))
     tw = profiles(("b", "13:00", 3, 1.0), ("a", "12:00", 4, 1.0))
+    yt, tw = profile.as_channels(yt), profile.as_channels(tw)
     directory = profile.channel_directory(yt, tw)
     assert [r.channel_id for r in directory.collect()] == ["a", "b"]
     assert profile.channel_id_of(directory, "B").first().channel_id == "b"
@@ -160,8 +161,9 @@ def test_directory_and_overlay(profiles):
 def test_heatmap(profiles, streamers):
     yt = profiles(("b", "13:00", 1, 5.5), ("b", "02:00", 2, None), ("a", "13:00", 1, -7.25))
     names = streamers((2, "a", "A", None), (1, "b", "B", None), (3, "quiet", "Q", None))
+    yt = profile.as_channels(yt)
     rows = profile.diff_heatmap(yt, names).collect()
     assert [r.channel_id for r in rows] == ["b", "a"]
     assert len(rows[0]) == 3 + 96 and rows[0].__fields__[3] == "12:00"
     assert rows[0]["13:00"] == 5.5 and rows[0]["02:00"] == 0.0 and rows[1]["13:00"] == -7.25
-    assert profile.diff_bound(yt, profiles()).first().max_abs == 7.25
+    assert profile.diff_bound(yt, profile.as_channels(profiles())).first().max_abs == 7.25
