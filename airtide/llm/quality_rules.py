@@ -27,9 +27,11 @@ _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOL = r"[#*$%&|<>]"
 
-#: Characters that may end a sentence, and those that may close it.
-_SENTENCE_END = r"[.!?…:;。！？।؟]|[\"'”’»)\]」』]"
-NO_END = rf"(?:{_SENTENCE_END}){_SPACE}*$"
+#: A sentence ends within the line, or the line ends as a sentence, clause or quotation may.
+SENTENCE = (
+    rf"[.!?…。！？।؟][\"'”’»)\]」』]*{_SPACE}"
+    rf"|[.!?…。！？।؟:;\"'”’»)\]」』]{_SPACE}*$"
+)
 #: Separators between links, or a line that is nothing but the name of a link.
 NAVIGATION = (
     r"(?:[|»›•·→][^|»›•·→]*){2}"
@@ -51,7 +53,7 @@ def line_passes(line: Column, max_symbol_share: float = MAX_SYMBOL_SHARE) -> Col
     """Whether a line with a word passes all line rules."""
     symbols = F.regexp_count(line, F.lit(_SYMBOL))
     return (
-        line.rlike(NO_END)
+        line.rlike(SENTENCE)
         & ~line.rlike(NAVIGATION)
         & (symbols <= max_symbol_share * F.length(line))
         & ~line.rlike(BOILERPLATE)
@@ -185,7 +187,7 @@ WITH d AS (
   SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), judged AS (
   SELECT *,
-    regexp_matches(line, '(?:[.!?…:;。！？।؟]|["''”’»)\]」』])[\x20\x09-\x0D]*$')
+    regexp_matches(line, '[.!?…。！？।؟]["''”’»)\]」』]*[\x20\x09-\x0D]|[.!?…。！？।؟:;"''”’»)\]」』][\x20\x09-\x0D]*$')
     AND length(regexp_replace(line, '[^|»›•·→]', '', 'g')) < 2
     AND NOT regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(?:home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out|read more|skip to content|share this|contact us|about us|site ?map)\W*$')
     AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) <= 0.1 * length(line)
