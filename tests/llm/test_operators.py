@@ -269,6 +269,20 @@ def test_paths_have_the_best_sum(model):
         assert codec.best_path(word)[1] == pytest.approx(brute_path(codec, word), rel=1e-12)
 
 
+def test_paths_equal_the_librarys_unigram_search(model, texts):
+    """The same pieces in a model that is marked as unigram; its scores must fit a float."""
+    protocol = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    definition = protocol.ModelProto()
+    definition.ParseFromString(model)
+    definition.trainer_spec.model_type = 1
+    for piece in definition.pieces:
+        piece.score = max(piece.score, -1e5)
+    marked = definition.SerializeToString()
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=marked), pieces.PieceCodec(marked)
+    for text in ["", " ", "a  b ", "日本語 🙂", "naïve▁x", "\n\n a\tb", *[*texts.values()][:60]]:
+        assert np.frombuffer(codec.encode([text])[0][0], np.intc).tolist() == library.encode(text)
+
+
 def test_pieces_decode_to_the_text(spark, small, model, texts):
     encoded = pieces.encode(small, model=public_tokenizers.path("piece_bpe_32k.model"))
     back = pieces.decode(encoded, model=public_tokenizers.path("piece_bpe_32k.model"))
