@@ -47,7 +47,7 @@ def to_slots(snapshots: DataFrame, slot_minutes: int = 15) -> DataFrame:
     return snapshots.withColumn("time", slot_start(F.col("time"), slot_minutes))
 
 
-def _stream_means(slotted: DataFrame) -> DataFrame:
+def stream_means(slotted: DataFrame) -> DataFrame:
     """Whole mean viewers of the streams whose rows differ within a slot.
 
     One pass for both platforms: (platform, date, time, number) -> mean, n_rows. A stream
@@ -99,20 +99,23 @@ def _with_stream_mean(rows: DataFrame, means: DataFrame, platform: Platform) ->
     )
 
 
-def slot_mean(slotted: DataFrame) -> DataFrame:
+def slot_mean(slotted: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """Replace viewers by the stream's mean in the slot, where live; other rows stay.
 
+    ``means`` is a written table of :func:`stream_means`; without it one is written here.
+
     The mean is over all rows of (date, time, stream number): channels that share a
     stream share the value. Fractions are cut off.
     """
-    means = stage(_stream_means(slotted), "stream-means")
+    if means is None:
+        means = stage(stream_means(slotted), "stream-means")
     rows = slotted
     for platform in PLATFORMS:
         rows = _with_stream_mean(rows, means, platform)
     return rows.select(SNAPSHOT_COLUMNS)
 
 
-def slot_dedup(slotted: DataFrame) -> DataFrame:
+def slot_dedup(slotted: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """``slot_mean``, then one row (the lowest id) per set of otherwise equal rows.
 
     Where a channel is live, its mean is a function of (date, time, stream number), so
@@ -120,7 +123,8 @@ def slot_dedup(slotted: DataFrame) -> DataFrame:
     and only one row of each set is joined to its mean. Its viewers matter only where
     there is no mean to join, and there all rows of the set have the same.
     """
-    means = stage(_stream_means(slotted), "stream-means")
+    if means is None:
+        means = stage(stream_means(slotted), "stream-means")
     key = [F.col(c) for c in ("date", "time", "channel", "yt_number", "tw_number")]
     key += [
         F.when(~is_true(F.col(p.number) != 0), F.col(p.viewers)).alias(f"own_{p.prefix}")

@@ -22,6 +22,7 @@ from airtide.sources.tables import (
 
 # In the order of their inputs, so that each table is read by the later ones.
 TABLES = [
+    "stream_means",
     "facts",
     "sessions",
     "baseline",

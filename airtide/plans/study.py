@@ -73,13 +73,17 @@ class Study:
     def slotted(self) -> DataFrame:
         return cleaning.to_slots(self.clean, self.settings.slot_minutes)
 
+    @property
+    def stream_means(self) -> DataFrame:
+        return cleaning.stream_means(self.slotted)
+
     @property
     def slot_mean(self) -> DataFrame:
-        return cleaning.slot_mean(self.slotted)
+        return cleaning.slot_mean(self.slotted, self.table("stream_means"))
 
     @property
     def facts(self) -> DataFrame:
-        return cleaning.slot_dedup(self.slotted)
+        return cleaning.slot_dedup(self.slotted, self.table("stream_means"))
 
     @property
     def facts_audit(self) -> DataFrame:

@@ -170,3 +170,16 @@ def test_no_grid_of_channels_and_slots_is_shuffled(spark):
         lines = getattr(study, name)._jdf.queryExecution().executedPlan().toString().split("\n")
         made = [i for i, line in enumerate(lines) if "Generate explode" in line or "Generate inline" in line]
         assert not any("Exchange hash" in line for i in made for line in lines[:i]), name
+
+
+def test_stream_means_are_written_once_per_study(spark):
+    written = []
+
+    def counting(table, name):
+        written.append(name)
+        return staging.stage(table, name)
+
+    study = Study(*read_events_as_study_tables(spark, SF), EVENTS_SETTINGS, stage=counting)
+    for name in ("slot_mean", "facts", "facts_audit", "baseline", "cut", "group_cut"):
+        study.plan(name)
+    assert written.count("stream_means") == 1 and len(written) == len(set(written))
