@@ -34,8 +34,9 @@ SAMPLE_ROWS = 2000
 MAX_LANGUAGES = 200
 BIGRAMS, TRIGRAMS = 1 << 10, 1 << 12
 DIM = BIGRAMS + TRIGRAMS
-#: Documents whose features a task holds at once.
+#: Documents whose features a task holds at once, and characters that it hashes at once.
 ROWS = 128
+PART_CHARS = 1 << 20
 
 #: Language -> family. Fixed values; a language that is not listed is its own family.
 FAMILIES = {
@@ -59,7 +60,35 @@ def has_letter(text: str | None) -> bool:
 
 def features(texts: list[str]) -> np.ndarray:
     """A row of bigram and trigram shares for each text."""
-    joined = "\0\0".join(texts) + "\0\0"
+    out = np.zeros((len(texts), DIM), np.float32)
+    heard = np.zeros(len(texts))
+    for parts in _parts(texts):
+        for row, n, counts in _count(parts):
+            out[row] += counts
+            heard[row] += n
+    return out / np.maximum(heard, 1)[:, None].astype(np.float32)
+
+
+def _parts(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(row, part of its text) in lists of at most PART_CHARS; a part has two more characters
+    than it has beginnings of trigrams."""
+    parts, size = [], 0
+    for row, text in enumerate(texts):
+        padded = text + "\0\0"
+        for at in range(0, len(text), PART_CHARS):
+            part = padded[at : at + PART_CHARS + 2]
+            if parts and size + len(part) > PART_CHARS:
+                yield parts
+                parts, size = [], 0
+            parts.append((row, part))
+            size += len(part)
+    if parts:
+        yield parts
+
+
+def _count(parts: list[tuple[int, str]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, number of trigrams with a letter, counts by hash of those and their bigrams)."""
+    joined = "".join(part for _, part in parts)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).copy()
     upper = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7)
     codes[upper] += 32
@@ -69,18 +98,14 @@ def features(texts: list[str]) -> np.ndarray:
     triples = pairs[:-1] * np.uint32(0x85EBCA6B) + spread[2:]
     pairs = (pairs >> np.uint32(32 - 10)).astype(np.int64)
     triples = (triples >> np.uint32(32 - 12)).astype(np.int64) + BIGRAMS
-    silent = (codes[:-2] | codes[1:-1] | codes[2:]) == 0
-    out = np.zeros((len(texts), DIM), np.float32)
+    heard = (codes[:-2] | codes[1:-1] | codes[2:]) != 0
     at = 0
-    for row, text in zip(out, texts):
-        end = at + len(text)
-        heard = ~silent[at:end]
-        n = int(heard.sum())
-        if n:
-            row += np.bincount(pairs[at:end][heard], minlength=DIM) / n
-            row += np.bincount(triples[at:end][heard], minlength=DIM) / n
+    for row, part in parts:
+        end = at + len(part) - 2
+        here = heard[at:end]
+        hashes = np.concatenate([pairs[at:end][here], triples[at:end][here]])
+        yield row, int(here.sum()), np.bincount(hashes, minlength=DIM)
         at = end + 2
-    return out
 
 
 def fit_machine(

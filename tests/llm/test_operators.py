@@ -83,6 +83,15 @@ def test_held_out_accuracy(spark, small):
     assert np.mean(right) > 0.97
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = [PROSE, "", "a", PROSE * 7, "Ça, « été » ? 日本"]
+    whole = language_id.features(texts)
+    for size in (1, 3, 50, 1000):
+        monkeypatch.setattr(language_id, "PART_CHARS", size)
+        assert np.allclose(language_id.features(texts), whole, atol=1e-6)
+    assert np.allclose(whole[:, : language_id.BIGRAMS].sum(axis=1), [1, 0, 1, 1, 1])
+
+
 def test_texts_without_letters_are_undetermined(documents):
     model = language_id.train(documents((1, PROSE, "en", None)))
     assert model.predict(["123 -- 4", "", None, "abc"]) == [
