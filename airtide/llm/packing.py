@@ -265,10 +265,10 @@ def pack(
 
     queues, weights = _queues(runs, targets)
     rest = len(queues)
-    number = F.lit(rest)
+    number = F.when(F.col("size") != block, -1)
     for i, name in enumerate(queues):
-        number = F.when(F.col("source").eqNullSafe(F.lit(name)), i).otherwise(number)
-    runs = runs.withColumn("queue", F.when(F.col("size") == block, number).otherwise(-1).cast("long"))
+        number = number.when(F.col("source").eqNullSafe(F.lit(name)), i)
+    runs = runs.withColumn("queue", number.otherwise(rest).cast("long"))
     counts = {
         (row["size"], row["queue"]): row["n"]
         for row in runs.groupBy("size", "queue").agg(F.sum("n").alias("n")).collect()

@@ -221,11 +221,10 @@ def links_within(points: DataFrame, *, max_bits: int = MAX_BITS, bands: int = BA
 
     routed = points.select("fp").mapInPandas(route, "band int, shard long, fp long, home boolean")
     large = routed.groupBy("band", "shard").count().where(F.col("count") > TASK_ROWS).collect()
-    tiles = F.lit(1)
-    for row in large:  # at most one per TASK_ROWS rows
-        here = (F.col("band") == row["band"]) & (F.col("shard") == row["shard"])
-        tiles = F.when(here, -(-2 * row["count"] // TASK_ROWS)).otherwise(tiles)
-    routed = routed.withColumn("tiles", tiles)
+    dealt = [(row["band"], row["shard"], -(-2 * row["count"] // TASK_ROWS)) for row in large]
+    dealt = points.sparkSession.createDataFrame(dealt, "band int, shard long, tiles int")
+    dealt = F.broadcast(dealt)  # at most a row per shard, MAX_SAMPLE / SAMPLE_PER_SHARD a band
+    routed = routed.join(dealt, ["band", "shard"], "left").fillna(1, ["tiles"])
     routed = routed.withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     routed = routed.select(
