@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SPAN = 256
+SPAN = 32
 
 
 def with_offsets(runs: DataFrame, group: list[str], part: str, order: list[str], count: str) -> DataFrame:
