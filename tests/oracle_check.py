@@ -52,7 +52,7 @@ def compare(spark, con, queries, name: str, sf_dir: str) -> str | None:
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     queries = contract.queries()
-    names = sys.argv[2:] or list(queries)
+    names = sys.argv[2:] or list(contract.oracle_sql())
     spark = spark_session()
     con = connect(sf_dir)
     failed = 0
