@@ -5,6 +5,12 @@ machines, one for each pair of families, choose the family; within it one for ea
 of its languages chooses the language, so that closely related languages are told apart
 by machines that saw nothing else.
 
+Machines always choose one of the learned languages, so their score alone can't reject a
+text. Each language also has a likeness: how probable a text's n-grams are for it, against
+its own labelled documents and the text's length. A text less like its language than they
+are has its score lowered; random letters, encoded bytes, code and languages that were not
+learned fall below any reasonable bound. A text of few words has little to be judged by.
+
 Training takes a bounded sample: at most ``SAMPLE_ROWS`` labelled documents over all
 languages, shared out evenly, the same ones for the same table. Their features are made
 on the executors, from whole texts; the driver gets one vector of ``DIM`` numbers for
@@ -12,8 +18,9 @@ each. The machines (a matrix of ``DIM`` x pairs) go to every task. Prediction re
 text alone, whole, and shuffles nothing.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every
-text if no row is labelled. With one learned language all other texts get it with score
-1. Rows with a null label are not trained on; a null id is not held out. Repeated rows
+text if no row is labelled. A language with fewer than ``LIKENESS_DOCS`` different
+labelled texts takes the likeness of all labelled texts, with a limit that keeps its own;
+if all languages together have fewer, no score is lowered. Rows with a null label are not trained on; a null id is not held out. Repeated rows
 each get their result. Other columns are not read.
 """
 
@@ -37,6 +44,14 @@ DIM = BIGRAMS + TRIGRAMS
 #: Documents whose features a task holds at once, and characters that it hashes at once.
 ROWS = 128
 PART_CHARS = 1 << 20
+#: Different labelled texts that a language needs for its likeness.
+LIKENESS_DOCS = 8
+#: Of a text's trigrams, so many count at most when a language's probabilities are learned.
+HEARD_CHARS = 3000
+#: A deviation at which a text's score is lowered to ``AT_LIMIT`` of itself: this multiple of
+#: the one that ``TAIL`` of the labelled texts go below, but within ``LIMITS``.
+TAIL, TAIL_MARGIN, LIMITS = 0.005, 1.25, (-8.0, -4.0)
+AT_LIMIT = 0.25
 
 #: Language -> family. Fixed values; a language that is not listed is its own family.
 FAMILIES = {
@@ -60,13 +75,18 @@ def has_letter(text: str | None) -> bool:
 
 def features(texts: list[str]) -> np.ndarray:
     """A row of bigram and trigram shares for each text."""
+    return measure(texts)[0]
+
+
+def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features, and how many trigrams with a letter each text has."""
     out = np.zeros((len(texts), DIM), np.float32)
     heard = np.zeros(len(texts))
     for parts in _parts(texts):
         for row, n, counts in _count(parts):
             out[row] += counts
             heard[row] += n
-    return out / np.maximum(heard, 1)[:, None].astype(np.float32)
+    return out / np.maximum(heard, 1)[:, None].astype(np.float32), heard
 
 
 def _parts(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
@@ -157,12 +177,59 @@ class Machines:
         return best, wins[np.arange(len(rows)), best]
 
 
+class Likeness:
+    """How far a text lies from a language, in deviations of the language's own texts.
+
+    The statistic is the mean log probability of a text's n-grams. Its variance is that
+    between texts plus that of a mean of the text's own n-grams, so short texts may differ
+    more. Both are learned from texts that the probabilities were not learned from. The
+    limit is no nearer than the texts ``keep``.
+    """
+
+    def __init__(self, rows: np.ndarray, heard: np.ndarray, keep: np.ndarray | None = None):
+        half = np.arange(len(rows)) % 2 == 0
+        means, spreads = np.zeros(len(rows)), np.zeros(len(rows))
+        for here in (half, ~half):
+            self._logs = self._learn(rows[~here], heard[~here])
+            means[here], spreads[here] = self._statistic(rows[here], heard[here])
+        longer = heard >= np.median(heard)
+        self._mean = float(np.median(means[longer]))
+        between = 1.4826 * float(np.median(np.abs(means[longer] - self._mean)))
+        self._between = max(between, 0.02) ** 2
+        away = (means - self._mean) / np.sqrt(self._between + spreads)
+        self._limit = float(np.clip(TAIL_MARGIN * np.quantile(away, TAIL), *LIMITS))
+        if keep is not None:
+            self._limit = min(self._limit, TAIL_MARGIN * float(away[keep].min()))
+        self._logs = self._learn(rows, heard)
+
+    @staticmethod
+    def _learn(rows: np.ndarray, heard: np.ndarray) -> np.ndarray:
+        counts = np.minimum(heard, HEARD_CHARS) @ rows.astype(np.float64) + 0.5
+        for part in (counts[:BIGRAMS], counts[BIGRAMS:]):
+            part /= part.sum()
+        return np.log(counts)
+
+    def _statistic(self, rows: np.ndarray, heard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.astype(np.float64) / 2  # shares of bigrams and of trigrams add up to 1 each
+        means = rows @ self._logs
+        own = np.maximum(rows @ self._logs**2 - means**2, 0)
+        # A character is in three trigrams, so only a third of them are independent.
+        return means, 3 * own / 2 / np.maximum(heard, 1)
+
+    def share(self, rows: np.ndarray, heard: np.ndarray) -> np.ndarray:
+        """1 up to half the limit, ``AT_LIMIT`` at the limit, falling on below it."""
+        means, spreads = self._statistic(rows, heard)
+        away = (means - self._mean) / np.sqrt(self._between + spreads)
+        return AT_LIMIT ** np.maximum(0.0, 2 * away / self._limit - 1)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """The machines between families, and those within each family."""
+    """The machines between families, those within each family, and the likenesses."""
 
     families: Machines
     languages: dict[str, Machines]
+    likenesses: dict[str, Likeness]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, str | None, float]]:
         """(language, family, score) for each text."""
@@ -170,15 +237,21 @@ class LanguageModel:
         lettered = [i for i, text in enumerate(texts) if has_letter(text)]
         if not lettered or not self.languages:
             return out
-        rows = features([texts[i] for i in lettered])
+        rows, heard = measure([texts[i] for i in lettered])
         family, chance = self.families.predict(rows)
         for f, name in enumerate(self.families.classes):
             here = np.flatnonzero(family == f)
             if len(here):
                 machines = self.languages[name]
                 language, within = machines.predict(rows[here])
-                for i, k, p in zip(here, language, within):
-                    score = float(min(1.0, chance[i] * p))
+                alike = np.ones(len(here))
+                for k in set(language):
+                    likeness = self.likenesses.get(machines.classes[k])
+                    if likeness:
+                        its = language == k
+                        alike[its] = likeness.share(rows[here[its]], heard[here[its]])
+                for i, k, p, share in zip(here, language, within, alike):
+                    score = float(min(1.0, chance[i] * p) * share)
                     out[lettered[i]] = machines.classes[k], name, score
         return out
 
@@ -207,7 +280,7 @@ def train(
     for name, n in counts.items():
         share = min(1.0, (2 * each + 50) / n)
         chosen |= (F.col("lang") == name) & (F.pmod("key", F.lit(1 << 30)) < share * (1 << 30))
-    schema = "lang string, key bigint, row binary"
+    schema = "lang string, key bigint, row binary, heard bigint"
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -216,12 +289,13 @@ def train(
             for at in range(0, batch.num_rows, ROWS):
                 names, keys, texts = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
                 kept = [i for i, t in enumerate(texts) if has_letter(t)]
-                rows = features([texts[i] for i in kept]) if kept else []
+                rows, heard = measure([texts[i] for i in kept]) if kept else ([], [])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "lang": pa.array([names[i] for i in kept], pa.string()),
                         "key": pa.array([keys[i] for i in kept], pa.int64()),
                         "row": pa.array([r.tobytes() for r in rows], pa.binary()),
+                        "heard": pa.array([int(n) for n in heard], pa.int64()),
                     }
                 )
 
@@ -231,12 +305,22 @@ def train(
     labels = np.array([row["lang"] for row in sample], object)
     rows = np.array([np.frombuffer(row["row"], np.float32) for row in sample]).reshape(-1, DIM)
     family_of = np.array([families.get(name, name) for name in labels], object)
+    heard = np.array([row["heard"] for row in sample], float)
+    _, first = np.unique(rows, axis=0, return_index=True)
+    different = np.sort(first)
+    likenesses = {}
+    for name in sorted(set(labels)):
+        its = labels[different] == name
+        if its.sum() >= LIKENESS_DOCS:
+            likenesses[name] = Likeness(rows[different[its]], heard[different[its]])
+        elif len(different) >= LIKENESS_DOCS and its.any():
+            likenesses[name] = Likeness(rows[different], heard[different], its)
     names = sorted(set(family_of))
     within = {}
     for name in names:
         here = family_of == name
         within[name] = Machines(sorted(set(labels[here])), rows[here], labels[here])
-    return LanguageModel(Machines(names, rows, family_of), within)
+    return LanguageModel(Machines(names, rows, family_of), within, likenesses)
 
 
 def _per_language():

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from airtide.llm import language_id, packing, quality_rules, secret_scan, simhash
 from airtide.plans.staging import stage
 
-#: A document goes if the language chosen for it wins less than this, or it has no letter.
+#: A document goes if its score is below this: the language chosen for it hardly wins, or the
+#: document is unlike that language's labelled texts. One without a letter goes, too.
 MIN_LANGUAGE_SCORE = 0.25
 
 

@@ -102,6 +102,30 @@ def test_texts_without_letters_are_undetermined(documents):
     ]
 
 
+def test_texts_in_no_learned_language_score_low(small):
+    random = np.random.default_rng(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyz"]
+    gibberish = [" ".join("".join(random.choice(letters, 6)) for _ in range(n)) for n in (30, 100, 400)]
+    blobs = [base64.b64encode(random.bytes(n)).decode() for n in (300, 3000)]
+    with open(language_id.__file__, encoding="utf-8") as file:
+        code = file.read()
+    rows = [r for r in small.collect() if len((r["text"] or "").split()) >= 60]
+    model = language_id.train(small.where("lang <> 'de' AND doc_id % 2 = 0"))
+    scores = lambda texts: np.array([score for _, _, score in model.predict(texts)])
+    assert (scores([*gibberish, *blobs, code[:1000], code, "x" * 5000]) < 0.25).all()
+    unlearned = scores([r["text"] for r in rows if r["lang"] == "de"])
+    assert len(unlearned) and np.mean(unlearned < 0.25) > 0.9
+    others = scores([r["text"] for r in rows if r["lang"] not in ("de", None) and r["doc_id"] % 2])
+    assert np.mean(others >= 0.25) > 0.95
+
+
+def test_documents_in_no_learned_language_go(spark, small):
+    row = next(r for r in small.collect() if r["lang"] == "en" and len(r["text"].split()) >= 60)
+    odd = spark.createDataFrame([{**row.asDict(), "doc_id": -1, "text": "qzx vvkj wpq xxj " * 40, "lang": None}], small.schema)
+    kept = {r["doc_id"] for r in language_id.keep_identified(small.unionByName(odd), 0.25).collect()}
+    assert row["doc_id"] in kept and -1 not in kept
+
+
 # --- SimHash
 
 
