@@ -435,6 +435,23 @@ def test_notices_and_their_differences():
     assert text[found[0][0] : found[0][1]] == "Licensed under CC BY-NC 4.0"
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    return license_scan.LicenseScanner(license_scan.TEMPLATES)
+
+
+@pytest.mark.parametrize("words", [20, 100, 400, 5000])
+def test_a_notice_inside_a_long_line_is_found(scanner, words):
+    random = np.random.default_rng(2)
+    prose = [" ".join("".join(random.choice([*"aeioulnrst"], 6)) for _ in range(words // 2)) for _ in range(2)]
+    text = f"{prose[0]} Released under the MIT License. {prose[1]} Licensed under CC BY-NC 4.0."
+    found = scanner.scan(text)
+    assert [(text[f[0] : f[1]], f[2], f[7]) for f in found] == [
+        ("Released under the MIT License", "MIT", True),
+        ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0", True),
+    ]
+
+
 def test_planted_licenses_are_all_found(spark, texts):
     rows = queries.QUERIES["op3_license_scan"](spark, SMALL).collect()
     lines = sum("licen" in line.lower() for text in texts.values() for line in text.split("\n"))
