@@ -452,6 +452,23 @@ def test_a_notice_inside_a_long_line_is_found(scanner, words):
     ]
 
 
+def test_every_notice_and_text_is_told_apart(scanner):
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            found = scanner.scan(f"{PROSE}\n{notice}\n{PROSE}")
+            assert [(f[2], f[7]) for f in found] == [(name, True)], (name, notice[:90])
+
+
+def test_versions_and_clauses_are_not_mistaken(scanner):
+    bsd3 = license_scan.TEMPLATES["BSD-3-Clause"][1]
+    changed = bsd3.replace("the copyright holder nor", "Example Ltd nor")
+    assert [(f[2], f[7]) for f in scanner.scan(changed)] == [("BSD-3-Clause", False)]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    assert [(f[2], f[7]) for f in scanner.scan(gpl.format(2))] == [("GPL-2.0", True)]
+    assert not scanner.scan(gpl.format(9))
+    assert not scanner.scan("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")
+
+
 def test_planted_licenses_are_all_found(spark, texts):
     rows = queries.QUERIES["op3_license_scan"](spark, SMALL).collect()
     lines = sum("licen" in line.lower() for text in texts.values() for line in text.split("\n"))
