@@ -43,6 +43,9 @@ OWN_QUEUE_SHARE = 0.001
 SHARES = 1 << 20
 #: Encodings of words that a worker remembers, for each of two generations.
 CACHE_WORDS = 300_000
+#: Parts of more characters are encoded by ``tokenizers``: tiktoken's pattern search overflows
+#: its stack on long runs of blanks.
+LONG_PART = 10_000
 
 
 def merge_ranks(definition: dict) -> dict[bytes, int]:
@@ -65,9 +68,10 @@ def merge_ranks(definition: dict) -> dict[bytes, int]:
 class CachedEncoder:
     """Token ids of a text as little-endian unsigned 32-bit integers.
 
-    The ids are those that ``tokenizers`` gives for the definition, with special tokens
-    taken as ordinary text. The merges are run by tiktoken on the definition's own
-    vocabulary, which takes a third of the time.
+    The ids are those that ``tokenizers`` gives for the definition. The merges are run by
+    tiktoken on the definition's own vocabulary, which takes a third of the time. Texts that
+    hold an added token, and long parts, are left to ``tokenizers`` itself. Without
+    ``added_tokens`` special tokens are taken as ordinary text.
 
     A byte-level BPE tokenizer never joins a blank that is followed by a visible
     character to what stands before it, so a text can be encoded in parts that start at
@@ -77,13 +81,20 @@ class CachedEncoder:
     #: How the definition's byte-level pre-tokenizer splits a text.
     WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, definition: str, cache_words: int = CACHE_WORDS):
+    def __init__(
+        self, definition: str, cache_words: int = CACHE_WORDS, added_tokens: bool = False
+    ):
         import json
         import re
 
         import tiktoken
+        from tokenizers import Tokenizer
 
-        ranks = merge_ranks(json.loads(definition))
+        parsed = json.loads(definition)
+        ranks = merge_ranks(parsed)
+        self._whole = Tokenizer.from_str(definition)
+        self._whole.encode_special_tokens = not added_tokens
+        self._added = [t["content"] for t in parsed.get("added_tokens", []) if added_tokens]
         self._encode = tiktoken.Encoding(
             "definition", pat_str=self.WORDS, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
@@ -103,16 +114,29 @@ class CachedEncoder:
     def _bytes(self, text: str) -> bytes:
         import array
 
+        if len(text) > LONG_PART:
+            return self._whole_bytes(text)
         return array.array("I", self._encode(text)).tobytes()
 
+    def _whole_bytes(self, text: str) -> bytes:
+        import array
+
+        return array.array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _holds_added(self, text: str) -> bool:
+        return any(token in text for token in self._added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self._parts(text) for text in texts]
+        marked = {i: self._whole_bytes(t) for i, t in enumerate(texts) if self._holds_added(t)}
+        rows = [[""] if i in marked else self._parts(text) for i, text in enumerate(texts)]
         words = set().union(*(row[1:] for row in rows))
         known, older = self._known, self._older
         for word in words.difference(known):
             known[word] = older.get(word) or self._bytes(" " + word)
         look = known.__getitem__
         out = [self._bytes(row[0]) + b"".join(map(look, row[1:])) for row in rows]
+        for i, ids in marked.items():
+            out[i] = ids
         if len(known) > self._limit:
             self._older, self._known = known, {}
         return out
@@ -204,7 +228,8 @@ def _pieces(docs: DataFrame, id: str, text: str, source: str, tokenizer: str, bl
             for i in range(0, batch.num_rows, 128)
         )
         task = TaskContext.get().partitionId()
-        for rows in _cut_blocks(CachedEncoder(definition.value), few, task, block):
+        encoder = CachedEncoder(definition.value, added_tokens=True)
+        for rows in _cut_blocks(encoder, few, task, block):
             columns = zip(*rows) if rows else [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow

@@ -223,6 +223,30 @@ def test_remembered_parts_encode_like_the_whole():
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == expected
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a <|endoftext|> b", "<|endoftext|>", " x<|endoftext|><|endoftext|> ", "<|endoftext| >", *[f"a{run}b c" for run in (" " * 1_000_000, "\n" * 1_000_000, " \t" * 300_000, "  x" * 20_000)]],
+    ids=range(8),
+)
+def test_ids_are_those_of_an_unmodified_tokenizer(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = packing.CachedEncoder(file.read(), added_tokens=True)
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    found = encoder.encode(["x y", text, PROSE])
+    assert np.frombuffer(found[1], "<u4").tolist() == expected
+    assert found[0] == encoder.encode(["x y"])[0] and found[2] == encoder.encode([PROSE])[0]
+
+
+def test_packed_texts_with_the_end_mark(documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "one <|endoftext|> two"
+    row = packing.pack(documents((1, text, "en", "a")), tokenizer=path).groupBy().sum("length").first()
+    first = packing.pack(documents((1, text, "en", "a")), tokenizer=path).first()
+    count = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids) + 1
+    assert row[0] == first["doc_tokens"] == count
+
+
 def test_round_robin_places_are_a_permutation():
     weights, sizes = [5, 1, 3, 1], [40, 9, 3, 20]
     places = [packing.sent_before(np.full(n, q), np.arange(n), weights, sizes, 8) for q, n in enumerate(sizes)]
