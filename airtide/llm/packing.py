@@ -10,14 +10,18 @@ The round in which block ``j`` of a queue is sent, and the number of blocks sent
 it, follow from the shares by integer arithmetic alone. So each block finds its place by
 itself and the deficits carry over partitions without a sequential pass: all that the
 partitions share is how many blocks of each source precede theirs, a running total over
-(partition, source).
+(partition, source). Small sources share one queue, in which a source's block ``j`` of ``n``
+stands at ``(j + 1) / n``: where its own share would send it. Those places are found by a
+range partition and running totals.
 
 Texts are tokenized once. A task cuts the tokens of each source into blocks as it reads
 and writes a row per piece of a document in a block; token ids are never shuffled. What
 a task has left of a source, less than a block, becomes blocks of smaller powers of two.
-They follow the full blocks in falling size, so that no block crosses a sequence. The
-tokens after the last full sequence are split into sequences whose lengths are powers of
-two. There is no padding at all.
+In falling size those of all tasks fill further full blocks of the source, which are sent
+like the others. What then is left of a source, less than one block in all, follows the
+full blocks in falling size, so that no block crosses a sequence. The tokens after the last
+full sequence are split into sequences whose lengths are powers of two. There is no padding
+at all.
 
 Edge cases: a null text is the end token alone. A null source is a queue of its own.
 Repeated rows and null ids are packed like others. An empty table gives no pieces. Other
@@ -28,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from airtide.llm.prefix_sums import with_offsets
 from airtide.plans.staging import stage
@@ -290,29 +294,28 @@ def pack(
 
     queues, weights = _queues(runs, targets)
     rest = len(queues)
-    number = F.when(F.col("size") != block, -1)
+    number = F.lit(rest)
     for i, name in enumerate(queues):
-        number = number.when(F.col("source").eqNullSafe(F.lit(name)), i)
-    runs = runs.withColumn("queue", number.otherwise(rest).cast("long"))
+        number = F.when(F.col("source").eqNullSafe(F.lit(name)), i).otherwise(number)
+    n_blocks = F.expr(f"sum(n * size) DIV {block}").alias("n_blocks")
+    sources = runs.groupBy("source").agg(n_blocks)
+    sources = stage(sources.withColumn("queue", number.cast("long")), "packing-sources")
     counts = {
-        (row["size"], row["queue"]): row["n"]
-        for row in runs.groupBy("size", "queue").agg(F.sum("n").alias("n")).collect()
+        row["queue"]: row["n"]
+        for row in sources.groupBy("queue").agg(F.sum("n_blocks").alias("n")).collect()
     }
-    sizes = [counts.get((block, q), 0) for q in range(rest + 1)]
-    smaller, at = {}, sum(sizes) * block
-    for size in sorted((s for s, q in counts if q < 0), reverse=True):
-        smaller[size] = at
-        at += size * counts[size, -1]
+    sizes = [counts.get(q, 0) for q in range(rest + 1)]
+    runs, smaller, at = _positions(runs, sources, block, sum(sizes) * block)
 
-    runs = with_offsets(runs, ["size", "queue"], "task", ["source"], "n")
     key = ["task", "source", "size"]
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    placed = pieces.alias("p").join(
-        runs.select(*key, "queue", F.col("offset").alias("run_start")).alias("r"), same
-    )
-    placed = placed.select(
-        "p.*", "queue", (F.col("block") + F.col("run_start")).alias("j")
-    )
+    r = runs.select(*key, "queue", "n_blocks", "first", "tail", "tail_start")
+    placed = pieces.alias("p").join(r.alias("r"), same)
+    placed = placed.select("p.*", "queue", "n_blocks", "first", "tail", "tail_start")
+    token = F.col("first") + F.col("block") * F.col("size") + F.col("at")
+    placed = placed.withColumn("token", token).withColumn("j", F.expr(f"token DIV {block}"))
+    if sizes[rest]:
+        placed = _in_shared_queue(placed, sources, rest)
     per_window = sequence // block
 
     @F.pandas_udf("long")
@@ -327,7 +330,9 @@ def pack(
     base = F.lit(0).cast("long")
     for size, start in smaller.items():
         base = F.when(F.col("size") == size, F.lit(start)).otherwise(base)
-    position = base + F.col("size") * rank("queue", "j") + F.col("at")
+    sent = rank(F.when(F.col("tail"), F.lit(-1)).otherwise(F.col("queue")).cast("long"), "j")
+    in_tail = base + F.col("size") * F.col("tail_start") + F.col("at")
+    position = F.when(F.col("tail"), in_tail).otherwise(sent * block + F.col("token") % block)
     placed = placed.withColumn("position", position)
     full = at // sequence
     sequence_id, offset = F.expr(f"position DIV {sequence}"), F.col("position") % sequence
@@ -350,6 +355,70 @@ def pack(
     )
 
 
+def _positions(
+    runs: DataFrame, sources: DataFrame, block: int, at: int
+) -> tuple[DataFrame, dict[int, int], int]:
+    """Runs with their first token's place in their source, which has sizes in falling order.
+
+    Those after the source's last full block are ``tail``, with their number among those of
+    their size; also returned is where each size begins, from ``at`` on, and the end of all.
+    """
+    by_size = runs.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    larger = Window.partitionBy("source").orderBy(F.desc("size"))
+    larger = larger.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))
+    by_size = by_size.select("source", "size", before.alias("before"))
+    runs = with_offsets(runs, ["source", "size"], "task", [], "n")
+    on = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.size") == F.col("b.size")]
+    runs = runs.alias("a").join(by_size.alias("b"), on).select("a.*", "before")
+    on = F.col("a.source").eqNullSafe(F.col("b.source"))
+    runs = runs.alias("a").join(sources.alias("b"), on).select("a.*", "before", "queue", "n_blocks")
+    first = F.col("before") + F.col("offset") * F.col("size")
+    runs = runs.withColumn("first", first).drop("before", "offset")
+    tail = F.col("first") >= F.col("n_blocks") * block
+    runs = stage(runs.withColumn("tail", tail), "packing-places")
+    tails = runs.where("tail")
+    smaller = {}
+    for row in tails.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("size")).collect():
+        smaller[row["size"]] = at
+        at += row["size"] * row["n"]
+    tails = with_offsets(tails, ["size"], "task", ["source"], "n")
+    tails = tails.withColumnRenamed("offset", "tail_start")
+    others = runs.where("NOT tail").withColumn("tail_start", F.lit(0).cast("long"))
+    return others.unionByName(tails), smaller, at
+
+
+def _in_shared_queue(placed: DataFrame, sources: DataFrame, queue: int) -> DataFrame:
+    """``placed`` with ``j`` counted in the whole shared queue, for the blocks in it."""
+    few = 1 << 16  # numbers in one array
+    blocks = sources.where((F.col("queue") == queue) & (F.col("n_blocks") > 0))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(few).cast("long"))
+    blocks = blocks.withColumn("start", F.explode(starts))
+    ends = F.least(F.col("start") + (few - 1), F.col("n_blocks") - 1)
+    blocks = blocks.withColumn("j", F.explode(F.sequence("start", ends)))
+    blocks = blocks.select("source", "j", ((F.col("j") + 1) / F.col("n_blocks")).alias("due"))
+    order = ["due", "source", "j"]
+    blocks = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = stage(blocks.withColumn("row", F.monotonically_increasing_id()), "packing-shared")
+    blocks = blocks.select(
+        F.col("source").alias("_source"),
+        F.col("j").alias("_j"),
+        F.shiftright("row", 33).alias("part"),
+        F.col("row").bitwiseAND((1 << 33) - 1).alias("within"),
+    )
+    parts = blocks.groupBy("part").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    parts = with_offsets(parts, ["all"], "part", [], "n").select("part", "offset")
+    blocks = blocks.join(parts, "part").select(
+        "_source", "_j", (F.col("offset") + F.col("within")).alias("_place")
+    )
+    here = (F.col("queue") == queue) & ~F.col("tail")
+    found = placed.where(here).join(
+        blocks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("j") == F.col("_j"))
+    )
+    found = found.withColumn("j", F.col("_place")).drop("_source", "_j", "_place")
+    return placed.where(~here).unionByName(found)
+
+
 def _queues(runs: DataFrame, targets: dict[str, float] | None) -> tuple[list, list[int]]:
     """Names of the queues, and integer weights with one more for all other sources."""
     if targets:

@@ -281,6 +281,28 @@ def test_every_token_is_packed_once(spark, small, targets):
         assert abs(first["src0"] / (6 * 2048) - 0.5) < 0.05
 
 
+def test_small_sources_are_mixed_too(spark, monkeypatch):
+    """Sources below the share of an own queue, each read by one task, and rests of many tasks."""
+    monkeypatch.setattr(packing, "OWN_QUEUE_SHARE", 0.2)
+    words = "The harbour lay quiet under a grey sky while boats turned. "
+    rows = [(100 * s + i, words * 40, f"web{s}") for s in range(12) for i in range(10)]
+    rows += [(5000 + i, words * 3, "rests") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(16, "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = packing.pack(docs, tokenizer=path).toPandas()
+    total = out.groupby("source")["length"].sum()
+    assert out["length"].sum() == sum(total) and set(out["doc_id"]) == {r[0] for r in rows}
+    full = out[out["sequence_id"] < out["sequence_id"].max() - 12]
+    n = full["sequence_id"].nunique()
+    for at in range(0, n - 3, 4):  # four windows are 32 blocks
+        here = full[full["sequence_id"].between(at, at + 3)].groupby("source")["length"].sum()
+        for source, tokens in total.items():
+            assert abs(here.get(source, 0) - 4 * 2048 * tokens / total.sum()) <= 3 * 256
+    place = out["sequence_id"] * 2048 + out["offset"]
+    last = place >= out["length"].sum() // 2048 * 2048 - 256 * (len(total) + 1)
+    assert out[last].groupby("source")["length"].sum().max() < 3 * 256
+
+
 def test_running_totals(spark):
     random = np.random.default_rng(0)
     rows = [(g, int(p), s, int(random.integers(0, 9))) for g in (0, 1) for p in random.choice(2000, 300, replace=False) for s in ("a", None)]
