@@ -170,4 +170,4 @@ def test_queries_with_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
