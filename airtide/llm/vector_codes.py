@@ -92,11 +92,11 @@ class CellMemo:
         out = np.zeros((len(cells), len(self.entries)), bool)
         step = max(1, PAIRS // max(1, self.entries.size))
         for at in range(0, len(cells), step):
-            low = cells[at : at + step, None, :] * self.cell
-            high = low + self.cell - 1
-            below, beyond = low - self.entries, self.entries - high
-            least = (np.maximum(np.maximum(below, beyond), 0) ** 2).sum(axis=2)
-            most = (np.maximum(np.abs(below), np.abs(beyond)) ** 2).sum(axis=2)
+            least = most = 0
+            for low, entry in zip(cells[at : at + step].T[:, :, None] * self.cell, self.entries.T):
+                below, beyond = low - entry, entry - low - (self.cell - 1)
+                least = least + np.maximum(np.maximum(below, beyond), 0) ** 2
+                most = most + np.maximum(-below, -beyond) ** 2
             out[at : at + step] = least <= most.min(axis=1, keepdims=True)
         return out
 
@@ -128,7 +128,9 @@ class CellMemo:
             flags[other[some]] = True
             row, entry = np.nonzero(flags)
             self.evaluated += len(row)
-            apart = ((points[some][row] - self.entries[entry]) ** 2).sum(axis=1)
+            apart = np.zeros(len(row), np.int64)
+            for x, e in zip(points[some].T, self.entries.T):
+                apart += (x[row] - e[entry]) ** 2
             starts = np.searchsorted(row, np.arange(len(flags)))
             least = np.minimum.reduceat(apart, starts) if len(row) else apart
             hit = np.flatnonzero(apart == least[row])
