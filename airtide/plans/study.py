@@ -17,6 +17,7 @@ from airtide.operators import (
     profile,
     sessions,
 )
+from airtide.operators.concurrency import SHOWN_LEVELS
 from airtide.operators.quality import TableRule, constraint_report
 from airtide.plans.staging import stage
 from airtide.settings import Platform, Settings, TWITCH, YOUTUBE
@@ -126,18 +127,19 @@ class Study:
         return profile.slot_totals(self.plan("cut"))
 
     def _linear(self, platform: Platform) -> DataFrame:
+        """A profile with one row per channel."""
         totals = self.table("slot_totals")
-        return profile.slot_profile(
+        return profile.slot_profile_by_channel(
             totals, self.streamers, platform, self.settings.slot_minutes
         )
 
     @property
     def yt_profile(self) -> DataFrame:
-        return self._linear(YOUTUBE)
+        return profile.as_profile(self._linear(YOUTUBE))
 
     @property
     def tw_profile(self) -> DataFrame:
-        return self._linear(TWITCH)
+        return profile.as_profile(self._linear(TWITCH))
 
     @property
     def slot_effect(self) -> DataFrame:
@@ -285,42 +287,54 @@ class Study:
 
     @property
     def constraint_report(self) -> DataFrame:
+        """Keys and NOT NULL columns as the tables of the study declare them."""
         self.table("concurrent_slots")
         channel_slot = ("channel_id", "time")
-        rules = [
-            TableRule(
-                "main", ("id",), ("id", "date", "time", "channel", "youtube", "twitch")
+        levels = [f"cnt_{k}" for k in range(SHOWN_LEVELS + 1)]
+        tables = [
+            (
+                self.snapshots,
+                TableRule("main", ("id",), ("id", "date", "time", "channel", "youtube", "twitch")),
             ),
-            TableRule("streamer", ("channel_id",), ("channel_id", "channel_name")),
-            TableRule("channel_avg", ("channel_id",), ("channel_id", "channel_name")),
-            TableRule("yt_time_profile", channel_slot),
-            TableRule("tw_time_profile", channel_slot),
-            TableRule("yt_tw_time_avg", ("time",)),
-            TableRule("time_global_profile", ("time",)),
-            TableRule("live_concurrent", ("date", "time"), ("date", "time", "live_count")),
-            TableRule("live_concurrent_members", ("id",), ("date", "time", "id")),
-            TableRule(
-                "concurrent_effect", ("live_count",), ("avg_geo_perf_percent", "sample_cnt")
+            (
+                self.streamers,
+                TableRule("streamer", ("channel_id",), ("channel_id", "channel_name")),
             ),
-            TableRule("live_count_by_time", ("time",)),
-            TableRule(
-                "stream_analysis",
-                ("platform", "stream_id", "channel"),
-                ("platform", "stream_id", "channel", "start_time", "end_time"),
+            (self.table("baseline"), TableRule("channel_avg", ("channel_id",))),
+            (self._linear(YOUTUBE), TableRule("yt_time_profile", channel_slot, cells="cells")),
+            (self._linear(TWITCH), TableRule("tw_time_profile", channel_slot, cells="cells")),
+            (self.plan("slot_effect"), TableRule("yt_tw_time_avg", ("time",))),
+            (self.plan("global_profile"), TableRule("time_global_profile", ("time",))),
+            (
+                self.plan("concurrent_slots"),
+                TableRule("live_concurrent", ("date", "time"), ("date", "time", "live_count")),
             ),
-        ]
-        tables = [
-            self.snapshots,
-            self.streamers,
-            self.table("baseline"),
-            self.table("yt_profile"),
-            self.table("tw_profile"),
-            self.plan("slot_effect"),
-            self.plan("global_profile"),
-            self.plan("concurrent_slots"),
-            self.plan("concurrent_slot_members"),
-            self.plan("concurrency_effect"),
-            self.plan("concurrency_distribution"),
-            self.plan("sessions"),
-        ]
-        return constraint_report(list(zip(tables, rules)))
+            (
+                self.plan("concurrent_slot_members"),
+                TableRule("live_concurrent_members", ("id",), ("date", "time", "id")),
+            ),
+            (
+                self.plan("concurrency_effect"),
+                TableRule(
+                    "concurrent_effect", ("live_count",),
+                    ("live_count", "avg_geo_perf_percent", "sample_cnt"),
+                ),
+            ),
+            (
+                self.plan("concurrency_distribution"),
+                TableRule("live_count_by_time", ("time",), ("time", "avg_live_count", *levels)),
+            ),
+            (
+                self.plan("sessions"),
+                TableRule(
+                    "stream_analysis",
+                    ("platform", "stream_id", "channel"),
+                    (
+                        "platform", "stream_id", "channel", "start_time", "end_time",
+                        "avg_viewers", "max_viewers", "max_time", "min_viewers", "min_time",
+                        "expected_points", "actual_points", "missing_points",
+                    ),
+                ),
+            ),
+        ]
+        return constraint_report(tables)

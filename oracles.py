@@ -501,7 +501,7 @@ _ORACLES: dict[str, str] = {
         [
             _check("main", "snapshots", "id", "id,date,time,channel,youtube,twitch"),
             _check("streamer", "streamers", "channel_id", "channel_id,channel_name"),
-            _check("channel_avg", "baseline", "channel_id", "channel_id,channel_name"),
+            _check("channel_avg", "baseline", "channel_id", "channel_id"),
             _check("yt_time_profile", "profile_yt", "channel_id,time", "channel_id,time"),
             _check("tw_time_profile", "profile_tw", "channel_id,time", "channel_id,time"),
             _check("yt_tw_time_avg", "slot_effect", "time", "time"),
@@ -510,12 +510,16 @@ _ORACLES: dict[str, str] = {
             _check("live_concurrent_members", "performances", "id", "date,time,id"),
             _check(
                 "concurrent_effect", "effect", "live_count",
-                "avg_geo_perf_percent,sample_cnt",
+                "live_count,avg_geo_perf_percent,sample_cnt",
+            ),
+            _check(
+                "live_count_by_time", "distribution", "time",
+                "time,avg_live_count," + ",".join(f"cnt_{k}" for k in range(11)),
             ),
-            _check("live_count_by_time", "distribution", "time", "time"),
             _check(
                 "stream_analysis", "sessions", "platform,stream_id,channel",
-                "platform,stream_id,channel,start_time,end_time",
+                "platform,stream_id,channel,start_time,end_time,avg_viewers,max_viewers,max_time,"
+                "min_viewers,min_time,expected_points,actual_points,missing_points",
             ),
         ]
     ),
