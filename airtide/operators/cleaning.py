@@ -34,13 +34,18 @@ def quality_filter(snapshots: DataFrame, min_viewers: int = 10) -> DataFrame:
     return snapshots.where(_is_kept(min_viewers))
 
 
-def quality_filter_audit(snapshots: DataFrame, min_viewers: int = 10) -> DataFrame:
+def quality_counts(min_viewers: int = 10) -> list[Column]:
+    """What the filter makes of the rows it is given, as aggregates."""
     kept = _is_kept(min_viewers)
-    return snapshots.agg(
+    return [
         F.count("*").alias("n_before"),
         F.count_if(~kept).alias("n_deleted"),
         F.count_if(kept).alias("n_after"),
-    )
+    ]
+
+
+def quality_filter_audit(snapshots: DataFrame, min_viewers: int = 10) -> DataFrame:
+    return snapshots.agg(*quality_counts(min_viewers))
 
 
 def to_slots(snapshots: DataFrame, slot_minutes: int = 15) -> DataFrame:

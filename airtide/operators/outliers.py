@@ -23,7 +23,7 @@ def below(limit: float) -> Test:
     return lambda z: z < limit
 
 
-def _judged(
+def judged(
     facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool
 ) -> DataFrame:
     """Facts with a verdict ``cut_{p}`` per platform.
@@ -57,25 +57,30 @@ def _judged(
     )
 
 
+def kept(verdicts: DataFrame) -> DataFrame:
+    """The judged rows that are an outlier on neither platform."""
+    return verdicts.where(~F.col("cut_yt") & ~F.col("cut_tw")).drop("cut_yt", "cut_tw")
+
+
+def cut_counts() -> list[Column]:
+    """Of judged rows: those the YouTube cut removes, then those the Twitch cut removes of the rest."""
+    cut_yt, cut_tw = F.col("cut_yt"), F.col("cut_tw")
+    return [
+        F.count("*").alias("n_before"),
+        F.count_if(cut_yt).alias("n_cut_yt"),
+        F.count_if(~cut_yt & cut_tw).alias("n_cut_tw"),
+        F.count_if(~cut_yt & ~cut_tw).alias("n_after"),
+    ]
+
+
 def outlier_cut(
     facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool = False
 ) -> DataFrame:
     """Keep the rows that are an outlier on neither platform."""
-    return (
-        _judged(facts, baseline, test, only_known)
-        .where(~F.col("cut_yt") & ~F.col("cut_tw"))
-        .drop("cut_yt", "cut_tw")
-    )
+    return kept(judged(facts, baseline, test, only_known))
 
 
 def outlier_audit(
     facts: DataFrame, baseline: DataFrame, test: Test, only_known: bool = False
 ) -> DataFrame:
-    """Rows the YouTube cut removes, then those the Twitch cut removes of the rest."""
-    cut_yt, cut_tw = F.col("cut_yt"), F.col("cut_tw")
-    return _judged(facts, baseline, test, only_known).agg(
-        F.count("*").alias("n_before"),
-        F.count_if(cut_yt).alias("n_cut_yt"),
-        F.count_if(~cut_yt & cut_tw).alias("n_cut_tw"),
-        F.count_if(~cut_yt & ~cut_tw).alias("n_after"),
-    )
+    return judged(facts, baseline, test, only_known).agg(*cut_counts())

@@ -155,11 +155,16 @@ def _cells_by_time() -> Column:
 
 
 def channel_slot_overlay(
-    yt_channels: DataFrame, tw_channels: DataFrame, channel_id: str | Column | None = None
+    yt_channels: DataFrame,
+    tw_channels: DataFrame,
+    channel_id: str | Column | None = None,
+    *,
+    first: bool = False,
 ) -> DataFrame:
     """Both platforms of a channel side by side per slot; all channels if none is named.
 
-    Channels are joined, one row each, and then unfolded into their slots.
+    ``first`` takes the first channel by name, then id. Channels are joined, one row each,
+    and then unfolded into their slots.
     """
 
     def side(channels: DataFrame, prefix: str) -> DataFrame:
@@ -175,13 +180,19 @@ def channel_slot_overlay(
     times = F.array_union(
         F.coalesce(F.map_keys("yt"), none), F.coalesce(F.map_keys("tw"), none)
     )
-    merged = (
+    channels = (
         side(yt_channels, "yt")
         .join(side(tw_channels, "tw"), "channel_id", "full")
-        .select("*", F.explode(times).alias("time"))
+        .withColumn("channel_name", F.coalesce("yt_name", "tw_name"))
+    )
+    if first:
+        named = channels.where("channel_name IS NOT NULL")
+        channels = named.orderBy("channel_name", "channel_id").limit(1)
+    merged = (
+        channels.select("*", F.explode(times).alias("time"))
         .select(
             "channel_id",
-            F.coalesce("yt_name", "tw_name").alias("channel_name"),
+            "channel_name",
             "time",
             hour_from_noon_order(F.col("time")).alias("sort_key"),
             *[
@@ -191,7 +202,7 @@ def channel_slot_overlay(
             ],
         )
     )
-    if channel_id is None:
+    if channel_id is None and not first:
         return merged
     return merged.orderBy(minutes_from_noon_order(F.col("time")))
 

@@ -35,7 +35,8 @@ def constraint_report(tables: list[tuple[DataFrame, TableRule]]) -> DataFrame:
     rows of repeated hashes, if any, are grouped by their whole keys in the second.
     """
     with ThreadPool(JOBS) as pool:  # small jobs that do not wait for each other
-        found = pool.starmap(inheritable_thread_target(_totals), tables)
+        target = inheritable_thread_target(tables[0][0].sparkSession)(_totals)
+        found = pool.starmap(target, tables)
     reports = []
     for (table, rule), totals in zip(tables, found):
         if totals["suspects"]:

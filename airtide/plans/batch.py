@@ -6,8 +6,10 @@
 from __future__ import annotations
 
 import argparse
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from airtide.plans.catalog import RESULTS
 from airtide.plans.study import Study
@@ -22,6 +24,7 @@ from airtide.sources.tables import (
 
 # In the order of their inputs, so that each table is read by the later ones.
 TABLES = [
+    "slotted",
     "stream_means",
     "facts",
     "sessions",
@@ -33,6 +36,7 @@ TABLES = [
     "tw_profile",
     "slot_effect",
     "group_streamers",
+    "group_facts",
     "group_cut",
     "geo_baseline",
     "group_slot_totals",
@@ -48,6 +52,10 @@ TABLES = [
 ]
 
 
+#: Results that are written at a time; they wait for no other.
+JOBS = 4
+
+
 def write_study(
     snapshots: DataFrame, streamers: DataFrame, settings: Settings, output: str
 ) -> dict[str, str]:
@@ -55,26 +63,36 @@ def write_study(
     ``output``/results; name -> path.
 
     The tables serve as stage tables: each is computed once, and the results read them.
-    The facts are split by date.
+    A result that is one of them is not written again: its path is the table's. The scan
+    of the snapshots is its own input and has no path. The facts are split by date. Audits
+    are counted while the tables are written.
     """
     spark = snapshots.sparkSession
     paths: dict[str, str] = {}
 
-    def write(table: DataFrame, name: str) -> DataFrame:
+    def write(table: DataFrame, name: str, rows: Observation | None = None) -> DataFrame:
         paths[name] = f"{output.rstrip('/')}/{name}"
         if name == "concurrency_effect":
             table = with_created_at(table)
         if name in ("facts", "group_cut"):
-            write_snapshots(table, paths[name])
+            write_snapshots(table, paths[name], rows)
         else:
-            write_table(table, paths[name])
+            write_table(table, paths[name], rows)
         return spark.read.schema(table.schema).parquet(paths[name]).select(*table.columns)
 
-    study = Study(snapshots, streamers, settings, stage=write)
+    study = Study(snapshots, streamers, settings, stage=write, observe=True)
     for name in TABLES:
         study.table(name)
+    written = {id(table): name for name, table in study.tables.items()}
+    left: list[tuple[DataFrame, str]] = []
     for name, result in RESULTS.items():
-        write(result(study), f"results/{name}")
+        table = result(study)
+        if id(table) in written:
+            paths[f"results/{name}"] = paths[written[id(table)]]
+        elif table is not snapshots:
+            left.append((table, f"results/{name}"))
+    with ThreadPool(JOBS) as pool:
+        pool.starmap(inheritable_thread_target(spark)(write), left)
     return paths
 
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from airtide.operators import effect
 from airtide.operators.concurrency import avg_concurrency_series
-from airtide.operators.profile import channel_id_of, channel_slot_overlay
+from airtide.operators.profile import channel_slot_overlay
 from airtide.operators.quality import upsert_by_key
+from airtide.plans.history import History
+from airtide.plans.staging import new_folder
 from airtide.plans.study import Study
 from airtide.settings import Settings
+from airtide.sources.tables import merge_partitions, write_partitions
 
 
 def rounded(table: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -20,12 +23,39 @@ def rounded(table: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def one_channel_overlay(study: Study) -> DataFrame:
-    """The overlay of one channel, looked up by its name: the first name of all."""
-    directory = study.channel_directory
-    name = directory.agg(F.min("channel_name")).scalar()
-    return channel_slot_overlay(
-        *study.geo_channels(), channel_id_of(directory, name).scalar()
+    """The overlay of one channel: the first name of all."""
+    return channel_slot_overlay(*study.geo_channels(), first=True)
+
+
+def history(study: Study, facts: str) -> History:
+    """The days of a table of facts, kept in two runs that meet in the middle of the period.
+
+    The second run brings the middle day again; so the first one need not have had it all.
+    """
+    spark, table = study.snapshots.sparkSession, study.table(facts)
+    kept = History(spark, new_folder(spark, "history"), study.settings)
+    middle = study.settings.middle_date
+    kept.add(table.where(F.col("date") <= middle))
+    kept.add(table.where(F.col("date") >= middle))
+    return kept
+
+
+#: Slots that the registered merge changes, and so the folders that it rewrites.
+CHANGED_FROM = "18:00"
+
+
+def upsert_last_wins(study: Study) -> DataFrame:
+    """The profile, split by slot, after a merge whose changes hold keys twice."""
+    spark, current = study.snapshots.sparkSession, study.plan("yt_profile")
+    path = new_folder(spark, "merged-profile")
+    write_partitions(current, path, "time")
+    late = study.table("geo_yt_profile").where(F.col("time") >= CHANGED_FROM)
+    corrected = late.where("live_count > 0").withColumn("diff_percent", F.round("diff_percent", 0))
+    changes = late.withColumn("version", F.lit(1)).unionByName(
+        corrected.withColumn("version", F.lit(2))
     )
+    merge_partitions(spark, path, changes, ["channel_id", "time"], "time", "version")
+    return spark.read.schema(current.schema).parquet(path).select(*current.columns)
 
 
 RESULTS: dict[str, Callable[[Study], DataFrame]] = {
@@ -89,6 +119,18 @@ RESULTS: dict[str, Callable[[Study], DataFrame]] = {
     "constraint_report": lambda s: s.plan("constraint_report"),
 }
 
+#: The same tables maintained day by day or by merges, not computed from all facts.
+MAINTAINED: dict[str, Callable[[Study], DataFrame]] = {
+    "channel_baseline_days": lambda s: history(s, "facts").baseline(s.streamers),
+    "channel_baseline_clean_days": lambda s: history(s, "cut").baseline_clean(s.streamers),
+    "channel_baseline_geo_days": lambda s: rounded(
+        history(s, "group_cut").baseline_geo(s.group_streamers),
+        6, "yt_log_geo_avg", "tw_log_geo_avg",
+    ),
+    "stream_sessions_days": lambda s: history(s, "facts").sessions,
+    "upsert_last_wins": upsert_last_wins,
+}
+
 EVENTS_SETTINGS = Settings(
     group="BUILDING", start="2024-01-01 12:00", end="2024-01-30 12:00"
 )

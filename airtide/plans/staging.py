@@ -42,14 +42,16 @@ def stage_folder(spark: SparkSession) -> str:
 
 def stage(table: DataFrame, name: str) -> DataFrame:
     """Write ``table`` to a fresh folder and return it as read from there."""
-    spark = table.sparkSession
-    path = f"{stage_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    _delete_at_exit(spark, path)
-    return spark.read.schema(table.schema).parquet(path)
+    path = new_folder(table.sparkSession, name)
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the file system drop the folder when the application ends."""
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a fresh shared folder that the file system drops when the application ends."""
+    path = f"{stage_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)  # only what is there can be marked
+    system.deleteOnExit(folder)
+    return path

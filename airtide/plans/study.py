@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from airtide.functions.slots import time_slots
 from airtide.operators import (
@@ -35,6 +35,10 @@ class Study:
     Two branches start from ``facts``: the slot effect, after the two-sided cut of all
     channels; and the group branch with its concurrency analysis, where one group's
     facts get the one-sided cut only.
+
+    With ``observe`` the audits cost no pass over the data: what they count is counted while
+    the tables are written, and ``stage`` gets an observation ``rows`` for the number of
+    rows it writes. An audit of a table that was not written makes its own pass.
     """
 
     def __init__(
@@ -42,21 +46,63 @@ class Study:
         snapshots: DataFrame,
         streamers: DataFrame,
         settings: Settings,
-        stage: Callable[[DataFrame, str], DataFrame] = stage,
+        stage: Callable[..., DataFrame] = stage,
+        observe: bool = False,
     ):
         self.snapshots = snapshots
         self.streamers = streamers
         self.settings = settings
         self._stage = stage
         self._tables: dict[str, DataFrame] = {}
+        self._observe = observe
+        self._writing: list[str] = []
+        self._rows: dict[str, Observation] = {}
+        self._watches: dict[str, Observation] = {}
         self._two_sided = outliers.beyond(settings.z_two_sided)
         self._low = outliers.below(settings.z_low)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self._stage(getattr(self, name), name)
+            self._writing.append(name)
+            plan = getattr(self, name)
+            self._writing.pop()
+            rows = {"rows": self._rows.setdefault(name, Observation())} if self._observe else {}
+            self._tables[name] = self._stage(plan, name, **rows)
         return self._tables[name]
 
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables that are written."""
+        return dict(self._tables)
+
+    def _watched(self, rows: DataFrame, name: str, counts: list[Column]) -> DataFrame:
+        """``rows``, which are counted on their way into the table ``name``."""
+        if not self._observe or self._writing[-1:] != [name]:
+            return rows
+        self._watches[name] = Observation()
+        return rows.observe(self._watches[name], *counts)
+
+    def _counted(self, name: str, n_before: str | None = None) -> dict[str, int] | None:
+        """What was counted while the table was written, if it was.
+
+        Rows that a shuffle follows may be counted again when an executor is lost. So where
+        the rows come from the table ``n_before``, they must be as many as were written there.
+        """
+        if name not in self._tables or name not in self._watches:
+            return None
+        counts = self._watches[name].get
+        if n_before and counts["n_before"] != self._n_rows(n_before):
+            return None
+        return counts
+
+    def _n_rows(self, name: str) -> int | None:
+        """Rows of a table that was written, as its writers counted them."""
+        return self._rows[name].get["n_rows"] if name in self._tables and self._observe else None
+
+    def _one_row(self, counts: dict[str, int]) -> DataFrame:
+        values = [F.lit(value).cast("bigint").alias(name) for name, value in counts.items()]
+        return self.snapshots.sparkSession.range(1).select(*values)
+
     def plan(self, name: str) -> DataFrame:
         return self._tables[name] if name in self._tables else getattr(self, name)
 
@@ -64,10 +110,14 @@ class Study:
 
     @property
     def clean(self) -> DataFrame:
-        return cleaning.quality_filter(self.snapshots, self.settings.min_viewers)
+        least = self.settings.min_viewers
+        snapshots = self._watched(self.snapshots, "slotted", cleaning.quality_counts(least))
+        return cleaning.quality_filter(snapshots, least)
 
     @property
     def clean_audit(self) -> DataFrame:
+        if counts := self._counted("slotted"):
+            return self._one_row(counts)
         return cleaning.quality_filter_audit(self.snapshots, self.settings.min_viewers)
 
     @property
@@ -76,19 +126,23 @@ class Study:
 
     @property
     def stream_means(self) -> DataFrame:
-        return cleaning.stream_means(self.slotted)
+        return cleaning.stream_means(self.plan("slotted"))
 
     @property
     def slot_mean(self) -> DataFrame:
-        return cleaning.slot_mean(self.slotted, self.table("stream_means"))
+        return cleaning.slot_mean(self.plan("slotted"), self.table("stream_means"))
 
     @property
     def facts(self) -> DataFrame:
-        return cleaning.slot_dedup(self.slotted, self.table("stream_means"))
+        return cleaning.slot_dedup(self.plan("slotted"), self.table("stream_means"))
 
     @property
     def facts_audit(self) -> DataFrame:
-        return cleaning.slot_dedup_audit(self.slotted, self.plan("facts"))
+        before, after = self._counted("slotted"), self._n_rows("facts")
+        if before and after is not None:
+            n = before["n_after"]
+            return self._one_row({"n_duplicates": n - after, "n_after": after})
+        return cleaning.slot_dedup_audit(self.plan("slotted"), self.plan("facts"))
 
     @property
     def sessions(self) -> DataFrame:
@@ -104,12 +158,15 @@ class Study:
 
     @property
     def cut(self) -> DataFrame:
-        return outliers.outlier_cut(
-            self.table("facts"), self.table("baseline"), self._two_sided
+        verdicts = outliers.judged(
+            self.table("facts"), self.table("baseline"), self._two_sided, only_known=False
         )
+        return outliers.kept(self._watched(verdicts, "cut", outliers.cut_counts()))
 
     @property
     def cut_audit(self) -> DataFrame:
+        if counts := self._counted("cut", n_before="facts"):
+            return self._one_row(counts)
         return outliers.outlier_audit(
             self.table("facts"), self.table("baseline"), self._two_sided
         )
@@ -171,18 +228,22 @@ class Study:
             self.table("baseline"), self.streamers, self.settings.group
         )
 
+    def _group_verdicts(self) -> DataFrame:
+        """Group restriction and cut in one join: only members have a baseline here."""
+        baseline = self._member_baseline
+        facts = self._tables.get("group_facts", self.table("facts"))
+        return outliers.judged(facts, baseline, self._low, only_known=True)
+
     @property
     def group_cut(self) -> DataFrame:
-        """Group restriction and cut in one join: only members have a baseline here."""
-        return outliers.outlier_cut(
-            self.table("facts"), self._member_baseline, self._low, only_known=True
-        )
+        verdicts = self._group_verdicts()
+        return outliers.kept(self._watched(verdicts, "group_cut", outliers.cut_counts()))
 
     @property
     def group_cut_audit(self) -> DataFrame:
-        return outliers.outlier_audit(
-            self.table("facts"), self._member_baseline, self._low, only_known=True
-        )
+        if counts := self._counted("group_cut", n_before="group_facts"):
+            return self._one_row(counts)
+        return self._group_verdicts().agg(*outliers.cut_counts())
 
     @property
     def geo_baseline(self) -> DataFrame:

@@ -47,3 +47,9 @@ class Settings:
     @property
     def n_days(self) -> int:
         return self._period.days
+
+    @property
+    def middle_date(self) -> str:
+        """The date halfway through the period, ``yyyy-MM-dd``."""
+        start = datetime.strptime(self.start, "%Y-%m-%d %H:%M")
+        return (start + self._period / 2).strftime("%Y-%m-%d")

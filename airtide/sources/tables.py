@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from airtide.operators.quality import last_changes, upsert_by_key
+from airtide.plans.staging import stage
 
 SNAPSHOT_SCHEMA = (
     "id bigint, date string, time string, channel string, "
@@ -37,19 +40,66 @@ def _casts(schema: str) -> list[str]:
     return [f"CAST({name} AS {kind}) AS {name}" for name, kind in columns]
 
 
-def write_snapshots(snapshots: DataFrame, path: str) -> None:
+def write_snapshots(snapshots: DataFrame, path: str, rows: Observation | None = None) -> None:
     """Write the fact split by date, so that date ranges prune whole folders.
 
     Rebalancing gives each date files of even size: a small date one, a large date many,
-    written by as many tasks.
+    written by as many tasks. ``rows`` observes ``n_rows``.
     """
-    rebalanced = snapshots.hint("rebalance", "date")
+    rebalanced = counted(snapshots.hint("rebalance", "date"), rows)
     rebalanced.write.mode("overwrite").partitionBy("date").parquet(path)
 
 
-def write_table(table: DataFrame, path: str) -> None:
-    """Replace a table. Read inputs must live at other paths."""
-    table.write.mode("overwrite").parquet(path)
+def write_table(table: DataFrame, path: str, rows: Observation | None = None) -> None:
+    """Replace a table. Read inputs must live at other paths. ``rows`` observes ``n_rows``."""
+    counted(table, rows).write.mode("overwrite").parquet(path)
+
+
+def counted(table: DataFrame, rows: Observation | None) -> DataFrame:
+    """The table, whose rows are counted by the tasks that write it.
+
+    Nothing is shuffled between here and the writer, and of a task that runs twice only
+    the attempt that is committed counts.
+    """
+    return table.observe(rows, F.count("*").alias("n_rows")) if rows else table
+
+
+def write_partitions(table: DataFrame, path: str, partition: str) -> None:
+    """Replace the folders of the values of ``partition`` that occur; others stay as they are."""
+    (
+        table.hint("rebalance", partition)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .parquet(path)
+    )
+
+
+def merge_partitions(
+    spark: SparkSession,
+    path: str,
+    changes: DataFrame,
+    keys: list[str],
+    partition: str,
+    order: str | None = None,
+) -> None:
+    """Upsert ``changes`` into a table that is split by ``partition``, one of ``keys``.
+
+    Changes have the table's columns and ``order``: of changes of one key the one with the
+    largest ``order`` counts. Only folders that
+    a change falls into are read and rewritten; the others keep their files. The new
+    rows are written beside the table first, so that a run that fails leaves it whole.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} must be one of the keys, or a row could change its folder")
+    if order:
+        changes = last_changes(changes, keys, order).drop(order)
+    changes = stage(changes, "changes")
+    current = spark.read.schema(changes.schema).parquet(path)
+    touched = changes.select(partition).distinct()
+    near = current.join(touched, current[partition].eqNullSafe(touched[partition]), "left_semi")
+    merged = stage(upsert_by_key(near, changes, keys), "merged")
+    write_partitions(merged, path, partition)
 
 
 def with_created_at(table: DataFrame) -> DataFrame:

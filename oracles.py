@@ -525,6 +525,24 @@ _ORACLES: dict[str, str] = {
     ),
 }
 
+# Tables that are maintained day by day equal those computed at once.
+for _maintained in (
+    "channel_baseline", "channel_baseline_clean", "channel_baseline_geo", "stream_sessions",
+):
+    _ORACLES[f"{_maintained}_days"] = _ORACLES[_maintained]
+_ORACLES["upsert_last_wins"] = """
+    SELECT channel_id, channel_name, time, live_count, avg_viewers, diff_percent
+    FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY channel_id, time ORDER BY version DESC) AS rank
+        FROM (
+            SELECT *, 0 AS version FROM profile_yt
+            UNION ALL SELECT *, 1 AS version FROM geo_profile_yt WHERE time >= '18:00'
+            UNION ALL SELECT * REPLACE (round(diff_percent, 0) AS diff_percent), 2 AS version
+            FROM geo_profile_yt WHERE time >= '18:00' AND live_count > 0
+        )
+    ) WHERE rank = 1"""
+
 
 def _parts_of(sql: str, found: dict[str, None]) -> None:
     for name in re.findall(r"\w+", sql):

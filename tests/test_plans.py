@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from airtide.operators import cleaning
 from airtide.plans import batch, staging
-from airtide.plans.catalog import EVENTS_SETTINGS, RESULTS
+from airtide.plans.catalog import EVENTS_SETTINGS, MAINTAINED, RESULTS
 from airtide.plans.study import Study
 from airtide.settings import Settings
 from airtide.sources import tables
@@ -103,13 +103,65 @@ def test_batch_run_matches_the_single_queries(spark, tmp_path):
         assert written.exceptAll(single).isEmpty() and single.exceptAll(written).isEmpty()
     effect = spark.read.parquet(paths["concurrency_effect"])
     assert effect.where(F.col("created_at").isNull()).isEmpty()
-    assert {os.path.relpath(p, tmp_path) for p in paths.values()} == {
-        *batch.TABLES, *[f"results/{name}" for name in RESULTS],
+    assert set(paths) == {
+        *batch.TABLES, *[f"results/{name}" for name in RESULTS if name != "snapshot_scan"],
     }
+    tables = {paths[name] for name in batch.TABLES}
+    assert paths["results/slot_dedup"] == paths["facts"]  # a result that is a table
+    for name, result in RESULTS.items():
+        path = paths.get(f"results/{name}")
+        assert path is None or path in tables or path == f"{tmp_path}/results/{name}"
+    assert sum(p in tables for n, p in paths.items() if n.startswith("results/")) > 15
     assert all(os.path.exists(f"{p}/_SUCCESS") for p in paths.values())
     assert any(name.startswith("date=") for name in os.listdir(paths["facts"]))
     distribution = spark.read.parquet(paths["results/concurrency_distribution"])
     assert distribution.count() > 0 and distribution.agg(F.max("cnt_1")).first()[0] > 0
+    for name in AUDITS:
+        written = spark.read.parquet(paths[f"results/{RESULT_OF[name]}"])
+        assert written.collect() == getattr(study, name).select(written.columns).collect()
+
+
+AUDITS = ["clean_audit", "facts_audit", "cut_audit", "group_cut_audit"]
+RESULT_OF = {
+    "clean_audit": "quality_filter_audit", "facts_audit": "slot_dedup_audit",
+    "cut_audit": "outlier_audit", "group_cut_audit": "outlier_audit_low3",
+}
+
+
+def observed_study(spark):
+    def write(table, name, rows=None):
+        return staging.stage(tables.counted(table, rows), name)
+
+    return Study(*read_events_as_study_tables(spark, SF), EVENTS_SETTINGS, stage=write, observe=True)
+
+
+def test_audits_are_counted_while_tables_are_written(spark):
+    study = observed_study(spark)
+    for name in ("slotted", "facts", "cut", "group_facts", "group_cut"):
+        study.table(name)
+    plain = contract.study(spark, SF)
+    for name in AUDITS:
+        audit = getattr(study, name)
+        assert "Scan parquet" not in plan_of(audit) and "Scan parquet" in plan_of(getattr(plain, name))
+        assert audit.collect() == getattr(plain, name).collect(), name
+
+
+def test_counts_that_do_not_fit_the_written_rows_are_not_used(spark, monkeypatch):
+    """As when a task below a shuffle ran twice: the audit then makes a pass of its own."""
+    study = observed_study(spark)
+    for name in ("facts", "cut", "group_facts", "group_cut"):
+        study.table(name)
+    monkeypatch.setattr(study, "_n_rows", lambda name: -1)
+    for name in ("cut_audit", "group_cut_audit"):
+        assert "Scan parquet" in plan_of(getattr(study, name))
+        assert getattr(study, name).collect() == getattr(contract.study(spark, SF), name).collect()
+
+
+def test_without_tables_audits_make_a_pass(spark):
+    study = observed_study(spark)
+    study.clean, study.cut  # plans that nobody writes
+    assert study.clean_audit.collect() == contract.study(spark, SF).clean_audit.collect()
+    assert study.cut_audit.first()["n_before"] > 0
 
 
 @pytest.mark.parametrize("minutes", [0, 7, 25, 90])
@@ -153,7 +205,7 @@ def test_the_scan_reads_only_what_a_query_needs(spark):
 
 def test_no_plan_leaves_the_jvm_or_pairs_all_rows(spark):
     queries = contract.queries()  # share their stage tables
-    for name in RESULTS:
+    for name in RESULTS | MAINTAINED:
         text = plan_of(queries[name](spark, SF))
         for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in text, (name, word)
