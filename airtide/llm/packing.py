@@ -4,15 +4,15 @@ Every source is a queue of tokens, cut into blocks of ``BLOCK`` tokens. In each
 queue's deficit grows by its quantum, its target share of a window, and the queue sends
 as many whole blocks as its deficit covers; what is left over is carried into the next
 round, and so from window to window. The quanta of a round add up to one window. Queues
-that run dry drop out and the others go on with their own quanta.
+that run dry drop out and the others go on with their own quanta. A queue begins with a
+part of a block as credit, and queues of like shares with evenly spread parts: so those
+that send less than a block per window, however many, do not all send in the same one.
 
-The round in which block ``j`` of a queue is sent, and the number of blocks sent before
-it, follow from the shares by integer arithmetic alone. So each block finds its place by
-itself and the deficits carry over partitions without a sequential pass: all that the
-partitions share is how many blocks of each source precede theirs, a running total over
-(partition, source). Small sources share one queue, in which a source's block ``j`` of ``n``
-stands at ``(j + 1) / n``: where its own share would send it. Those places are found by a
-range partition and running totals.
+The round in which block ``j`` of a queue is sent follows from its weight and its credit
+by integer arithmetic alone. The blocks, small rows without their tokens, are sorted by
+(round, source, j), and a block's place is its rank: running totals over the ranges of
+that sort. So deficits carry over partitions without a sequential pass, and there may be
+any number of sources: none has a rule, a column or a row on the driver of its own.
 
 Texts are tokenized once. A task cuts the tokens of each source into blocks as it reads
 and writes a row per piece of a document in a block; token ids are never shuffled. What
@@ -34,17 +34,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from airtide.llm.prefix_sums import with_offsets
+from airtide.llm.prefix_sums import running_totals, with_offsets
 from airtide.plans.staging import stage
 
 SEQUENCE = 2048
 BLOCK = 256
 END_ID = 1
-#: A source with at least this share of all tokens has its own queue; so there are at
-#: most 1 / OWN_QUEUE_SHARE of them. The other sources share one.
-OWN_QUEUE_SHARE = 0.001
-#: Shares are integers out of this.
-SHARES = 1 << 20
+#: Targets become integers out of this.
+SHARES = 1 << 40
+#: Credits are integers out of this; the second number is its golden section.
+CREDIT, _SPREAD = 1 << 20, 648_056
 #: Encodings of words that a worker remembers, for each of two generations.
 CACHE_WORDS = 300_000
 #: Parts of more characters are encoded by ``tokenizers``: tiktoken's pattern search overflows
@@ -242,30 +241,6 @@ def _pieces(docs: DataFrame, id: str, text: str, source: str, tokenizer: str, bl
     return docs.mapInArrow(cut, schema)
 
 
-def sent_before(queue, j, weights, sizes, per_window: int):
-    """How many blocks are sent before block ``j`` of ``queue``; numpy arrays of longs.
-
-    ``weights`` are the queues' shares out of their sum, ``sizes`` their numbers of
-    blocks. In round r a queue has sent floor(r * per_window * share) blocks, or all.
-    """
-    import numpy as np
-
-    weights, sizes = np.asarray(weights, np.int64), np.asarray(sizes, np.int64)
-    whole = int(weights.sum())
-    quantum = per_window * weights
-    last_round = -(-sizes * whole // quantum)
-
-    def sent(q, rounds):
-        return np.minimum(sizes[q], np.minimum(rounds, last_round[q]) * quantum[q] // whole)
-
-    rounds = -(-(j + 1) * whole // quantum[queue])
-    before = j - sent(queue, rounds - 1)
-    for q in range(len(sizes)):
-        earlier = sent(q, rounds - 1)
-        before += earlier + np.where(q < queue, sent(q, rounds) - earlier, 0)
-    return before
-
-
 def pack(
     docs: DataFrame,
     *,
@@ -280,9 +255,9 @@ def pack(
     """One row per piece of a document: where it is cut and where it lies.
 
     ``tokenizer`` is the path of a byte-level BPE definition. ``targets`` are the sources'
-    relative shares of each window; sources that it leaves out share one queue that has
-    what the targets leave of 1, and comes last if they leave nothing. Without targets
-    the shares are those of the corpus. ``sequence`` and ``block`` are powers of two.
+    relative shares of each window; sources that it leaves out share what the targets leave
+    of 1 by their sizes, and come last if they leave nothing. Without targets the shares
+    are those of the corpus. ``sequence`` and ``block`` are powers of two.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
     """
@@ -291,53 +266,32 @@ def pack(
     pieces = stage(_pieces(docs, id, text, source, tokenizer, block), "packing-pieces")
     runs = pieces.groupBy("task", "source", "size").agg((F.max("block") + 1).alias("n"))
     runs = stage(runs, "packing-runs")
-
-    queues, weights = _queues(runs, targets)
-    rest = len(queues)
-    number = F.lit(rest)
-    for i, name in enumerate(queues):
-        number = F.when(F.col("source").eqNullSafe(F.lit(name)), i).otherwise(number)
-    n_blocks = F.expr(f"sum(n * size) DIV {block}").alias("n_blocks")
-    sources = runs.groupBy("source").agg(n_blocks)
-    sources = stage(sources.withColumn("queue", number.cast("long")), "packing-sources")
-    counts = {
-        row["queue"]: row["n"]
-        for row in sources.groupBy("queue").agg(F.sum("n_blocks").alias("n")).collect()
-    }
-    sizes = [counts.get(q, 0) for q in range(rest + 1)]
-    runs, smaller, at = _positions(runs, sources, block, sum(sizes) * block)
+    queues = _queues(runs, targets, block)
+    totals = queues.agg(F.sum("n_blocks"), F.sum("n_tokens"), F.sum("weight")).first()
+    n_blocks, n_tokens, whole = (total or 0 for total in totals)
+    places = _places(queues, whole, sequence // block)
+    runs = _runs(runs, queues, block, n_blocks * block)
 
     key = ["task", "source", "size"]
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    r = runs.select(*key, "queue", "n_blocks", "first", "tail", "tail_start")
-    placed = pieces.alias("p").join(r.alias("r"), same)
-    placed = placed.select("p.*", "queue", "n_blocks", "first", "tail", "tail_start")
+    r = runs.select(*[F.col(k).alias(f"_{k}") for k in key], "first", "tail", "tail_start")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    same = same & (F.col("task") == F.col("_task")) & (F.col("size") == F.col("_size"))
+    placed = pieces.join(r, same).drop("_task", "_source", "_size")
     token = F.col("first") + F.col("block") * F.col("size") + F.col("at")
-    placed = placed.withColumn("token", token).withColumn("j", F.expr(f"token DIV {block}"))
-    if sizes[rest]:
-        placed = _in_shared_queue(placed, sources, rest)
-    per_window = sequence // block
-
-    @F.pandas_udf("long")
-    def rank(queue, j):
-        import pandas as pd
-
-        full = (queue >= 0).to_numpy()
-        out = j.to_numpy().copy()
-        out[full] = sent_before(queue.to_numpy()[full], out[full], weights, sizes, per_window)
-        return pd.Series(out)
-
-    base = F.lit(0).cast("long")
-    for size, start in smaller.items():
-        base = F.when(F.col("size") == size, F.lit(start)).otherwise(base)
-    sent = rank(F.when(F.col("tail"), F.lit(-1)).otherwise(F.col("queue")).cast("long"), "j")
-    in_tail = base + F.col("size") * F.col("tail_start") + F.col("at")
-    position = F.when(F.col("tail"), in_tail).otherwise(sent * block + F.col("token") % block)
-    placed = placed.withColumn("position", position)
-    full = at // sequence
+    placed = placed.withColumn("token", token)
+    placed = placed.withColumn("j", F.when(~F.col("tail"), F.expr(f"token DIV {block}")))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("j") == F.col("_j"))
+    full = placed.where("NOT tail").join(places, same).drop("_source", "_j")
+    full = full.withColumn("position", F.col("place") * block + F.col("token") % block).drop("place")
+    tails = placed.where("tail").withColumn(
+        "position", F.col("tail_start") + F.col("block") * F.col("size") + F.col("at")
+    )
+    placed = full.unionByName(tails)
+
+    n_full = n_tokens // sequence
     sequence_id, offset = F.expr(f"position DIV {sequence}"), F.col("position") % sequence
-    start, left, number = full * sequence, at % sequence, full
-    while left:
+    start, left, number = n_full * sequence, n_tokens % sequence, n_full
+    while left:  # the last sequences, of falling powers of two
         size = 1 << (left.bit_length() - 1)
         here = F.col("position") >= start
         sequence_id = F.when(here, F.lit(number)).otherwise(sequence_id)
@@ -355,13 +309,55 @@ def pack(
     )
 
 
-def _positions(
-    runs: DataFrame, sources: DataFrame, block: int, at: int
-) -> tuple[DataFrame, dict[int, int], int]:
+def _queues(runs: DataFrame, targets: dict[str, float] | None, block: int) -> DataFrame:
+    """A row per source: its tokens, full blocks, weight and credit."""
+    queues = runs.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens"))
+    queues = queues.withColumn("n_blocks", F.expr(f"n_tokens DIV {block}"))
+    weight = F.greatest("n_blocks", F.lit(1))
+    if targets:
+        scale = SHARES / max(1.0, sum(targets.values()))
+        named = [(name, max(1, round(share * scale))) for name, share in targets.items()]
+        rest = max(0, SHARES - sum(weight for _, weight in named))
+        named = runs.sparkSession.createDataFrame(named, "_name string, _weight long")
+        queues = queues.join(named, F.col("source") == F.col("_name"), "left").drop("_name")
+        other = F.when(F.col("_weight").isNull(), F.col("n_tokens"))
+        n_other = queues.agg(F.sum(other)).first()[0] or 1
+        weight = F.coalesce("_weight", F.greatest(F.floor(rest * (other / n_other)), F.lit(1)))
+    queues = queues.select("source", "n_tokens", "n_blocks", weight.cast("long").alias("weight"))
+    # Neighbours by weight get credits a golden section apart, which any few spread evenly.
+    ordered = queues.repartitionByRange("weight", "source").sortWithinPartitions("weight", "source")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stage(ordered.withColumn("credit", row * _SPREAD % CREDIT), "packing-queues")
+
+
+def _places(queues: DataFrame, whole: int, per_window: int) -> DataFrame:
+    """(_source, _j, place) of all full blocks: their ranks by the rounds that send them.
+
+    After r rounds a queue has sent floor(credit + r * per_window * weight / whole) blocks,
+    or all that it has.
+    """
+    few = 1 << 16  # numbers in one array
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(few).cast("long"))
+    blocks = queues.where("n_blocks > 0").withColumn("start", F.explode(starts))
+    ends = F.least(F.col("start") + (few - 1), F.col("n_blocks") - 1)
+    blocks = blocks.withColumn("j", F.explode(F.sequence("start", ends)))
+    due = f"CAST((j + 1) * {CREDIT} - credit AS DECIMAL(20, 0)) * CAST({whole} AS DECIMAL(18, 0))"
+    quantum = f"CAST({CREDIT * per_window} AS DECIMAL(12, 0)) * CAST(weight AS DECIMAL(18, 0))"
+    blocks = blocks.select(
+        F.col("source").alias("_source"),
+        F.col("j").alias("_j"),
+        F.expr(f"({due} + {quantum} - 1) DIV ({quantum})").alias("round"),
+        F.lit(1).alias("one"),
+    )
+    placed = running_totals(blocks, ["round", "_source", "_j"], "one", "packing-blocks")
+    return placed.select("_source", "_j", F.col("offset").alias("place"))
+
+
+def _runs(runs: DataFrame, queues: DataFrame, block: int, at: int) -> DataFrame:
     """Runs with their first token's place in their source, which has sizes in falling order.
 
-    Those after the source's last full block are ``tail``, with their number among those of
-    their size; also returned is where each size begins, from ``at`` on, and the end of all.
+    Those after the source's last full block are ``tail``. They stand from ``at`` on, again
+    in falling size; ``tail_start`` is the place of the first token of the run there.
     """
     by_size = runs.groupBy("source", "size").agg(F.sum("n").alias("n"))
     larger = Window.partitionBy("source").orderBy(F.desc("size"))
@@ -372,66 +368,17 @@ def _positions(
     on = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.size") == F.col("b.size")]
     runs = runs.alias("a").join(by_size.alias("b"), on).select("a.*", "before")
     on = F.col("a.source").eqNullSafe(F.col("b.source"))
-    runs = runs.alias("a").join(sources.alias("b"), on).select("a.*", "before", "queue", "n_blocks")
+    runs = runs.alias("a").join(queues.alias("b"), on).select("a.*", "before", "n_blocks")
     first = F.col("before") + F.col("offset") * F.col("size")
     runs = runs.withColumn("first", first).drop("before", "offset")
-    tail = F.col("first") >= F.col("n_blocks") * block
-    runs = stage(runs.withColumn("tail", tail), "packing-places")
-    tails = runs.where("tail")
-    smaller = {}
-    for row in tails.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("size")).collect():
-        smaller[row["size"]] = at
-        at += row["size"] * row["n"]
-    tails = with_offsets(tails, ["size"], "task", ["source"], "n")
-    tails = tails.withColumnRenamed("offset", "tail_start")
-    others = runs.where("NOT tail").withColumn("tail_start", F.lit(0).cast("long"))
-    return others.unionByName(tails), smaller, at
-
-
-def _in_shared_queue(placed: DataFrame, sources: DataFrame, queue: int) -> DataFrame:
-    """``placed`` with ``j`` counted in the whole shared queue, for the blocks in it."""
-    few = 1 << 16  # numbers in one array
-    blocks = sources.where((F.col("queue") == queue) & (F.col("n_blocks") > 0))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(few).cast("long"))
-    blocks = blocks.withColumn("start", F.explode(starts))
-    ends = F.least(F.col("start") + (few - 1), F.col("n_blocks") - 1)
-    blocks = blocks.withColumn("j", F.explode(F.sequence("start", ends)))
-    blocks = blocks.select("source", "j", ((F.col("j") + 1) / F.col("n_blocks")).alias("due"))
-    order = ["due", "source", "j"]
-    blocks = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = stage(blocks.withColumn("row", F.monotonically_increasing_id()), "packing-shared")
-    blocks = blocks.select(
-        F.col("source").alias("_source"),
-        F.col("j").alias("_j"),
-        F.shiftright("row", 33).alias("part"),
-        F.col("row").bitwiseAND((1 << 33) - 1).alias("within"),
-    )
-    parts = blocks.groupBy("part").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    parts = with_offsets(parts, ["all"], "part", [], "n").select("part", "offset")
-    blocks = blocks.join(parts, "part").select(
-        "_source", "_j", (F.col("offset") + F.col("within")).alias("_place")
+    runs = stage(runs.withColumn("tail", F.col("first") >= F.col("n_blocks") * block), "packing-runs")
+    tails = runs.where("tail").withColumns(
+        {"falling": -F.col("size"), "tokens": F.col("n") * F.col("size")}
     )
-    here = (F.col("queue") == queue) & ~F.col("tail")
-    found = placed.where(here).join(
-        blocks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("j") == F.col("_j"))
-    )
-    found = found.withColumn("j", F.col("_place")).drop("_source", "_j", "_place")
-    return placed.where(~here).unionByName(found)
-
-
-def _queues(runs: DataFrame, targets: dict[str, float] | None) -> tuple[list, list[int]]:
-    """Names of the queues, and integer weights with one more for all other sources."""
-    if targets:
-        names = list(targets)
-        shares = [targets[n] / max(1.0, sum(targets.values())) for n in names]
-    else:
-        per_source = runs.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("n"))
-        total = per_source.agg(F.sum("n")).first()[0] or 0
-        large = per_source.where(F.col("n") >= OWN_QUEUE_SHARE * total).collect() if total else []
-        large = sorted(large, key=lambda row: (row["source"] is None, row["source"] or ""))
-        names, shares = [row["source"] for row in large], [row["n"] / total for row in large]
-    shares.append(max(0.0, 1 - sum(shares)))
-    return names, [max(1, round(SHARES * share)) for share in shares]
+    tails = running_totals(tails, ["falling", "task", "source"], "tokens", "packing-tails")
+    tails = tails.withColumn("tail_start", F.col("offset") + at).drop("offset", "falling", "tokens")
+    others = runs.where("NOT tail").withColumn("tail_start", F.lit(None).cast("long"))
+    return others.unionByName(tails)
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import hashlib
 import json
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -247,15 +249,72 @@ def test_packed_texts_with_the_end_mark(documents):
     assert row[0] == first["doc_tokens"] == count
 
 
-def test_round_robin_places_are_a_permutation():
-    weights, sizes = [5, 1, 3, 1], [40, 9, 3, 20]
-    places = [packing.sent_before(np.full(n, q), np.arange(n), weights, sizes, 8) for q, n in enumerate(sizes)]
-    assert sorted(np.concatenate(places)) == list(range(sum(sizes)))
-    # While a queue has blocks, it is at most a round's quantum and a block away from its share.
-    for n in range(8, 40, 8):
-        for place, w in zip(places, weights):
-            if (place < n).sum() < len(place):
-                assert abs((place < n).sum() - n * w / 10) <= 8 * w / 10 + 1
+def sequential_round_robin(queues, per_window):
+    """(source, j) in the order of a deficit round-robin that goes from queue to queue."""
+    whole = sum(q["weight"] for q in queues)
+    queues = sorted(queues, key=lambda q: (q["source"] is not None, q["source"]))
+    deficit = [Fraction(q["credit"], packing.CREDIT) for q in queues]
+    sent, order = [0] * len(queues), []
+    while len(order) < sum(q["n_blocks"] for q in queues):
+        for i, q in enumerate(queues):
+            deficit[i] += Fraction(per_window * q["weight"], whole)
+            while deficit[i] >= 1 and sent[i] < q["n_blocks"]:
+                order.append((q["source"], sent[i]))
+                deficit[i] -= 1
+                sent[i] += 1
+    return order
+
+
+@pytest.mark.parametrize("targets", [None, {"b": 0.6, "c": 0.3}, {"a": 0.5, "z": 0.3}])
+def test_places_are_those_of_a_sequential_round_robin(spark, targets):
+    random = np.random.default_rng(4)
+    rows = [(t, s, 256, int(n)) for s, top in (("a", 30), ("b", 9), ("c", 60), (None, 20)) for t, n in enumerate(random.integers(1, top, 3))]
+    rows += [(0, f"web{i}", 256, 1 + i % 3) for i in range(40)] + [(1, "rest", 64, 3)]
+    runs = spark.createDataFrame(rows, "task long, source string, size long, n long")
+    queues = packing._queues(runs, targets, 256)
+    listed = queues.collect()
+    n_blocks = {s: sum(n * z for _, s2, z, n in rows if s2 == s) // 256 for s in {r[1] for r in rows}}
+    assert {q["source"]: q["n_blocks"] for q in listed} == n_blocks
+    places = packing._places(queues, sum(q["weight"] for q in listed), 8).collect()
+    found = [(r["_source"], r["_j"]) for r in sorted(places, key=lambda r: r["place"])]
+    assert sorted(r["place"] for r in places) == list(range(sum(n_blocks.values())))
+    assert found == sequential_round_robin(listed, 8)
+
+
+def test_sources_that_targets_leave_nothing_come_last(spark):
+    rows = [(0, "a", 256, 20), (0, "b", 256, 5), (0, "c", 256, 9)]
+    runs = spark.createDataFrame(rows, "task long, source string, size long, n long")
+    queues = packing._queues(runs, {"b": 2.0, "c": 1.0}, 256)
+    places = packing._places(queues, sum(q["weight"] for q in queues.collect()), 8).collect()
+    assert sorted(r["place"] for r in places if r["_source"] == "a") == list(range(14, 34))
+
+
+def test_like_small_queues_send_in_turn(spark):
+    """500 sources of one block each, beside one as large as they all: every window is half theirs."""
+    rows = [(0, f"web{i:03}", 256, 1) for i in range(500)] + [(0, "large", 256, 500)]
+    runs = spark.createDataFrame(rows, "task long, source string, size long, n long").coalesce(1)
+    queues = packing._queues(runs, None, 256)
+    places = packing._places(queues, 1000, 8).collect()
+    windows = Counter(r["place"] // 8 for r in places if r["_source"] == "large")
+    assert sum(windows.values()) == 500 and set(windows) == set(range(125))
+    assert min(windows.values()) >= 2 and max(windows.values()) <= 6
+
+
+@pytest.mark.parametrize("n", [500, 900, 5000])
+def test_any_number_of_sources_is_packed(spark, n):
+    docs = spark.range(2 * n).selectExpr(
+        "id AS doc_id", f"concat('site', id % {n}) AS source",
+        "array_join(transform(sequence(0, 300), x -> concat('w', (x * id) % 97)), ' ') AS text",
+    )
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = packing.pack(docs, tokenizer=path).toPandas()
+    whole = out.groupby("doc_id").agg({"length": "sum", "doc_tokens": "first"})
+    assert len(whole) == 2 * n and (whole["length"] == whole["doc_tokens"]).all()
+    out = out.sort_values(["sequence_id", "offset"])
+    filled = out.groupby("sequence_id")["length"]
+    assert ((filled.cumsum() - out["length"]) == out["offset"]).all()
+    sizes = filled.sum().to_numpy()
+    assert (sizes[:-12] == 2048).all() and out["sequence_id"].nunique() == out["sequence_id"].max() + 1
 
 
 @pytest.mark.parametrize("targets", [None, {"src0": 0.5, "src1": 0.25}])
@@ -281,9 +340,8 @@ def test_every_token_is_packed_once(spark, small, targets):
         assert abs(first["src0"] / (6 * 2048) - 0.5) < 0.05
 
 
-def test_small_sources_are_mixed_too(spark, monkeypatch):
-    """Sources below the share of an own queue, each read by one task, and rests of many tasks."""
-    monkeypatch.setattr(packing, "OWN_QUEUE_SHARE", 0.2)
+def test_small_sources_are_mixed_too(spark):
+    """Sources that are each read by one task, and rests of many tasks."""
     words = "The harbour lay quiet under a grey sky while boats turned. "
     rows = [(100 * s + i, words * 40, f"web{s}") for s in range(12) for i in range(10)]
     rows += [(5000 + i, words * 3, "rests") for i in range(120)]

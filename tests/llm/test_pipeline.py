@@ -108,7 +108,6 @@ def test_secrets_stage(stages):
 
 def test_packing_stage_and_the_whole_run(spark, stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {
         i: np.array(tokenizer.encode(r["text"], add_special_tokens=False).ids + [1], "<u4")
         for i, r in rows_of(stages["secret_scans"]).items()
