@@ -7,13 +7,16 @@ reported once their bytes parse:
 - ``token``: a signed token whose first two parts decode to JSON objects, the first
   with an ``alg``, and whose third part decodes to a signature;
 - ``pem``: a private key between BEGIN and END lines whose body decodes and parses;
-- ``key``: a run of base64 or hex digits that decodes to a private key by itself.
+- ``key``: base64 or hex digits, in one run or wrapped over lines of equal length, that
+  decode to a private key or to a text that holds a PEM key.
 
 A private key parses if it is DER whose nested lengths fill their parents exactly and
 whose elements are those of a known key type, or an OpenSSH key whose length-prefixed
 fields fill it exactly.
 
-Matching is a function of one text; nothing is shuffled. Whole texts are searched.
+Matching is a function of one text; nothing is shuffled. Whole texts are searched, in
+time that grows with their length: marks, runs and lines are found in one pass each and a
+body ends at the next mark, so no part of a text is decoded more than a few times.
 
 Edge cases: a null text has no spans and stays null when redacted; an empty one has
 none. Spans count code points, end exclusive, sorted by start and then kind. Repeated
@@ -40,11 +43,14 @@ _ASSIGN = re.compile(
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-#: A private key of 32 bytes takes 48 bytes of DER.
-_SHORTEST_KEY = 48
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{64,}={0,2}")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: The shortest key that parses takes 27 bytes of DER, so 36 digits of base64.
+_RUN = 36
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{_RUN},}}={{0,2}}")
+_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/]+={0,2})[ \t\r]*$", re.MULTILINE)
+#: The shortest signed token that its pattern takes, dots included.
+_SIGNED_LENGTH = 32
 _HEX_BYTES = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 _PEM_HEADER = re.compile(r"^[A-Za-z-]+: .*$", re.MULTILINE)
 
@@ -133,9 +139,7 @@ def is_openssh_private_key(data: bytes) -> bool:
 
 
 def is_private_key(data: bytes | None) -> bool:
-    return data is not None and len(data) >= _SHORTEST_KEY and (
-        is_der_private_key(data) or is_openssh_private_key(data)
-    )
+    return data is not None and (is_der_private_key(data) or is_openssh_private_key(data))
 
 
 def is_signed_token(text: str) -> bool:
@@ -154,10 +158,55 @@ def _is_pem_key(body: str) -> bool:
     return is_private_key(_decode64("".join(body.split())))
 
 
+def _pem_spans(text: str) -> list[tuple[int, int]]:
+    """Keys between a BEGIN mark and an END mark of its name, without a mark between them."""
+    found, begin = [], None
+    for mark in _MARK.finditer(text):
+        if mark[1] == "BEGIN":
+            begin = mark
+        elif begin and begin[2] == mark[2] and _is_pem_key(text[begin.end() : mark.start()]):
+            found.append((begin.start(), mark.end()))
+            begin = None
+    return found
+
+
+def _holds_key(data: bytes | None) -> bool:
+    """A private key, or a text with a PEM key in it."""
+    if data is None:
+        return False
+    return is_private_key(data) or (b"-----BEGIN " in data and bool(_pem_spans(data.decode("latin-1"))))
+
+
 def _is_bare_key(run: str) -> bool:
-    if _HEX_BYTES.fullmatch(run):
-        return is_private_key(bytes.fromhex(run))
-    return is_private_key(_decode64(run))
+    if _HEX_BYTES.fullmatch(run) and is_private_key(bytes.fromhex(run)):
+        return True
+    return _holds_key(_decode64(run))
+
+
+def _wrapped(text: str) -> list[list[re.Match]]:
+    """Blocks of lines of base64: of equal length, but for a last one that may be shorter."""
+    blocks: list[list[re.Match]] = []
+    for line in _LINE.finditer(text):
+        last = blocks[-1][-1] if blocks else None
+        follows = last is not None and text[last.end() : line.start()] == "\n"
+        if follows and len(blocks[-1][0][1]) == len(last[1]) >= len(line[1]):
+            blocks[-1].append(line)
+        else:
+            blocks.append([line])
+    return [block for block in blocks if len(block) > 1 and len(block[0][1]) >= _RUN]
+
+
+def _wrapped_keys(text: str) -> list[tuple[int, int]]:
+    found = []
+    for block in _wrapped(text):
+        ends = [len(block)]
+        if len(block[-1][1]) < len(block[0][1]):  # the last line may belong to what follows
+            ends.append(len(block) - 1)
+        for end in ends:
+            if _is_bare_key("".join(line[1] for line in block[:end])):
+                found.append((block[0].start(1), block[end - 1].end(1)))
+                break
+    return found
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
@@ -170,12 +219,18 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
-    if "eyJ" in text:
-        found += [("token", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _is_pem_key(m[2])]
-    if max(map(len, text.split()), default=0) >= 64:
-        found += [("key", *m.span()) for m in _BASE64.finditer(text) if _is_bare_key(m[0])]
+        found += [("pem", *span) for span in _pem_spans(text)]
+    if max(map(len, text.split()), default=0) >= _SIGNED_LENGTH:
+        found += [("token", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
+        runs = [m for m in _BASE64.finditer(text)]
+        found += [("key", *m.span()) for m in runs if _is_bare_key(m[0])]
+        if runs:
+            alone = {span[1:] for span in found if span[0] in ("key", "pem")}
+            found += [
+                ("key", a, b) for a, b in _wrapped_keys(text)
+                if not any(x <= a and b <= y for x, y in alone)
+            ]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
