@@ -29,19 +29,28 @@ _SYMBOL = r"[#*$%&|<>]"
 
 #: A sentence ends within the line, or the line ends as a sentence, clause or quotation may.
 SENTENCE = (
-    rf"[.!?…。！？।؟][\"'”’»)\]」』]*{_SPACE}"
-    rf"|[.!?…。！？।؟:;\"'”’»)\]」』]{_SPACE}*$"
+    rf"[.!?…。！？।؟۔։።၊။។༎][\"'”’»)\]」』]*{_SPACE}"
+    rf"|[.!?…。！？।؟۔։።၊။។༎:;\"'”’»)\]」』]{_SPACE}*$"
 )
-#: Separators between links, or a line that is nothing but the name of a link.
-NAVIGATION = (
-    r"(?:[|»›•·→][^|»›•·→]*){2}"
-    r"|(?i)^\s*(?:home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out"
+#: Letters of scripts that write sentences without a stop, or with one that is often left out.
+UNSTOPPED = r"[\x{0E00}-\x{0EFF}\x{0F00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]"
+#: Separators between links. A guillemet or a middle dot only counts where it stands alone,
+#: and a guillemet only in a line without an opening one.
+SEPARATOR = rf"[|›•→]|{_SPACE}·{_SPACE}|{_SPACE}»{_SPACE}"
+QUOTING_SEPARATOR = rf"[|›•→]|{_SPACE}·{_SPACE}"
+#: Fields between separators are short in a menu: so many characters on average.
+FIELD_CHARS = 24
+#: A line that is nothing but the name of a link.
+LINK = (
+    rf"(?i)^{_SPACE}*(?:home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out"
     r"|read more|skip to content|share this|contact us|about us|site ?map)\W*$"
 )
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)"
     r"|enable javascript|lorem ipsum|click here|subscribe to our|accept (?:all )?cookies)\b"
 )
+#: A line is boilerplate if its phrases are more than one part in so many of its characters.
+BOILERPLATE_PARTS = 3
 MAX_SYMBOL_SHARE = 0.1
 
 
@@ -49,14 +58,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE + "+"), "")
 
 
+def is_menu(line: Column) -> Column:
+    """Two separators or more, with short fields between them."""
+
+    def short(separator: str) -> Column:
+        n = F.regexp_count(line, F.lit(separator))
+        return (n >= 2) & (F.length(line) <= FIELD_CHARS * (n + 1))
+
+    return F.when(F.contains(line, F.lit("«")), short(QUOTING_SEPARATOR)).otherwise(short(SEPARATOR))
+
+
+def is_boilerplate(line: Column) -> Column:
+    """Mostly phrases of boilerplate; a mention in a sentence is none."""
+    phrases = F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))
+    return line.rlike(BOILERPLATE) & (BOILERPLATE_PARTS * phrases > F.length(line))
+
+
 def line_passes(line: Column, max_symbol_share: float = MAX_SYMBOL_SHARE) -> Column:
-    """Whether a line with a word passes all line rules."""
+    """Whether a line with a word passes all line rules. Each is relative to the line."""
     symbols = F.regexp_count(line, F.lit(_SYMBOL))
     return (
-        line.rlike(SENTENCE)
-        & ~line.rlike(NAVIGATION)
+        (line.rlike(SENTENCE) | line.rlike(UNSTOPPED))
+        & ~line.rlike(LINK)
+        & ~is_menu(line)
         & (symbols <= max_symbol_share * F.length(line))
-        & ~line.rlike(BOILERPLATE)
+        & ~is_boilerplate(line)
     )
 
 
@@ -184,14 +210,17 @@ WITH d AS (
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
 ), worded AS (
-  SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT *, CASE WHEN contains(line, '«') THEN len(regexp_extract_all(line, '[|›•→]|[\x20\x09-\x0D]·[\x20\x09-\x0D]'))
+    ELSE len(regexp_extract_all(line, '[|›•→]|[\x20\x09-\x0D]·[\x20\x09-\x0D]|[\x20\x09-\x0D]»[\x20\x09-\x0D]')) END AS separators
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), judged AS (
   SELECT *,
-    regexp_matches(line, '[.!?…。！？।؟]["''”’»)\]」』]*[\x20\x09-\x0D]|[.!?…。！？।؟:;"''”’»)\]」』][\x20\x09-\x0D]*$')
-    AND length(regexp_replace(line, '[^|»›•·→]', '', 'g')) < 2
+    (regexp_matches(line, '[.!?…。！？।؟۔։።၊။។༎]["''”’»)\]」』]*[\x20\x09-\x0D]|[.!?…。！？।؟۔։።၊။។༎:;"''”’»)\]」』][\x20\x09-\x0D]*$')
+      OR regexp_matches(line, '[\x{0E00}-\x{0EFF}\x{0F00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]'))
     AND NOT regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(?:home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out|read more|skip to content|share this|contact us|about us|site ?map)\W*$')
+    AND NOT (separators >= 2 AND length(line) <= 24 * (separators + 1))
     AND length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) <= 0.1 * length(line)
-    AND NOT regexp_matches(line, '(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|click here|subscribe to our|accept (?:all )?cookies)\b')
+    AND 3 * (length(line) - length(regexp_replace(line, '(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|click here|subscribe to our|accept (?:all )?cookies)\b', '', 'g'))) <= length(line)
     AS passes
   FROM worded
 ), per_line AS (

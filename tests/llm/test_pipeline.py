@@ -36,15 +36,20 @@ def rows_of(docs):
 
 
 def plain_line_passes(line):
-    ends = re.search(r"[.!?…。！？।؟][\"'”’»)\]」』]*[ \t-\r]|[.!?…。！？।؟:;\"'”’»)\]」』][ \t-\r]*$", line)
-    links = sum(line.count(c) for c in "|»›•·→") >= 2 or re.match(
-        r"(?i)\s*(home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out|read more"
+    ends = re.search(r"[.!?…。！？।؟۔։።၊။។༎][\"'”’»)\]」』]*[ \t-\r]|[.!?…。！？।؟۔։።၊။។༎:;\"'”’»)\]」』][ \t-\r]*$", line)
+    ends = ends or re.search("[฀-࿿က-႟ក-៿]", line)
+    link = re.match(
+        r"(?i)[ \t-\r]*(home|menu|next|previous|back to top|sign in|sign up|log ?in|log ?out|read more"
         r"|skip to content|share this|contact us|about us|site ?map)\W*$", line, re.A)
-    boiler = re.search(
-        r"(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript"
-        r"|lorem ipsum|click here|subscribe to our|accept (all )?cookies)\b", line)
+    n = sum(line.count(c) for c in "|›•→") + len(re.findall("[ \t-\r]·[ \t-\r]", line))
+    if "«" not in line:
+        n = len(re.findall("[|›•→]|[ \t-\r][·»][ \t-\r]", line))
+    menu = n >= 2 and len(line) <= 24 * (n + 1)
+    phrases = re.findall(
+        r"(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript"
+        r"|lorem ipsum|click here|subscribe to our|accept (?:all )?cookies)\b", line)
     symbols = sum(c in "#*$%&|<>" for c in line)
-    return bool(ends) and not links and not boiler and symbols <= 0.1 * len(line)
+    return bool(ends) and not link and not menu and 3 * sum(map(len, phrases)) <= len(line) and symbols <= 0.1 * len(line)
 
 
 def plain_clean(text):
