@@ -12,7 +12,9 @@ too, but each record is a response.
 
 Skew: which record is first is a hash aggregation with map-side combine, and rows meet
 it through ``attach``, which serves frequent digests without sending their rows to one
-task. Payload bytes are shuffled for the first record of each digest only.
+task. Payload bytes are shuffled once, to be stored in buckets of their digests; reading
+joins the buckets as they lie, but for payloads of very many records, which are sent once
+to each part of their records.
 
 Edge cases: null html is an empty payload. A null id sorts after all others; among rows
 of one id and payload one row is the first, so that a repeated row is a revisit of its
@@ -22,12 +24,14 @@ empty archive. Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from airtide.operators import lookup
 from airtide.operators.lookup import attach
-from airtide.plans.staging import stage
+from airtide.plans.staging import new_folder, stage
 
 MIN_REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,12 +89,21 @@ def write_archive(
 
 
 def _payload_table(pages: DataFrame) -> DataFrame:
-    """Each digest's bytes once.
+    """Each digest's bytes once, in buckets of digests.
 
     The aggregation combines within a partition before it shuffles: of a hot payload at
-    most one copy per partition is sent.
+    most one copy per partition is sent. The buckets are those of that shuffle, so that a
+    join on the digest moves no payload again.
     """
-    return stage(pages.select("digest", "payload").dropDuplicates(["digest"]), "warc-payloads")
+    spark = pages.sparkSession
+    folder, name = new_folder(spark, "warc-payloads"), f"warc_payloads_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    payloads = pages.select("digest", "payload").dropDuplicates(["digest"])
+    writer = payloads.write.bucketBy(buckets, "digest").sortBy("digest")
+    writer.mode("overwrite").option("path", folder).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are outside of the warehouse
+    return stored
 
 
 def _header(revisits: Column, date: str) -> Column:
@@ -160,15 +173,17 @@ def read_records(archive: Archive, *, with_bytes: bool = True) -> DataFrame:
         page("WARC-Refers-To").alias("refers_to"),
     )
     stored = _verified(archive.payloads)
-    if not with_bytes:
-        stored = stored.select("digest", "payload_bytes")
-    found = attach(headers, stored, {"digest": F.col("digest")}, row_id="row", matched="stored")
+    if with_bytes:
+        found = _with_payloads(headers, stored)
+    else:
+        sizes = stored.select("digest", "payload_bytes")
+        found = attach(headers, sizes, {"digest": F.col("digest")}, row_id="row")
     found = found.withColumn(
         "payload_bytes",
-        F.when(F.col("stored"), F.col("payload_bytes")).otherwise(
+        F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(
             F.raise_error(F.concat(F.lit("no payload for digest "), "digest")).cast("long")
         ),
-    ).drop("stored", "row")
+    ).drop("row")
     if with_bytes:
         body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
         found = found.withColumn(
@@ -177,13 +192,58 @@ def read_records(archive: Archive, *, with_bytes: bool = True) -> DataFrame:
     return found
 
 
+def _with_payloads(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Left join on the digest; no payload is broadcast, and no task gets all rows of one.
+
+    The rows of a digest with ``HEAVY_ROWS`` records or more are dealt into as many parts
+    as hold that many, and its payload is sent once to each.
+    """
+    heavy = (
+        headers.groupBy("digest")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= lookup.HEAVY_ROWS)
+        .select(
+            F.col("digest").alias("_digest"),
+            F.ceil(F.col("n") / lookup.HEAVY_ROWS).cast("long").alias("parts"),
+        )
+    )
+    heavy = stage(heavy, "warc-heavy")  # of N records there are at most N / HEAVY_ROWS such
+    known = F.col("digest") == F.col("_digest")
+    light = headers.join(F.broadcast(heavy), known, "left_anti")
+    light = light.join(payloads.hint("merge"), "digest", "left")
+    dealt = headers.join(F.broadcast(heavy), known).withColumn(
+        "part", F.pmod(F.xxhash64("row"), F.col("parts"))
+    )
+    copies = payloads.join(F.broadcast(heavy), known).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    )
+    dealt = dealt.drop("_digest", "parts").join(
+        copies.drop("_digest", "parts"), ["digest", "part"], "left"
+    )
+    return light.unionByName(dealt.drop("part"))
+
+
 def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    records = read_records(write_archive(pages), with_bytes=False)
+    return records_report(read_records(write_archive(pages)))
+
+
+def records_report(records: DataFrame) -> DataFrame:
+    """Sizes and digests of the rebuilt records' payloads.
+
+    The job fails where the record's length is not the one that its header tells.
+    """
+    told = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nContent-Length: (\d+)\r\n\r\n", 1)
+    end = F.length(F.substring_index(F.decode("header", "UTF-8"), "\r\n\r\n", 1)) + 4
+    head = F.octet_length(F.encode(F.substring(F.decode("header", "UTF-8"), F.lit(1), end), "UTF-8"))
+    whole = F.octet_length("record") == head + told.cast("long") + 4
+    size = F.when(whole, F.octet_length("payload").cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("record of another length than told: "), "digest")).cast("long")
+    )
     return records.select(
         F.col("id").alias("page_id"),
-        "payload_bytes",
-        F.col("digest").alias("payload_digest"),
+        size.alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
         "record_type",
         "refers_to",
     )

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -33,6 +34,7 @@ from airtide.llm import (
     topk,
     warc_archive,
 )
+from airtide.operators import lookup
 from tests.llm.conftest import PROSE
 
 SMALL = "/root/testdata/sf0.001"
@@ -209,6 +211,123 @@ def test_long_chains_are_one_component(spark):
     assert {(r["node"], r["root"]) for r in stars} == {(i, 0) for i in range(1, 201)} | {(1001, 1000)}
 
 
+# --- secrets that are wrapped, nested or short, and long texts
+
+
+def der(tag, content):
+    n = len(content)
+    length = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + length + content
+
+
+def rsa_key(size=128):
+    numbers = [b"\x01" + bytes([i]) * size for i in range(1, 9)]
+    return der(0x30, der(2, b"\0") + b"".join(der(2, n) for n in numbers))
+
+
+SHORT_KEY = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))  # 39 bytes
+
+
+def wrapped(data, width=64, line="\n"):
+    text = base64.b64encode(data).decode()
+    return line.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def pem(data, label="RSA PRIVATE KEY"):
+    return f"-----BEGIN {label}-----\n{wrapped(data)}\n-----END {label}-----"
+
+
+@pytest.mark.parametrize(
+    "kind, secret",
+    [
+        ("key", base64.b64encode(pem(rsa_key()).encode()).decode()),
+        ("key", wrapped(pem(rsa_key()).encode(), 76)),
+        ("key", wrapped(rsa_key())),
+        ("key", wrapped(rsa_key(), 76)),
+        ("key", wrapped(rsa_key(), 64, "\n  ")),
+        ("key", base64.b64encode(SHORT_KEY).decode()),
+        ("key", SHORT_KEY.hex()),
+        ("pem", pem(SHORT_KEY, "EC PRIVATE KEY")),
+        ("pem", pem(rsa_key())),
+        *[
+            ("token", ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head, b'{"sub":"me"}', bytes(range(32)))))
+            for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256" }', b'{\n"alg":"HS256"}', b'{\r\n"alg":"HS256"}', b' {"alg":"HS256"}')
+        ],
+    ],
+)
+def test_structures_that_hold_a_secret(kind, secret):
+    for before, after in (("", ""), ("the key:\n", "\nand so on"), ("x " * 50 + "\n", "\nend")):
+        spans = secret_scan.spans_of(before + secret + after)
+        assert (kind, len(before), len(before) + len(secret)) in spans
+        assert secret not in secret_scan.redacted(before + secret + after)
+
+
+def test_alike_without_structure():
+    random = np.random.default_rng(5)
+    for size in (27, 39, 48, 100, 700):
+        noise = random.integers(0, 256, size, np.uint8).tobytes()
+        for text in (wrapped(noise), pem(noise), base64.b64encode(noise).decode(), base64.b64encode(pem(noise).encode()).decode()):
+            assert [s for s in secret_scan.spans_of(text) if s[0] in ("token", "pem", "key")] == []
+    assert secret_scan.spans_of("-----BEGIN RSA PRIVATE KEY-----\n" + wrapped(rsa_key()))[0][0] == "key"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "-----BEGIN RSA PRIVATE KEY-----\n" * 31_000,
+        "-----END RSA PRIVATE KEY-----\n-----BEGIN EC PRIVATE KEY-----\n" * 16_000,
+        "-----BEGIN " + "AAAA " * 200_000,
+        ("A" * 64 + "\n") * 15_000,
+        "aaaaaaaaaaaa." * 80_000,
+        "A" * 1_000_000,
+        "deadbeef" * 125_000,
+        "password " * 110_000,
+        "eyJ" * 333_000,
+        "  \t" * 333_000,
+    ],
+    ids=range(10),
+)
+def test_a_megabyte_takes_a_second(text):
+    begin = time.time()
+    secret_scan.spans_of(text)
+    assert time.time() - begin < 2
+
+
+# --- lines that only look like menus
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Il a dit « bonjour à tous » puis « au revoir » avant de partir vers la gare.",
+        "La col·lecció i la il·lustració · de la sala es van obrir ahir.",
+        "The council met in spring and published its privacy policy after a long debate in the hall.",
+        "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01",
+        "\u1230\u120b\u121d \u1290\u12cd\u1362",
+        "Prices rose | as the paper reported in its long account of the winter | and fell again in the spring of that year.",
+    ],
+)
+def test_clean_lines_are_kept(documents, line):
+    words = " ".join(f"word{i}" for i in range(30)) + "."
+    row = quality_rules.judge(documents((1, line + "\n" + words, None, None))).first()
+    assert row["n_failed_lines"] == 0 and row["kept"]
+
+
+def test_one_line_that_mentions_a_phrase_is_kept(documents):
+    line = "In the spring of that year " + " ".join(f"w{i}" for i in range(30)) + " they wrote a privacy policy for the harbour."
+    assert quality_rules.clean(documents((1, line, None, None))).first()["text"] == line
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Home » News » Sport » Results.", "Home|News|About us|Contact.", "Start · Blog · Imprint.", "All rights reserved.",
+     "Copyright 2020 Example. All rights reserved.", "Please read our privacy policy.", "Accept all cookies"],
+)
+def test_menus_and_boilerplate_go(documents, line):
+    row = quality_rules.judge(documents((1, line + "\n" + PROSE, None, None))).first()
+    assert row["n_failed_lines"] == 1 and row["clean_text"] == PROSE
+
+
 # --- packing
 
 
@@ -607,6 +726,40 @@ def test_altered_payloads_are_noticed(spark):
         warc_archive.read_records(altered).collect()
 
 
+@pytest.mark.parametrize("heavy_rows", [3, 1_000_000])
+def test_payloads_of_many_records_are_dealt_out(spark, monkeypatch, heavy_rows):
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", heavy_rows)
+    rows = [(i, "u", "x" * 200) for i in range(40)] + [(100 + i, "u", f"{i % 4}" * 150) for i in range(8)] + [(200, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc_archive.read_records(warc_archive.write_archive(pages))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert not any("payload" in line for line in plan.split("\n") if "BroadcastExchange" in line)
+    found = {r["id"]: (bytes(r["payload"]), r["record_type"], r["refers_to"]) for r in records.collect()}
+    assert found == {i: (h.encode(), "response" if len(h) < 100 or i in (0, 100, 101, 102, 103) else "revisit",
+        None if len(h) < 100 or i in (0, 100, 101, 102, 103) else 0 if i < 100 else 100 + i % 4) for i, _, h in rows}
+    report = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc_archive.records_report(records).collect()}
+    assert report == {i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_stored_payloads_are_not_shuffled_on_reading(spark):
+    records = warc_archive.read_records(warc_archive.write_archive(spark.read.parquet(f"{SMALL}/pages.parquet")))
+    plan = records._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, line in enumerate(plan) if "Bucketed: true" in line)
+    joined = max(i for i, line in enumerate(plan[:scan]) if "SortMergeJoin [digest" in line)
+    depth = len(plan[scan]) - len(plan[scan].lstrip(" :+-"))
+    above = [line for line in plan[joined:scan] if len(line) - len(line.lstrip(" :+-")) < depth]
+    payload_side = [line for line in above if "payload" in line or "Exchange" in line][1:]
+    assert not any("Exchange" in line and "payload" in line for line in payload_side)
+
+
+def test_records_of_another_length_are_noticed(spark):
+    archive = warc_archive.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"))
+    header = F.encode(F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: ", "Content-Length: 1"), "UTF-8")
+    altered = warc_archive.Archive(archive.payloads, archive.headers.withColumn("header", header))
+    with pytest.raises(Exception, match="another length"):
+        warc_archive.records_report(warc_archive.read_records(altered)).collect()
+
+
 # --- search
 
 
