@@ -1,16 +1,20 @@
 """License texts and notices, found by conditional compression and confirmed by wording.
 
 A candidate block is a run of lines that mention a license or are made of license words.
-Whole license texts are looked for in the block, short notices in a window of words round
-each mention, so that it does not matter what else a line holds. A template whose words the
-place can't hold is passed over; the others are compared word by word. Of those that repeat
-enough of a notice, the one that explains most words is reported with its exact
-differences, in a tie the one that as a raw zstandard dictionary shrinks the words more. No
-difference may touch a word that tells licenses apart (a version, ``affero``, ...).
+In it are places where a template may stand: for whole texts, stretches as long as the text
+in which enough of its rare three-word sequences lie at their distances; for short notices,
+windows of words round each mention. A template whose words a place can't hold is passed
+over. The words of each place are compressed alone and with the place's template as a raw
+zstandard dictionary, and places are ranked by the bytes that saves. They are confirmed in
+that order by comparing words: a place counts if it repeats enough of the template and no
+difference touches a word that tells licenses apart (a version, ``affero``, ...). Of notices
+that save nearly as much as the best one, that with fewest words left over is named. What is
+reported are the winner, its reduction and the exact differences.
 
 Blocks are made of one document's lines. Nothing is shuffled, and whole texts are
 searched. A block longer than ``BLOCK_WORDS``, or than four of the longest texts, is cut
-into stretches that overlap by more than the longest text, so that no notice is lost.
+into stretches that overlap by more than the longest text, so that no notice is lost. A
+place is compressed and compared once, however many texts a file bundles.
 
 Edge cases: null and empty texts have no blocks. Repeated rows each get their results.
 Spans count code points, end exclusive. The bytes are those of the words of the span,
@@ -21,12 +25,14 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from importlib import resources
 from itertools import accumulate
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -146,6 +152,11 @@ MIN_WORDING = 0.8
 BLOCK_WORDS = 1000
 #: Notices of more words are texts, looked for in a whole block.
 NOTICE_WORDS = 100
+#: A text may stand where this share of its rare sequences lies; such occur a few times.
+MIN_ANCHORS = 0.25
+RARE = 4
+#: Notices that save so much of what the best saves are all compared.
+NEAR_BEST = 0.9
 #: Words that tell licenses apart, in notices and texts; and in notices all versions.
 TELLING = {
     "affero", "lesser", "library", "noncommercial", "sharealike", "noderivatives", "noderivs",
@@ -170,29 +181,122 @@ FOUND = T.StructType(
 )
 
 
+class Template:
+    """A notice or text of a license, with a compressor that has it as its dictionary."""
+
+    def __init__(self, name: str, words: list[str], bag: Counter, compressor):
+        self.name, self.words, self.bag, self.compressor = name, words, bag, compressor
+        self.is_text = len(words) > NOTICE_WORDS
+        self.n_rare = 0
+
+
+class Place(NamedTuple):
+    """Words ``first`` to ``last`` (exclusive) of a block, where a template may stand."""
+
+    first: int
+    last: int
+    template: Template
+    data: bytes = b""
+
+
+def _overlap(place: Place, other: Place) -> bool:
+    """Whether most of one of them lies in the other."""
+    shared = min(place.last, other.last) - max(place.first, other.first)
+    return 2 * shared > min(place.last - place.first, other.last - other.first)
+
+
+def _rare_sequences(texts: list[Template]) -> dict[tuple, list[tuple[Template, int]]]:
+    """Three words -> (text, place) for sequences that a text holds a few times at most."""
+    anchors: dict[tuple, list[tuple[Template, int]]] = {}
+    for text in texts:
+        places: dict[tuple, list[int]] = {}
+        for at, sequence in enumerate(zip(text.words, text.words[1:], text.words[2:])):
+            places.setdefault(sequence, []).append(at)
+        for sequence, found in places.items():
+            if len(found) <= RARE:
+                text.n_rare += len(found)
+                anchors.setdefault(sequence, []).extend((text, at) for at in found)
+    return anchors
+
+
+def _equal_blocks(a: list[str], b: list[str]) -> list[difflib.Match]:
+    """Matching blocks in order; around sequences that both hold once, then between them."""
+    if len(b) <= NOTICE_WORDS:
+        return _matches(a, b, 0, 0)
+    chain: list[tuple[int, int]] = []
+    tails: list[int] = []  # longest rising chain of (place in a, place in b)
+    back: list[int] = []
+    ends: list[int] = []
+    pairs = _once_in_both(a, b)
+    for k, (_, at) in enumerate(pairs):
+        i = bisect_left(tails, at)
+        back.append(ends[i - 1] if i else -1)
+        tails[i : i + 1], ends[i : i + 1] = [at], [k]
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    blocks: list[difflib.Match] = []
+    x = y = 0
+    for i, j in reversed(chain):
+        if i < x or j < y:
+            if blocks and i - blocks[-1].a == j - blocks[-1].b and i + _ANCHOR > x:
+                grown = i + _ANCHOR - blocks[-1].a
+                blocks[-1] = blocks[-1]._replace(size=grown)
+                x, y = blocks[-1].a + grown, blocks[-1].b + grown
+            continue
+        blocks += _matches(a[x:i], b[y:j], x, y)
+        blocks.append(difflib.Match(i, j, _ANCHOR))
+        x, y = i + _ANCHOR, j + _ANCHOR
+    return blocks + _matches(a[x:], b[y:], x, y)
+
+
+_ANCHOR = 4
+
+
+def _once_in_both(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the sequences that occur once in both, in order of the first."""
+
+    def once(words: list[str]) -> dict[tuple, int]:
+        found: dict[tuple, int] = {}
+        for at, sequence in enumerate(zip(*(words[i:] for i in range(_ANCHOR)))):
+            found[sequence] = -1 if sequence in found else at
+        return {sequence: at for sequence, at in found.items() if at >= 0}
+
+    in_b = once(b)
+    return [(at, in_b[sequence]) for sequence, at in once(a).items() if sequence in in_b]
+
+
+def _matches(a: list[str], b: list[str], x: int, y: int) -> list[difflib.Match]:
+    if not a or not b:
+        return []
+    matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return [difflib.Match(m.a + x, m.b + y, m.size) for m in matcher.get_matching_blocks() if m.size]
+
+
 class LicenseScanner:
     """Find the templates' notices in texts; zstandard objects are made where it runs."""
 
     def __init__(self, templates: dict[str, list[str]], level: int = 3):
         import zstandard
 
-        self._plain = zstandard.ZstdCompressor(level=level)
-        self._with = {
-            name: zstandard.ZstdCompressor(
-                level=level,
-                dict_data=zstandard.ZstdCompressionDict(
-                    "\n".join(notices).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
-                ),
+        def compressor(notice: list[str]):
+            words = zstandard.ZstdCompressionDict(
+                " ".join(notice).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
             )
-            for name, notices in templates.items()
-        }
+            return zstandard.ZstdCompressor(level=level, dict_data=words)
+
+        self._plain = zstandard.ZstdCompressor(level=level)
         self._notices = {
             name: [[m[0].lower() for m in _WORD.finditer(notice)] for notice in notices]
             for name, notices in templates.items()
         }
         self._bags = [
-            (name, notice, Counter(notice)) for name, notices in self._notices.items() for notice in notices
+            Template(name, notice, Counter(notice), compressor(notice))
+            for name, notices in self._notices.items()
+            for notice in notices
         ]
+        self._anchors = _rare_sequences([t for t in self._bags if t.is_text])
         self._vocabulary = {w for notices in self._notices.values() for n in notices for w in n}
         self._overlap = 2 * max(len(n) for notices in self._notices.values() for n in notices)
         self._block_words = max(BLOCK_WORDS, 2 * self._overlap)
@@ -233,72 +337,119 @@ class LicenseScanner:
 
     def _scan_block(self, block: list) -> Iterator[tuple]:
         may = self._holdable([word[0] for word in block], self._bags)
-        texts = [c for c in may if len(c[1]) > NOTICE_WORDS]
-        while hit := self._best([(block, 0, c) for c in texts]):
-            result, first, last = hit
-            yield result
-            block = block[:first] + block[last:]
-            texts = self._holdable([word[0] for word in block], texts)
-        notices = [c for c in may if len(c[1]) <= NOTICE_WORDS]
-        if not notices:
-            return
+        texts = [t for t in may if t.is_text]
+        notices = [t for t in may if not t.is_text]
+        taken = []  # stretches of the block that are whole texts
+        if texts:
+            for _, place in self._ranked(self._text_places(block, texts)):
+                if not any(_overlap(place, other) for other in taken):
+                    if hit := self._confirmed(block, place):
+                        yield hit[0]
+                        taken.append(Place(hit[1], hit[2], place.template))
+        done = 0
+        for place in [*sorted(taken, key=lambda t: t.first), None]:
+            yield from self._scan_notices(block[done : place.first if place else None], notices)
+            done = place.last if place else done
+
+    def _text_places(self, block: list, texts: list[Template]) -> list[Place]:
+        """Stretches in which a text's rare sequences lie near one diagonal."""
+        words = [word[0] for word in block]
+        wanted = {id(t) for t in texts}
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for at, sequence in enumerate(zip(words, words[1:], words[2:])):
+            for template, offset in self._anchors.get(sequence, ()):
+                if id(template) in wanted:
+                    hits.setdefault(id(template), []).append((at - offset, at))
+        places = []
+        for template in texts:
+            found = np.array(sorted(hits.get(id(template), [])), np.int64).reshape(-1, 2)
+            n = len(template.words)
+            while len(found):
+                until = np.searchsorted(found[:, 0], found[:, 0] + n // 2, side="right")
+                near = until - np.arange(len(found))
+                first = int(near.argmax())
+                if near[first] < MIN_ANCHORS * template.n_rare:
+                    break
+                diagonals = found[first : until[first], 0]
+                begin = max(0, int(diagonals[0]) - n // 8)
+                end = int(diagonals[-1]) + n + n // 8
+                places.append(Place(begin, min(len(block), end), template))
+                found = np.delete(found, slice(first, until[first]), axis=0)
+        words_of = lambda p: words[p.first : p.last]
+        return [Place(p.first, p.last, p.template, " ".join(words_of(p)).encode()) for p in places]
+
+    def _scan_notices(self, block: list, notices: list[Template]) -> Iterator[tuple]:
+        words = [word[0] for word in block]
         done = 0
-        for i in _mentions([word[0] for word in block]):
+        for i in _mentions(words) if notices else ():
             if i < done:
                 continue
-            windows = []
-            for candidate in notices:
-                reach = len(candidate[1]) + max(2, len(candidate[1]) // 4)
+            places = []
+            for template in notices:
+                reach = len(template.words) + max(2, len(template.words) // 4)
                 at = max(done, i - reach)
-                window = block[at : i + reach + 1]
-                if self._holdable([word[0] for word in window], [candidate]):
-                    windows.append((window, at, candidate))
-            if hit := self._best(windows, i):
-                result, _, done = hit
-                yield result
+                window = words[at : i + reach + 1]
+                if self._holdable(window, [template]):
+                    places.append(Place(at, at + len(window), template, " ".join(window).encode()))
+            if hit := self._winner(block, places, i):
+                yield hit[0]
+                done = hit[2]
+
+    def _ranked(self, places: list[Place]) -> list[tuple[int, Place]]:
+        """(bytes saved, place), by falling savings."""
+        plain = {data: len(self._plain.compress(data)) for data in {p.data for p in places}}
+        saved = [(plain[p.data] - len(p.template.compressor.compress(p.data)), p) for p in places]
+        return sorted(saved, key=lambda s: (-s[0], -len(s[1].template.words), s[1].first))
+
+    def _winner(self, block: list, places: list[Place], mention: int) -> tuple | None:
+        """The first by savings that is confirmed; of those near the best, the fullest match."""
+        ranked = self._ranked(places)
+        if not ranked:
+            return None
+        near = [p for saved, p in ranked if saved >= NEAR_BEST * ranked[0][0]]
+        covers = lambda hit: hit and hit[1] <= mention < hit[2]
+        hits = [h for h in (self._confirmed(block, p) for p in near) if covers(h)]
+        if hits:
+            return max(hits, key=lambda h: h[3])
+        later = (self._confirmed(block, p) for _, p in ranked[len(near) :])
+        return next((h for h in later if covers(h)), None)
 
     @staticmethod
-    def _holdable(words: list[str], bags: list) -> list:
-        """The notices of which ``words`` hold as many words as a confirmation takes."""
+    def _holdable(words: list[str], templates: list[Template]) -> list[Template]:
+        """The templates of which ``words`` hold as many words as a confirmation takes."""
         have = Counter(words)
         return [
-            bag
-            for bag in bags
-            if sum(min(n, have[w]) for w, n in bag[2].items()) >= MIN_WORDING * len(bag[1])
+            t
+            for t in templates
+            if sum(min(n, have[w]) for w, n in t.bag.items()) >= MIN_WORDING * len(t.words)
         ]
 
-    def _best(self, windows: list, mention: int | None = None) -> tuple[tuple, int, int] | None:
-        """The confirmed notice that explains most words, and which those are."""
-        best = None
-        for window, at, (name, notice, _) in windows:
-            match = self._compare([word[0] for word in window], notice)
-            if not match:
-                continue
-            wording, matched, first, last, differences = match
-            if mention is not None and not at + first <= mention < at + last:
-                continue
-            data = " ".join(word[0] for word in window[first:last]).encode()
-            plain, size = (len(c.compress(data)) for c in (self._plain, self._with[name]))
-            rank = (matched, wording, -size)
-            if best is None or rank > best[0]:
-                result = (
-                    window[first][1],
-                    window[last - 1][2],
-                    name,
-                    plain,
-                    size,
-                    1 - size / plain,
-                    wording,
-                    not differences,
-                    differences,
-                )
-                best = rank, (result, at + first, at + last)
-        return best and best[1]
+    def _confirmed(self, block: list, place: Place) -> tuple | None:
+        """(result, first and last word, words explained) if the wording is near enough."""
+        window = block[place.first : place.last]
+        match = self._compare([word[0] for word in window], place.template.words)
+        if not match:
+            return None
+        wording, matched, first, last, differences = match
+        data = " ".join(word[0] for word in window[first:last]).encode()
+        plain, size = (len(c.compress(data)) for c in (self._plain, place.template.compressor))
+        result = (
+            window[first][1],
+            window[last - 1][2],
+            place.template.name,
+            plain,
+            size,
+            1 - size / plain,
+            wording,
+            not differences,
+            differences,
+        )
+        explained = (matched, wording, plain - size)
+        return result, place.first + first, place.first + last, explained
 
     def _compare(self, words: list[str], notice: list[str]) -> tuple | None:
         """Share of a notice's words that a block has in order, where, and what differs."""
-        matcher = difflib.SequenceMatcher(None, words, notice, autojunk=False)
-        equal = [m for m in matcher.get_matching_blocks() if m.size]
+        equal = _equal_blocks(words, notice)
         if not equal:
             return None
         anchor = max(equal, key=lambda m: m.size)

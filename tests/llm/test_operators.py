@@ -692,6 +692,57 @@ def test_versions_and_clauses_are_not_mistaken(scanner):
     assert not scanner.scan("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")
 
 
+def test_bundled_texts_are_found_in_little_time(scanner):
+    text = {name: max(license_scan.TEMPLATES[name], key=len) for name in ("GPL-3.0", "GPL-2.0", "LGPL-2.1", "Apache-2.0", "MIT", "BSD-3-Clause")}
+    begin = time.time()
+    found = scanner.scan("\n".join([text["GPL-3.0"]] * 4))
+    assert time.time() - begin < 2
+    assert [(f[2], f[7]) for f in found] == [("GPL-3.0", True)] * 4
+    names = ["MIT", "GPL-2.0", "BSD-3-Clause", "Apache-2.0", "LGPL-2.1", "MIT", "GPL-3.0"] * 3
+    begin = time.time()
+    found = scanner.scan(f"\n{PROSE}\n".join(text[n] for n in names))
+    assert time.time() - begin < 6
+    assert [(f[2], f[7]) for f in found] == [(n, True) for n in names]
+
+
+def test_a_text_with_changes_is_confirmed(scanner):
+    random = np.random.default_rng(6)
+    words = max(license_scan.TEMPLATES["Apache-2.0"], key=len).split()
+    for share in (0.02, 0.08):
+        changed = [w if random.random() > share or w.lower().strip(".,") in license_scan.TELLING else "changed" for w in words]
+        found = scanner.scan(" ".join(changed))
+        assert [(f[2], f[7]) for f in found] == [("Apache-2.0", False)]
+        assert 1 - 2.2 * share < found[0][6] < 1 and "+changed" in found[0][8]
+
+
+def test_the_winner_saves_most(scanner):
+    """Against a plain trial of all templates on the same words."""
+    import zstandard
+
+    for name in ("MIT", "BSD-3-Clause", "LGPL-2.1", "CC0-1.0", "ISC"):
+        text = max(license_scan.TEMPLATES[name], key=len)
+        found = scanner.scan(f"{PROSE}\n{text}\n{PROSE}")
+        words = [m[0].lower() for m in license_scan._WORD.finditer(text)]
+        data = " ".join(words).encode()
+        plain, sizes = len(zstandard.ZstdCompressor(level=3).compress(data)), {}
+        for other, notices in license_scan.TEMPLATES.items():
+            for notice in notices:
+                template = " ".join(m[0].lower() for m in license_scan._WORD.finditer(notice)).encode()
+                raw = zstandard.ZstdCompressionDict(template, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size = len(zstandard.ZstdCompressor(level=3, dict_data=raw).compress(data))
+                sizes[other] = min(size, sizes.get(other, plain))
+        assert [f[2] for f in found] == [min(sizes, key=sizes.get)] == [name]
+        assert (found[0][3], found[0][4]) == (plain, sizes[name])
+
+
+def test_ranks_follow_the_savings(scanner):
+    words = " ".join(m[0].lower() for m in license_scan._WORD.finditer(max(license_scan.TEMPLATES["MIT"], key=len)))
+    places = [license_scan.Place(0, 1, t, words.encode()) for t in scanner._bags]
+    ranked = scanner._ranked(places)
+    assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True)
+    assert ranked[0][1].template.name == "MIT"
+
+
 def test_planted_licenses_are_all_found(spark, texts):
     rows = queries.QUERIES["op3_license_scan"](spark, SMALL).collect()
     lines = sum("licen" in line.lower() for text in texts.values() for line in text.split("\n"))
