@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from airtide.operators.lookup import attach
 from airtide.plans.staging import stage
 
 MAX_ROUNDS = 60
@@ -22,10 +23,14 @@ def star_links(links: DataFrame, name: str = "stars") -> DataFrame:
     state = _state(links)
     for _ in range(MAX_ROUNDS):
         both = links.union(links.selectExpr("b AS a", "a AS b"))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(smallest, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").where("b <> m").selectExpr("b AS a", "m AS b")
+        smallest = both.groupBy("a").agg(
+            F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")
+        )
+        found = attach(both, smallest, {"a": F.col("a")}, row_id="a, b", weight="n")
+        large = found.where("b > a").selectExpr("b AS a", "m AS b").distinct()
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        found = attach(large, smallest, {"a": F.col("a")}, row_id="a, b", weight="n")
+        small = found.where("b <> m").selectExpr("b AS a", "m AS b")
         links = stage(small.union(smallest.selectExpr("a", "m AS b")).distinct(), name)
         before, state = state, _state(links)
         if state == before:
