@@ -349,10 +349,11 @@ def score(
     ).first()
     word_parts = parts_for(sizes["n_words"])
     answers = _count_words(blocks, word_parts)
-    totals = answers.where("kind = -1").select("ids").toPandas()["ids"]  # one row per part
-    totals = np.array([np.frombuffer(t, np.int64) for t in totals]).reshape(-1, 5)
-    words = int(totals[:, 0].max(initial=0)) + word_parts
-    counted_types, types, counted_total, total = (int(n) for n in totals[:, 1:].sum(axis=0))
+    totals = answers.where("kind = -1").select("ids").mapInPandas(_totals, _TOTALS).agg(
+        F.max("words"), *[F.coalesce(F.sum(c), F.lit(0)) for c in _TOTALS.replace(" long", "").split(", ")[1:]]
+    ).first()  # added up by the executors
+    words = int(totals[0] or 0) + word_parts
+    counted_types, types, counted_total, total = totals[1:]
 
     plain = blocks.select("block", "doc_ids", "folds", "lengths", "stream", "hashes")
     words_of = answers.where("kind = 0").groupBy("block")
@@ -404,6 +405,16 @@ def score(
     return plain.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(scored, schema)
 
 
+_TOTALS = "words long, counted_types long, types long, counted_total long, total long"
+
+
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _TOTALS.split(", ")]
+    for batch in batches:
+        rows = [np.frombuffer(data, np.int64) for data in batch["ids"]]
+        yield pd.DataFrame(np.array(rows).reshape(-1, 5), columns=names)
+
+
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for data in batch["ids"]:
