@@ -11,7 +11,8 @@ Blocks lie in ranges of ids and queries in batches; a task searches one range fo
 batch, so the table is met by the queries in blocks and neither is collected. Ranges are
 taken in waves of doubling size, and a wave starts from the k-th scores of all earlier
 ones: a range then reports the few rows that beat them, not k rows for each query. The
-state between waves (k rows per query) is written to the shared folder.
+maxima and minima alone are sent to every batch; a block's vectors only go to the batches
+in which some query's bound reaches its k-th score. The state between waves (k rows per query) is written to the shared folder.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part,
 nor do rows with a null id. Shorter vectors count as padded with zeros. A query's own
@@ -115,7 +116,7 @@ def search_blocks(queries, query_ids, floors, blocks, k: int):
     queries = _pad(queries, width)
     largest = _pad(np.array([_pad(b[2][None], width)[0] for b in blocks]), width)
     smallest = _pad(np.array([_pad(b[3][None], width)[0] for b in blocks]), width)
-    bounds = _product(np.maximum(queries, 0), largest) + _product(np.minimum(queries, 0), smallest)
+    bounds = _bounds(queries, largest, smallest)
     order = np.argsort(-bounds, axis=1, kind="stable")
     none = LOWEST
     scores = np.full((len(queries), k), none)
@@ -177,14 +178,52 @@ def top_k(
     return named.select("query_id", rank.alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
-def _wave(asked, blocks, best, start: int, end: int, batches: int, k: int) -> DataFrame:
-    """``best`` after ranges start..end: at most k rows for each query."""
+def _asked_with_floors(asked: DataFrame, best: DataFrame, start: int, end: int, k: int) -> DataFrame:
+    """The queries with their k-th scores so far, for each of the ranges."""
     floors = best.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     floors = floors.where(F.col("n") == k).select("key", "floor")
     ranges = F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end).cast("long")))
-    here = asked.join(floors, "key", "left").withColumn("range", ranges)
-    met = blocks.where(F.col("range").between(start, end)).withColumn(
-        "batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long")))
+    return asked.join(floors, "key", "left").withColumn("range", ranges)
+
+
+def _floors(queries: pd.DataFrame) -> np.ndarray:
+    return np.array([LOWEST if pd.isna(f) else int(f) for f in queries["floor"].to_numpy(object)], np.int64)
+
+
+def _bounds(queries: np.ndarray, largest: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """The highest score that a row of each block can have with each query."""
+    return _product(np.maximum(queries, 0), largest) + _product(np.minimum(queries, 0), smallest)
+
+
+def _surviving(here: DataFrame, blocks: DataFrame, start: int, end: int, batches: int) -> DataFrame:
+    """(range, block, batch) where the block may hold a row for a query of the batch."""
+    extremes = blocks.where(F.col("range").between(start, end)).select(
+        "range", "block", "largest", "smallest",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"),
+    )
+
+    def reach(queries: pd.DataFrame, extremes: pd.DataFrame) -> pd.DataFrame:
+        names = ["range", "block", "batch"]
+        if not len(queries) or not len(extremes):
+            return pd.DataFrame({name: [] for name in names}, dtype=np.int64)
+        asked = _matrix([*queries["vector"]])
+        ends = [_matrix([np.frombuffer(b, np.int64) for b in extremes[c]]) for c in ("largest", "smallest")]
+        width = max(asked.shape[1], ends[0].shape[1])
+        bounds = _bounds(_pad(asked, width), *(_pad(e, width) for e in ends))
+        return extremes.loc[(bounds >= _floors(queries)[:, None]).any(axis=0), names]
+
+    return (
+        here.groupBy("range", "batch")
+        .cogroup(extremes.groupBy("range", "batch"))
+        .applyInPandas(reach, "range long, block long, batch long")
+    )
+
+
+def _wave(asked, blocks, best, start: int, end: int, batches: int, k: int) -> DataFrame:
+    """``best`` after ranges start..end: at most k rows for each query."""
+    here = _asked_with_floors(asked, best, start, end, k)
+    met = blocks.where(F.col("range").between(start, end)).join(
+        _surviving(here, blocks, start, end, batches), ["range", "block"]
     )
 
     def search(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
@@ -200,10 +239,8 @@ def _wave(asked, blocks, best, start: int, end: int, batches: int, k: int) -> Da
             for b in blocks.itertuples()
             if b.width or len(b.ids)
         ]
-        floors = queries["floor"].to_numpy(object)
-        floors = np.array([LOWEST if pd.isna(f) else int(f) for f in floors], np.int64)
         query, ids, scores = search_blocks(
-            _matrix([*queries["vector"]]), queries["id"].to_numpy(np.int64), floors, forward, k
+            _matrix([*queries["vector"]]), queries["id"].to_numpy(np.int64), _floors(queries), forward, k
         )
         return pd.DataFrame({"key": queries["key"].to_numpy()[query], "id": ids, "score": scores})
 

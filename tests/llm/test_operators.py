@@ -328,6 +328,27 @@ def test_menus_and_boilerplate_go(documents, line):
     assert row["n_failed_lines"] == 1 and row["clean_text"] == PROSE
 
 
+# --- components
+
+
+def test_a_star_is_not_gathered_on_its_root(spark, monkeypatch):
+    """Links of the root are served where they lie: no shuffle of links by node sees them."""
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 1000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = spark.range(1, 20_001).selectExpr("0L AS a", "id AS b")
+        table = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = lookup.attach(links, table, {"a": F.col("a")}, row_id="a, b", weight="n")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 3 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+        stars = components.star_links(links).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["node"], r["root"]) for r in stars} == {(i, 0) for i in range(1, 20_001)}
+
+
 # --- packing
 
 
@@ -828,6 +849,23 @@ def test_pruned_search_equals_full_search(spark):
         assert [(s, j) for _, s, j in got] == expected
 
 
+def test_only_blocks_that_bounds_allow_are_sent(spark):
+    """Far groups of vectors in ranges of ids: most (block, batch) pairs need no vectors."""
+    random = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in (40 if i // 64 in (0, 9) else 1) * random.random(6)]) for i in range(640)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(table, "vec_id", "embedding", 64)
+    blocks = topk._blocks(vectors, 64, 16)
+    asked = vectors.where("id % 20 = 0").selectExpr("*", "id AS key", "(id DIV 20) % 2 AS batch")
+    best = spark.createDataFrame([], "key long, id long, score long")
+    here = topk._asked_with_floors(asked, best, 0, 9, 5)
+    assert topk._surviving(here, blocks, 0, 9, 2).count() == 2 * blocks.count()
+    best = topk._wave(asked, blocks, best, 0, 0, 2, 5)
+    sent = topk._surviving(topk._asked_with_floors(asked, best, 1, 9, 5), blocks, 1, 9, 2)
+    last = blocks.agg(F.max("range")).first()[0]
+    assert 0 < sent.count() <= 2 * 4 + 4 and {r["range"] for r in sent.collect()} <= {last, last - 1}
+
+
 def test_blocks_below_the_floor_are_not_scored(monkeypatch):
     random = np.random.default_rng(0)
     blocks = []
