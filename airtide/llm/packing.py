@@ -347,9 +347,8 @@ def _places(queues: DataFrame, whole: int, per_window: int) -> DataFrame:
         F.col("source").alias("_source"),
         F.col("j").alias("_j"),
         F.expr(f"({due} + {quantum} - 1) DIV ({quantum})").alias("round"),
-        F.lit(1).alias("one"),
     )
-    placed = running_totals(blocks, ["round", "_source", "_j"], "one", "packing-blocks")
+    placed = running_totals(blocks, ["round", "_source", "_j"], None, "packing-blocks")
     return placed.select("_source", "_j", F.col("offset").alias("place"))
 
 

@@ -33,21 +33,26 @@ def with_offsets(runs: DataFrame, group: list[str], part: str, order: list[str],
     return joined.select(*kept, (F.col("_before") + F.col("_base")).alias("offset"))
 
 
-def running_totals(table: DataFrame, order: list[str], count: str, name: str) -> DataFrame:
+def running_totals(table: DataFrame, order: list[str], count: str | None, name: str) -> DataFrame:
     """Add ``offset``: the sum of ``count`` over all earlier rows of the table by ``order``.
 
     The rows are range-partitioned and written, so that their order is settled; a window
-    sees the rows of one range, and the ranges' totals are few.
+    sees the rows of one range, and the ranges' totals are few. Without ``count`` rows are
+    counted: the number of a row in its range is known as it is written.
     """
     ordered = table.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = stage(ordered.withColumn("_row", F.monotonically_increasing_id()), name)
     rows = rows.withColumn("_part", F.shiftright("_row", 33))
-    parts = rows.groupBy("_part").agg(F.sum(count).alias("_n")).withColumn("_all", F.lit(0))
+    total = F.sum(count) if count else F.count("*")
+    parts = rows.groupBy("_part").agg(total.alias("_n")).withColumn("_all", F.lit(0))
     parts = with_offsets(parts, ["_all"], "_part", [], "_n").select(
         F.col("_part").alias("_range"), F.col("offset").alias("_base")
     )
-    within = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(count).over(within), F.lit(0))
+    before = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    if count:
+        within = Window.partitionBy("_part").orderBy("_row")
+        within = within.rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(count).over(within), F.lit(0))
     rows = rows.withColumn("_before", before).join(parts, F.col("_part") == F.col("_range"))
     kept = [F.col(c) for c in table.columns]
     return rows.select(*kept, (F.col("_base") + F.col("_before")).alias("offset"))

@@ -513,6 +513,21 @@ def test_running_totals(spark):
             total += n
 
 
+def test_running_totals_over_a_whole_table(spark):
+    random = np.random.default_rng(0)
+    rows = [(int(a), None if b == 0 else str(b), int(n)) for a, b, n in random.integers(0, 40, (3000, 3))]
+    table = spark.createDataFrame(sorted(set(rows), key=str), "a long, b string, n long").repartition(5)
+    order = sorted(set(rows), key=lambda r: (r[0], r[1] is not None, r[1], r[2]))
+    for count in ("n", None):
+        found = prefix_sums.running_totals(table, ["a", "b", "n"], count, "totals").collect()
+        total = 0
+        by_row = {(r["a"], r["b"], r["n"]): r["offset"] for r in found}
+        assert len(by_row) == len(order)
+        for row in order:
+            assert by_row[row] == total
+            total += row[2] if count else 1
+
+
 # --- pieces
 
 
