@@ -38,6 +38,8 @@ UNSTOPPED = r"[\x{0E00}-\x{0EFF}\x{0F00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17
 #: and a guillemet only in a line without an opening one.
 SEPARATOR = rf"[|›•→]|{_SPACE}·{_SPACE}|{_SPACE}»{_SPACE}"
 QUOTING_SEPARATOR = rf"[|›•→]|{_SPACE}·{_SPACE}"
+#: What a line without two of these can't be: a menu.
+TWO_MARKS = r"[|›•→·»](?s:.*)[|›•→·»]"
 #: Fields between separators are short in a menu: so many characters on average.
 FIELD_CHARS = 24
 #: A line that is nothing but the name of a link.
@@ -65,7 +67,8 @@ def is_menu(line: Column) -> Column:
         n = F.regexp_count(line, F.lit(separator))
         return (n >= 2) & (F.length(line) <= FIELD_CHARS * (n + 1))
 
-    return F.when(F.contains(line, F.lit("«")), short(QUOTING_SEPARATOR)).otherwise(short(SEPARATOR))
+    quotes = F.contains(line, F.lit("«"))
+    return line.rlike(TWO_MARKS) & F.when(quotes, short(QUOTING_SEPARATOR)).otherwise(short(SEPARATOR))
 
 
 def is_boilerplate(line: Column) -> Column:
