@@ -235,3 +235,22 @@ def test_stream_means_are_written_once_per_study(spark):
     for name in ("slot_mean", "facts", "facts_audit", "baseline", "cut", "group_cut"):
         study.plan(name)
     assert written.count("stream_means") == 1 and len(written) == len(set(written))
+
+
+def test_a_period_reads_the_folders_of_its_dates_only(spark, tmp_path):
+    """Facts that are stored by date: the concurrency branch prunes them to its period."""
+
+    def write(table, name):
+        if name != "group_cut":
+            return staging.stage(table, name)
+        path = str(tmp_path / name)
+        tables.write_snapshots(table, path)
+        return spark.read.schema(table.schema).parquet(path).select(*table.columns)
+
+    settings = Settings(group="BUILDING", start="2024-01-10 12:00", end="2024-01-15 12:00")
+    inputs = read_events_as_study_tables(spark, SF)
+    pruned = Study(*inputs, settings, stage=write).concurrency_long
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan_of(pruned))
+    assert any("date" in f and ">= 2024-01-10" in f and "<= 2024-01-15" in f for f in filters)
+    plain = Study(*inputs, settings).concurrency_long
+    assert sorted(pruned.collect()) == sorted(plain.collect()) != []
