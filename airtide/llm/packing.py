@@ -145,6 +145,17 @@ class CachedEncoder:
         return out
 
 
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def worker_encoder(definition: str) -> CachedEncoder:
+    """The worker process's own encoder, which tasks after each other share with its memory."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = CachedEncoder(definition, added_tokens=True)
+    return _encoders[definition]
+
+
 def _cut_blocks(encoder: CachedEncoder, batches: Iterator, task: int, block: int) -> Iterator:
     """Pieces of the documents of one task, as columns of the piece table."""
     import zlib
@@ -231,7 +242,7 @@ def _pieces(docs: DataFrame, id: str, text: str, source: str, tokenizer: str, bl
             for i in range(0, batch.num_rows, 128)
         )
         task = TaskContext.get().partitionId()
-        encoder = CachedEncoder(definition.value, added_tokens=True)
+        encoder = worker_encoder(definition.value)
         for rows in _cut_blocks(encoder, few, task, block):
             columns = zip(*rows) if rows else [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays(
