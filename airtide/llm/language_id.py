@@ -38,6 +38,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from airtide.operators.lookup import attach
 from airtide.plans.staging import stage
 
 UNDETERMINED = "und"
@@ -319,12 +320,15 @@ def train(
         F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").cast("string").alias("text"),
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x00-@\[-`{-\x{A9}]"))
-    # Both windows take a few rows of each group from a task before they shuffle.
-    keys = labelled.select("lang", "key").groupBy("lang", "key").agg(F.lit(1).alias("one"))
-    n_languages = labelled.select("lang").distinct().count()
-    each = max(LEAST_ROWS, sample_rows // max(1, n_languages))
-    first = Window.partitionBy("lang").orderBy("key")
-    keys = keys.select("lang", "key", F.row_number().over(first).alias("n")).where(F.col("n") <= each)
+    keys = stage(labelled.select("lang", "key").distinct(), "language-keys")
+    counts = stage(keys.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    each = max(LEAST_ROWS, sample_rows // max(1, counts.count()))
+    # First thin out to about twice what is wanted, wherever the rows lie, then take that.
+    counted = attach(keys, counts, {"lang": F.col("lang")}, row_id="key", weight="n")
+    hashed = F.pmod("key", F.lit(1 << 30))
+    near = counted.where(hashed * F.col("n") < (2 * each + 50) * (1 << 30))
+    first = Window.partitionBy("lang").orderBy(hashed, "key")
+    keys = near.select("lang", "key", F.row_number().over(first).alias("n")).where(F.col("n") <= each)
     keys = stage(keys.drop("n"), "language-sample")  # at most ``each`` rows of each language
     sample = labelled.join(F.broadcast(keys), ["lang", "key"], "left_semi")
     copy = Window.partitionBy("lang", "key").orderBy(F.lit(0))
