@@ -44,8 +44,6 @@ END_ID = 1
 SHARES = 1 << 40
 #: Credits are integers out of this; the second number is its golden section.
 CREDIT, _SPREAD = 1 << 20, 648_056
-#: Encodings of words that a worker remembers, for each of two generations.
-CACHE_WORDS = 300_000
 #: Parts of more characters are encoded by ``tokenizers``: tiktoken's pattern search overflows
 #: its stack on long runs of blanks.
 LONG_PART = 10_000
@@ -68,25 +66,23 @@ def merge_ranks(definition: dict) -> dict[bytes, int]:
     }
 
 
-class CachedEncoder:
+class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit integers.
 
     The ids are those that ``tokenizers`` gives for the definition. The merges are run by
-    tiktoken on the definition's own vocabulary, which takes a third of the time. Texts that
-    hold an added token, and long parts, are left to ``tokenizers`` itself. Without
+    tiktoken on the definition's own vocabulary, which takes a fraction of the time. Texts
+    that hold an added token, and long parts, are left to ``tokenizers`` itself. Without
     ``added_tokens`` special tokens are taken as ordinary text.
 
     A byte-level BPE tokenizer never joins a blank that is followed by a visible
     character to what stands before it, so a text can be encoded in parts that start at
-    such blanks, and the encoding of a part can be remembered.
+    such blanks; that is done where one of them is long.
     """
 
     #: How the definition's byte-level pre-tokenizer splits a text.
     WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(
-        self, definition: str, cache_words: int = CACHE_WORDS, added_tokens: bool = False
-    ):
+    def __init__(self, definition: str, added_tokens: bool = False):
         import json
         import re
 
@@ -103,9 +99,6 @@ class CachedEncoder:
         ).encode_ordinary
         self._blank_run = re.compile(r" (?=\s|\Z)")
         self._part_starts = re.compile(r"(?= [^\s])")
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._limit = cache_words
 
     def _parts(self, text: str) -> list[str]:
         """The parts without their leading blank; the first has none."""
@@ -117,8 +110,6 @@ class CachedEncoder:
     def _bytes(self, text: str) -> bytes:
         import array
 
-        if len(text) > LONG_PART:
-            return self._whole_bytes(text)
         return array.array("I", self._encode(text)).tobytes()
 
     def _whole_bytes(self, text: str) -> bytes:
@@ -126,37 +117,35 @@ class CachedEncoder:
 
         return array.array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _holds_added(self, text: str) -> bool:
-        return any(token in text for token in self._added)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        marked = {i: self._whole_bytes(t) for i, t in enumerate(texts) if self._holds_added(t)}
-        rows = [[""] if i in marked else self._parts(text) for i, text in enumerate(texts)]
-        words = set().union(*(row[1:] for row in rows))
-        known, older = self._known, self._older
-        for word in words.difference(known):
-            known[word] = older.get(word) or self._bytes(" " + word)
-        look = known.__getitem__
-        out = [self._bytes(row[0]) + b"".join(map(look, row[1:])) for row in rows]
-        for i, ids in marked.items():
-            out[i] = ids
-        if len(known) > self._limit:
-            self._older, self._known = known, {}
-        return out
-
-
-_encoders: dict[str, CachedEncoder] = {}
-
-
-def worker_encoder(definition: str) -> CachedEncoder:
-    """The worker process's own encoder, which tasks after each other share with its memory."""
+        return [self._one(text) for text in texts]
+
+    def _one(self, text: str) -> bytes:
+        if any(token in text for token in self._added):
+            return self._whole_bytes(text)
+        if len(text) <= LONG_PART:
+            return self._bytes(text)
+        first, *others = self._parts(text)
+        if max(map(len, others), default=0) < LONG_PART and len(first) <= LONG_PART:
+            return self._bytes(text)
+        parts = [first, *(" " + part for part in others)]
+        return b"".join(
+            self._bytes(part) if len(part) <= LONG_PART else self._whole_bytes(part) for part in parts
+        )
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(definition: str) -> Encoder:
+    """The worker process's own encoder, which tasks after each other share."""
     if definition not in _encoders:
         _encoders.clear()
-        _encoders[definition] = CachedEncoder(definition, added_tokens=True)
+        _encoders[definition] = Encoder(definition, added_tokens=True)
     return _encoders[definition]
 
 
-def _cut_blocks(encoder: CachedEncoder, batches: Iterator, task: int, block: int) -> Iterator:
+def _cut_blocks(encoder: Encoder, batches: Iterator, task: int, block: int) -> Iterator:
     """Pieces of the documents of one task, as columns of the piece table."""
     import zlib
 

@@ -352,10 +352,10 @@ def test_a_star_is_not_gathered_on_its_root(spark, monkeypatch):
 # --- packing
 
 
-def test_remembered_parts_encode_like_the_whole():
+def test_texts_encode_like_the_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as file:
-        encoder = packing.CachedEncoder(file.read(), cache_words=3)
+        encoder = packing.Encoder(file.read())
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
     odd = ["", " ", "  ", "a  b", "a \n b", " \n", "foo\n bar", "a\x1c b \x1cc", "  lead", "trail  ", "<|endoftext|> x",
@@ -373,7 +373,7 @@ def test_remembered_parts_encode_like_the_whole():
 def test_ids_are_those_of_an_unmodified_tokenizer(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as file:
-        encoder = packing.CachedEncoder(file.read(), added_tokens=True)
+        encoder = packing.Encoder(file.read(), added_tokens=True)
     expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     found = encoder.encode(["x y", text, PROSE])
     assert np.frombuffer(found[1], "<u4").tolist() == expected
